@@ -12,8 +12,6 @@ Scores are whole numbers 0..100 built on edit distance, rounded half to even:
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,12 +54,33 @@ def _ninety_five(score: Column) -> Column:
     return F.bround(F.lit(95) * score / F.lit(100.0)).cast("int")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def token_set_of(words_a: Column, words_b: Column) -> Column:
     """token_set over word arrays that are already distinct and sorted."""
-    shared = F.array_join(F.array_intersect(words_a, words_b), " ")
-    full_a = F.trim(F.concat_ws(" ", shared, F.array_join(F.array_except(words_a, words_b), " ")))
-    full_b = F.trim(F.concat_ws(" ", shared, F.array_join(F.array_except(words_b, words_a), " ")))
-    return F.greatest(ratio(shared, full_a), ratio(shared, full_b), ratio(full_a, full_b))
+    parts = F.struct(
+        F.array_join(F.array_intersect(words_a, words_b), " ").alias("s"),
+        F.array_join(F.array_except(words_a, words_b), " ").alias("a"),
+        F.array_join(F.array_except(words_b, words_a), " ").alias("b"),
+    )
+    full = let(
+        parts,
+        lambda p: F.struct(
+            p["s"].alias("s"),
+            F.trim(F.concat_ws(" ", p["s"], p["a"])).alias("a"),
+            F.trim(F.concat_ws(" ", p["s"], p["b"])).alias("b"),
+        ),
+    )
+    return let(full, lambda p: F.greatest(ratio(p["s"], p["a"]), ratio(p["s"], p["b"]), ratio(p["a"], p["b"])))
+
+
+def _near(a: Column, b: Column) -> Column:
+    """Lengths close enough for a ratio of 70 or more."""
+    la, lb = F.char_length(a), F.char_length(b)
+    return F.least(la, lb) >= F.greatest(la, lb) * 0.69
 
 
 def word_set(c: Column) -> Column:
@@ -69,42 +88,77 @@ def word_set(c: Column) -> Column:
 
 
 def weighted_of(a: Column, b: Column, sort_a: Column, sort_b: Column, set_a: Column, set_b: Column) -> Column:
-    """``weighted`` over forms computed once per distinct string, not per pair."""
+    """``weighted`` over forms computed once per string; exact from 70 on.
+
+    Parts that cannot reach 70 are not computed: strings of very different
+    length, and word sets without a shared word and of very different length.
+    """
+    low = F.lit(0)
+    may_share = F.arrays_overlap(set_a, set_b) | _near(F.array_join(set_a, " "), F.array_join(set_b, " "))
     return F.greatest(
-        ratio(a, b),
-        _ninety_five(ratio(sort_a, sort_b)),
-        _ninety_five(token_set_of(set_a, set_b)),
+        F.when(_near(a, b), ratio(a, b)).otherwise(low),
+        F.when(_near(sort_a, sort_b), _ninety_five(ratio(sort_a, sort_b))).otherwise(low),
+        F.when(may_share, _ninety_five(token_set_of(set_a, set_b))).otherwise(low),
     )
 
 
-def weighted(a: Column, b: Column) -> Column:
-    return weighted_of(a, b, sorted_words(a), sorted_words(b), word_set(a), word_set(b))
+def text_forms(c: Column) -> Column:
+    return F.struct(c.alias("text"), sorted_words(c).alias("sorted"), word_set(c).alias("words"))
 
 
-def partial(a: Column, b: Column) -> Column:
-    short = F.when(F.char_length(a) <= F.char_length(b), a).otherwise(b)
-    long = F.when(F.char_length(a) <= F.char_length(b), b).otherwise(a)
-    return partial_of(short, long)
+def weighted(a: Column, b: Column) -> Column:
+    """``weighted`` of two strings; exact from 70 on, lower scores may come out lower."""
+    both = F.struct(text_forms(a).alias("a"), text_forms(b).alias("b"))
+    return let(
+        both,
+        lambda p: weighted_of(
+            p["a"]["text"], p["b"]["text"], p["a"]["sorted"], p["b"]["sorted"], p["a"]["words"], p["b"]["words"]
+        ),
+    )
 
 
-def partial_of(short: Column, long: Column) -> Column:
+def partial_of(short: Column, long: Column, min_score: int = 0) -> Column:
+    """Best ratio of ``short`` over the windows of ``long``; below ``min_score`` it may be 0."""
     size = F.char_length(short)
-    starts = F.sequence(F.lit(1), F.char_length(long) - size + 1)
-    best = F.array_max(F.transform(starts, lambda i: ratio(F.substring(long, i, size), short)))
-    return F.when(size == 0, F.lit(0)).otherwise(best)
+    windows = F.regexp_extract_all(long, F.concat(F.lit("(?s)(?=(.{"), size.cast("string"), F.lit("}))")), F.lit(1))
+    edits = F.floor(size * ((100.5 - min_score) / 100.0)).cast("int")
+    nearest = F.array_min(
+        F.filter(
+            F.transform(F.array_distinct(windows), lambda w: F.levenshtein(w, short)),
+            lambda d: d <= edits,
+        )
+    )
+    return F.when(size == 0, F.lit(0)).otherwise(F.coalesce(percent(size - nearest, size), F.lit(0)))
 
 
-def best_weighted(c: Column, labels: list[str]) -> Column:
-    """Highest ``weighted`` score of ``c`` against a fixed list of labels."""
-    return reduce(F.greatest, [weighted(c, F.lit(label)) for label in labels]) if len(labels) > 1 else weighted(
-        c, F.lit(labels[0])
+def partial(a: Column, b: Column) -> Column:
+    swap = F.char_length(a) <= F.char_length(b)
+    pair = F.struct(F.when(swap, a).otherwise(b).alias("short"), F.when(swap, b).otherwise(a).alias("long"))
+    return let(pair, lambda p: partial_of(p["short"], p["long"]))
+
+
+def _labels(labels: list[str]) -> Column:
+    """Fixed labels with their sorted forms, worked out here and folded into a constant."""
+    return F.array(
+        *[
+            F.struct(
+                F.lit(x).alias("text"),
+                F.lit(" ".join(sorted(x.split()))).alias("sorted"),
+                F.array(*[F.lit(w) for w in sorted(set(x.split()))]).alias("words"),
+            )
+            for x in labels
+        ]
     )
 
 
 def looks_like_label(c: Column, labels: list[str], at_least: int) -> Column:
-    """True if ``c`` scores at least ``at_least`` against any label."""
-    return F.exists(
-        F.array(*[F.lit(label) for label in labels]), lambda label: weighted(c, label) >= at_least
+    """True if ``c`` scores at least ``at_least`` (70 or more) against any label."""
+    return let(
+        text_forms(c),
+        lambda t: F.exists(
+            _labels(labels),
+            lambda x: weighted_of(t["text"], x["text"], t["sorted"], x["sorted"], t["words"], x["words"]) >= at_least,
+        ),
     )
 
 
