@@ -37,3 +37,25 @@ def running_count(df: DataFrame, keys: list[str], order: str, flag: Column, out:
         .withColumn(out, F.col("_before") + F.col("_inside"))
         .drop("_stretch", "_inside", "_before")
     )
+
+
+def spread_distinct(df: DataFrame, column: str) -> DataFrame:
+    """Distinct non-null values of ``column`` over the session's shuffle partition count.
+
+    Made for small tables with costly work per row: adaptive execution would
+    merge their few bytes into one task, but keeps an explicit partition count.
+    The second grouping needs no shuffle; its count ``n`` (always 1) is used by
+    ``costly_filter``.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    return distinct.repartition(parts, column).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def costly_filter(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter rows of ``spread_distinct``, evaluated there.
+
+    As the condition reads ``n``, the optimizer cannot push it below the
+    de-duplication, where it would run once per input row.
+    """
+    return df.filter(F.when(F.col("n") > 0, condition)).drop("n")

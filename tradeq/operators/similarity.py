@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 
 from tradeq.functions import text as T
 from tradeq.operators.catalog import rich_label
+from tradeq.operators.ordered import costly_filter, spread_distinct
 
 LOWEST_SCORE = 70
 
@@ -102,8 +103,10 @@ def candidate_pairs(tokens: DataFrame, values: DataFrame, min_score: int) -> Dat
     )
 
 
-def _scored(pairs: DataFrame, tokens: DataFrame, values: DataFrame, partial_from: int | None = None) -> DataFrame:
-    both = pairs.join(tokens, "token").join(values, "value")
+def _scored(pairs: DataFrame, values: DataFrame, partial_from: int | None = None) -> DataFrame:
+    """Scores of (token, value) pairs. Token forms are worked out again here, so the
+    token table, which may be costly, is read only once."""
+    both = forms(pairs, "token", "t").join(values, "value")
     weighted = T.weighted_of(
         F.col("token"), F.col("value"), F.col("t_sorted"), F.col("v_sorted"), F.col("t_set"), F.col("v_set")
     )
@@ -162,33 +165,24 @@ def resolve_commodities(tokens: DataFrame, commodities: DataFrame, min_score: in
     """Best commodity per normalised token (column ``token``, any repeats).
 
     Tokens under three characters never match; up to four they need 95.
-    Equal strings score 100, which nothing else can reach, so they are settled
-    by a plain join and only the rest is compared.
     """
     values = catalog_values(commodities, COMMODITY_FIELDS)
-    distinct = forms(tokens.select("token").distinct().filter(F.char_length("token") >= 3), "token", "t")
-    exact = distinct.join(values, F.col("token") == F.col("value")).withColumn("score", F.lit(100))
     longest = values.agg(F.max("v_len")).scalar()
-    # lossless: a shorter share cannot reach the score even with equal words
-    rest = distinct.join(values.select("value"), F.col("token") == F.col("value"), "left_anti").filter(
+    distinct = spread_distinct(tokens.filter(F.char_length("token") >= 3), "token").drop("n")
+    # lossless: a smaller share of the length cannot reach the score even with equal words
+    tokens_in_reach = forms(distinct, "token", "t").filter(
         F.bround(F.lit(100.0) * longest / F.col("t_len")) >= min(min_score, 75)
     )
     share = F.least("t_len", "v_len") / F.greatest("t_len", "v_len")
-    reachable = (share >= 0.75) | (F.bround(100.0 * share) >= min_score)
-    lengths = distinct.select("token", "t_len"), values.select("value", "v_len")
     near = (
-        candidate_pairs(rest, values, min_score)
-        .join(lengths[0], "token")
-        .join(lengths[1], "value")
-        .filter(reachable)
+        candidate_pairs(tokens_in_reach, values, min_score)
+        .withColumns({"t_len": F.char_length("token"), "v_len": F.char_length("value")})
+        .filter((share >= 0.75) | (F.bround(100.0 * share) >= min_score))
         .select("token", "value")
     )
     need = F.when(F.col("t_len") <= 4, F.lit(max(min_score, 95))).otherwise(F.lit(min_score))
-    fuzzy = _scored(near, rest, values).withColumn(
-        "score", penalised(F.col("score"), F.col("t_len"), F.col("v_len"))
-    )
-    columns = ["token", "t_len", "score", "ord", "field_ord", "field", "value"]
-    return _best(exact.select(*columns).unionByName(fuzzy.select(*columns)), need)
+    fuzzy = _scored(near, values).withColumn("score", penalised(F.col("score"), F.col("t_len"), F.col("v_len")))
+    return _best(fuzzy, need)
 
 
 def is_noise(token: Column) -> Column:
@@ -198,9 +192,9 @@ def is_noise(token: Column) -> Column:
 def resolve_terminals(tokens: DataFrame, terminals: DataFrame, min_score: int = 75) -> DataFrame:
     """Best terminal per normalised token over six name fields; screen labels never match."""
     values = catalog_values(terminals, TERMINAL_FIELDS)
-    distinct = tokens.select("token").distinct().filter(F.char_length("token") >= 3)
-    clean = forms(distinct.filter(~is_noise(F.col("token"))), "token", "t")
-    scored = _scored(candidate_pairs(clean, values, min_score), clean, values, min_score)
+    distinct = spread_distinct(tokens.filter(F.char_length("token") >= 3), "token")
+    clean = forms(costly_filter(distinct, ~is_noise(F.col("token"))), "token", "t")
+    scored = _scored(candidate_pairs(clean, values, min_score), values, min_score)
     return _best(scored, F.lit(min_score))
 
 
@@ -264,7 +258,7 @@ def similarity_join(left: DataFrame, right: DataFrame, k: int = 3, min_score: in
         at = F.sequence(F.lit(1), F.char_length(s) - 2)
         return F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(s, i, F.lit(3)))))
 
-    tokens = forms(left.select("token").distinct().filter(F.char_length("token") >= 3), "token", "t")
+    tokens = forms(spread_distinct(left.filter(F.char_length("token") >= 3), "token").drop("n"), "token", "t")
     values = forms(right.select("value").distinct().filter(F.char_length("value") >= 3), "value", "v")
     pairs = (
         tokens.select("token", trigrams("token").alias("gram"))
@@ -273,7 +267,7 @@ def similarity_join(left: DataFrame, right: DataFrame, k: int = 3, min_score: in
         .agg(F.count(F.lit(1)).alias("shared"))
         .filter(F.col("shared") >= k)
     )
-    scored = _scored(pairs, tokens, values)
+    scored = _scored(pairs, values)
     return scored.filter(F.col("score") >= min_score).select("token", "value", "shared", "score")
 
 

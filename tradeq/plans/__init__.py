@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["prices", "trade", "gates", "resolve"]
+MODULES = ["prices", "trade", "gates", "resolve", "screens"]
 
 
 def load_all():

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, name: str = "tradeq") -> SparkSession:
@@ -36,3 +36,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="tradeq-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tradeq/{purpose}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the files.
+
+    For results read several times: the work before is not repeated, and a lost
+    executor only costs the tasks after this point. The folder belongs to the
+    job; whoever set ``spark.checkpoint.dir`` also expires it.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
