@@ -220,4 +220,6 @@ def using(names: list[str] | str, body: str, extra: dict[str, str] | None = None
         add(name)
     parts = [f"{n} AS ({VIEWS[n][1].strip()})" for n in order]
     parts += [f"{n} AS ({s.strip()})" for n, s in (extra or {}).items()]
+    if not parts:
+        return body.strip()
     return "WITH " + ",\n".join(parts) + "\n" + body.strip()

@@ -58,8 +58,12 @@ class Market:
 
     def prices_all(self) -> DataFrame:
         """Latest price of both sides per (terminal, commodity), one row each."""
+        return self.prices_from(self.observations())
+
+    @staticmethod
+    def prices_from(observations: DataFrame) -> DataFrame:
         latest = F.struct("ts", "price", "stock", "status")
-        wide = self.observations().groupBy("id_terminal", "id_commodity").agg(
+        wide = observations.groupBy("id_terminal", "id_commodity").agg(
             F.max(F.when(F.col("side") == "BUY", latest)).alias("b"),
             F.max(F.when(F.col("side") == "SELL", latest)).alias("s"),
             F.max("ts").alias("date_modified"),
