@@ -59,3 +59,13 @@ def costly_filter(df: DataFrame, condition: Column) -> DataFrame:
     de-duplication, where it would run once per input row.
     """
     return df.filter(F.when(F.col("n") > 0, condition)).drop("n")
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Deal rows of a narrow scan over all cores before costly work per row.
+
+    A table in many files or row groups already has enough tasks and is returned
+    as it is, so on a cluster this adds no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -16,7 +16,7 @@ from tradeq.functions.economics import (
     profit_per_minute,
     roi_percent,
 )
-from tradeq.operators.staleness import first_target_age, terminal_staleness
+from tradeq.operators.staleness import exclude_recent, first_target_age, terminal_staleness
 
 PILLS = {
     "loading_dock": "has_loading_dock",
@@ -40,10 +40,17 @@ def latest_prices(observations: DataFrame) -> DataFrame:
     )
 
 
-def build_routes(latest: DataFrame, origins: DataFrame | None = None, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """Every profitable or unprofitable pair buy side x sell side of one commodity.
+def build_routes(
+    latest: DataFrame,
+    origins: DataFrame | None = None,
+    carry: tuple[str, ...] = (),
+    rows_per_salt: int = ROWS_PER_SALT,
+) -> DataFrame:
+    """Every pair buy side x sell side of one commodity at different terminals.
 
     ``origins`` (id_terminal) restricts the buy side before pairs are made.
+    ``carry`` names columns of ``latest`` to keep for both ends, as ``<name>_o``
+    and ``<name>_d``; what is known per price row is best joined before the pairs.
     A commodity bought at more than ``rows_per_salt`` places is split: its buy
     rows are dealt over several salts and its sell rows copied to each, so no
     single task has to produce all pairs of a hot commodity.
@@ -71,6 +78,7 @@ def build_routes(latest: DataFrame, origins: DataFrame | None = None, rows_per_s
         F.col("price").alias("price_origin"),
         F.col("stock").alias("scu_origin"),
         F.col("status").alias("status_origin"),
+        *[F.col(c).alias(f"{c}_o") for c in carry],
     )
     destination = sell.select(
         "id_commodity",
@@ -79,6 +87,7 @@ def build_routes(latest: DataFrame, origins: DataFrame | None = None, rows_per_s
         F.col("price").alias("price_destination"),
         F.col("stock").alias("scu_destination"),
         F.col("status").alias("status_destination"),
+        *[F.col(c).alias(f"{c}_d") for c in carry],
     )
     pairs = origin.join(destination, ["id_commodity", "salt"]).filter("id_origin <> id_destination").drop("salt")
     po, pd = F.col("price_origin"), F.col("price_destination")
@@ -140,6 +149,31 @@ def overlay(routes: DataFrame, targets: DataFrame, recent: DataFrame) -> DataFra
     return route_ages(routes.fillna(0, subset=zero))
 
 
+STALE_COLUMNS = ("max_days", "stale", "excluded", "this_days")
+
+
+def stale_sides(latest: DataFrame, targets: DataFrame, recent: DataFrame) -> DataFrame:
+    """The overlay of ``overlay``, joined to price rows instead of to routes.
+
+    Routes built with ``carry=STALE_COLUMNS`` then need no join at all; there are
+    far fewer price rows than routes.
+    """
+    per_terminal = terminal_staleness(targets, recent).select(
+        "id_terminal", "max_days", F.col("stale_count").alias("stale"), F.col("excluded_count").alias("excluded")
+    )
+    keys = ["id_terminal", "id_commodity", "side"]
+    ages = (
+        exclude_recent(targets.filter("is_reachable"), recent)
+        .groupBy(*keys)
+        .agg(F.max_by("days_stale", F.struct("priority", "days_stale")).alias("this_days"))
+    )
+    return (
+        latest.join(ages, keys, "left")
+        .join(per_terminal, "id_terminal", "left")
+        .fillna(0, subset=list(STALE_COLUMNS))
+    )
+
+
 def route_ages(routes: DataFrame) -> DataFrame:
     return (
         routes.withColumn("this_route_days", F.greatest("this_days_o", "this_days_d"))

@@ -284,7 +284,8 @@ def search_terminals(queries: DataFrame, terminals: DataFrame, limit: int = 50)
 
     ``queries`` holds (query_id, query). The longest word's first characters are
     looked up among the substrings of the fields, then all words are tested, so
-    only terminals sharing that key are touched. A query without words lists all.
+    only terminals sharing that key are touched. A query without words lists all;
+    that list is the same for each, so it is cut to ``limit`` before the join.
     """
     hay = F.upper(F.concat_ws(FIELD_BREAK, *[F.col(f) for f in SEARCH_FIELDS]))
     entries = terminals.select(F.col("id"), rich_label().alias("label"), hay.alias("hay"))
@@ -293,15 +294,25 @@ def search_terminals(queries: DataFrame, terminals: DataFrame, limit: int = 50)
         F.transform(F.sequence(F.lit(1), F.char_length("hay") - (n - 1)), lambda i: F.substring("hay", i, F.lit(n))),
     ).otherwise(F.array().cast("array<string>"))
     keyed = entries.select(
-        "id", "label", "hay", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), grams(2), grams(3)))).alias("key")
+        "id", "label", "hay", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))).alias("key")
     )
     parts = F.filter(F.split(F.upper(T.strip(F.col("query"))), SEPARATORS), lambda p: F.char_length(p) >= 2)
     asked = queries.select("query_id", parts.alias("parts"))
     longest = F.array_max(F.transform("parts", lambda p: F.struct(F.char_length(p).alias("n"), p.alias("p"))))["p"]
-    asked = asked.withColumn("key", F.coalesce(F.substring(longest, 1, 3), F.lit("")))
-    hits = asked.join(keyed, "key").filter(F.forall("parts", lambda p: F.contains(F.col("hay"), p)))
+    worded = asked.filter(F.size("parts") > 0).withColumn("key", F.substring(longest, 1, 3))
+    hits = worded.join(keyed, "key").filter(F.forall("parts", lambda p: F.contains(F.col("hay"), p)))
     counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"))
     w = W.partitionBy("query_id").orderBy("label", "id")
     ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-    listed = ranked.join(counts, "query_id").select("query_id", "rank", "id", "label", "n_candidates")
-    return listed.withColumn("is_resolved", F.col("n_candidates") == 1)
+    found = ranked.join(counts, "query_id")
+    first = entries.orderBy("label", "id").limit(limit)
+    total = terminals.agg(F.count(F.lit(1))).scalar()
+    everything = first.select(
+        "id", "label", F.lit(0).alias("key"),
+        F.row_number().over(W.orderBy("label", "id")).alias("rank"), total.alias("n_candidates"),
+    )
+    wordless = asked.filter(F.size("parts") == 0).select("query_id", F.lit(0).alias("key")).join(everything, "key")
+    columns = ["query_id", "rank", "id", "label", "n_candidates"]
+    return found.select(*columns).unionByName(wordless.select(*columns)).withColumn(
+        "is_resolved", F.col("n_candidates") == 1
+    )

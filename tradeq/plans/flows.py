@@ -10,6 +10,7 @@ from tradeq.operators import audit as A
 from tradeq.operators import batch as B
 from tradeq.operators import metrics as M
 from tradeq.operators import staleness as S
+from tradeq.operators.ordered import widen
 from tradeq.plans.registry import query
 from tradeq.plans.views import using
 from tradeq.session import shared_dir
@@ -83,7 +84,7 @@ def engine_report(m: Market):
       SELECT conv_id, turn, trim(t,' '||chr(10)||chr(9)) AS r, trim({_READ.format(k='turn', t='t')},' '||chr(10)||chr(9)) AS h
       FROM (SELECT conv_id, turn, {_ASCII} AS t FROM conversations))""")
 def turn_char_errors(m: Market):
-    t = m.table("conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
+    t = widen(m.table("conversations")).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
     cer = M.char_error(F.col("text"), read_aloud(F.col("text"), F.col("turn")))
     return t.select("conv_id", "turn", F.round(cer, 6).alias("cer"))
 

@@ -12,6 +12,7 @@ from tradeq.operators import staleness as S
 from tradeq.plans.prices import STALENESS_VIEWS, enriched_targets
 from tradeq.plans.registry import query
 from tradeq.plans.views import using
+from tradeq.session import settle
 from tradeq.sources.market import LOG_NOW, Market
 
 BUDGET = 300_000
@@ -80,17 +81,31 @@ def money_routes(m: Market) -> DataFrame:
     return R.effective(R.drop_unaffordable(routes_of(m), budget), budget, vehicle)
 
 
+def with_distance(routes: DataFrame) -> DataFrame:
+    o, d = F.col("place_o"), F.col("place_d")
+    apart = F.when(o.isNull() | d.isNull() | (o == d), 0.0).otherwise(F.abs(o - d) + 1.0)
+    return routes.withColumn("distance", apart)
+
+
 def timed_routes(m: Market) -> DataFrame:
-    placed = R.with_places(money_routes(m), m.terminals(), ["place"])
-    apart = F.when(
-        F.col("place_o").isNull() | F.col("place_d").isNull() | (F.col("place_o") == F.col("place_d")), 0.0
-    ).otherwise(F.abs(F.col("place_o") - F.col("place_d")) + 1.0)
-    return R.with_eta(placed.withColumn("distance", apart))
+    return R.with_eta(with_distance(R.with_places(money_routes(m), m.terminals(), ["place"])))
+
+
+def aged_routes(m: Market) -> DataFrame:
+    """Timed routes with ages; places and staleness are joined to the prices, before pairs are made."""
+    places = m.terminals().select(F.col("id").alias("id_terminal"), "place")
+    targets = settle(enriched_targets(m), "targets")
+    latest = R.stale_sides(R.latest_prices(m.observations()), targets, S.recent_pairs(m.submissions(), LOG_NOW))
+    # both ends of the routes read this table, so it is worked out once
+    ends = settle(latest.join(places, "id_terminal", "left"), "route-ends")
+    routes = R.build_routes(ends, carry=(*R.STALE_COLUMNS, "place"))
+    budget, vehicle = F.lit(BUDGET), F.lit(VEHICLE)
+    money = R.effective(R.drop_unaffordable(routes, budget), budget, vehicle)
+    return R.route_ages(R.with_eta(with_distance(money)))
 
 
 def scored_routes(m: Market) -> DataFrame:
-    laid = R.overlay(timed_routes(m), enriched_targets(m), S.recent_pairs(m.submissions(), LOG_NOW))
-    return R.with_score(laid, F.lit(SLIDER))
+    return R.with_score(aged_routes(m), F.lit(SLIDER))
 
 
 @query("latest_prices", using("ranked_obs", """
@@ -186,7 +201,7 @@ def route_overlay(m: Market):
     SELECT id_destination, this_route_days//365 AS route_years, max_days_any//365 AS any_years, count(*) AS n,
            sum(total_stale) AS total_stale FROM aged GROUP BY 1,2,3""", OVERLAY_VIEWS))
 def route_ages(m: Market):
-    laid = R.overlay(timed_routes(m), enriched_targets(m), S.recent_pairs(m.submissions(), LOG_NOW))
+    laid = aged_routes(m)
     years = lambda c: F.floor(F.col(c) / 365)
     return laid.groupBy(
         "id_destination", years("this_route_days").alias("route_years"), years("max_days_any").alias("any_years")
@@ -209,7 +224,7 @@ def blended_scores(m: Market):
                     FROM (SELECT unnest([-10,0,40,100,150]) AS slider)) ON true GROUP BY 1""", OVERLAY_VIEWS))
 def score_by_slider(m: Market):
     """The same routes under several weights at once; the weight is a column."""
-    laid = R.overlay(timed_routes(m), enriched_targets(m), S.recent_pairs(m.submissions(), LOG_NOW))
+    laid = aged_routes(m)
     sliders = F.explode(F.array(*[F.lit(s) for s in (-10, 0, 40, 100, 150)]))
     scored = R.with_score(laid.select("profit", "max_days_any", "total_stale", sliders.alias("slider")), F.col("slider"))
     return scored.groupBy("slider").agg(F.round(F.sum("score"), 3).alias("sum_score"))

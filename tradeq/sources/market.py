@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tradeq.functions.economics import epoch_seconds
+from tradeq.operators.ordered import widen
 
 NOW = 1007164800  # 2001-12-01T00:00:00Z, the evaluation time of the price queries
 LOG_NOW = 1706572800  # 2024-01-30T00:00:00Z, the evaluation time of the log queries
@@ -330,7 +331,7 @@ class Market:
 
     def document_lines(self) -> DataFrame:
         """Whole documents split into trimmed, non-empty lines; line_no counts raw lines."""
-        d = self.table("documents")
+        d = widen(self.table("documents").select("doc_id", "text"))
         return split_lines(d.select(F.col("doc_id").alias("capture_id"), "text"))
 
 
