@@ -138,17 +138,14 @@ def partial(a: Column, b: Column) -> Column:
 
 
 def _labels(labels: list[str]) -> Column:
-    """Fixed labels with their sorted forms, worked out here and folded into a constant."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(x).alias("text"),
-                F.lit(" ".join(sorted(x.split()))).alias("sorted"),
-                F.array(*[F.lit(w) for w in sorted(set(x.split()))]).alias("words"),
-            )
-            for x in labels
-        ]
-    )
+    """Fixed labels with their sorted forms as one constant."""
+    quote = lambda x: "'" + x.replace("'", "\\'") + "'"
+    entry = "named_struct('text', {}, 'sorted', {}, 'words', array({}))"
+    cells = [
+        entry.format(quote(x), quote(" ".join(sorted(x.split()))), ", ".join(quote(w) for w in sorted(set(x.split()))))
+        for x in labels
+    ]
+    return F.expr(f"array({', '.join(cells)})")
 
 
 def looks_like_label(c: Column, labels: list[str], at_least: int) -> Column:

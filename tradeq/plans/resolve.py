@@ -81,12 +81,15 @@ PLACE_VIEWS = {
 def terminal_match_views(tokens: str) -> dict[str, str]:
     field = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(S.TERMINAL_FIELDS))
     noise = Q.weighted("token", "label")
-    score = f"greatest({Q.weighted('token', 'value')},{Q.partial('token', 'value')},{Q.token_set(Q.word_set('token'), Q.word_set('value'))})"
+    # 95 % of token_set never beats token_set, so weighted adds only ratio and token_sort
+    score = f"greatest({Q.ratio('token', 'value')},{Q.ninety_five(Q.ratio('ts', 'vs'))},{Q.token_set('tw', 'vw')},{Q.partial('token', 'value')})"
     return {
-        "ttoks": f"""SELECT DISTINCT token FROM {tokens} WHERE length(token)>=3""",
+        "ttoks": f"""SELECT token, {Q.sorted_words('token')} AS ts, {Q.word_set('token')} AS tw
+            FROM (SELECT DISTINCT token FROM {tokens} WHERE length(token)>=3)""",
         "noisy": f"""SELECT DISTINCT token FROM ttoks, (SELECT unnest({Q.strings(S.NOISE_LABELS)}) AS label)
             WHERE {noise}>={S.NOISE_SCORE}""",
-        "tscores": f"SELECT *, {score} AS score FROM ttoks, tvals WHERE token NOT IN (SELECT token FROM noisy)",
+        "tforms": f"SELECT *, {Q.sorted_words('value')} AS vs, {Q.word_set('value')} AS vw FROM tvals",
+        "tscores": f"SELECT *, {score} AS score FROM ttoks, tforms WHERE token NOT IN (SELECT token FROM noisy)",
         "tmatch": f"""SELECT token, ord AS matched_id, CASE field_ord {field} END AS matched_field, value AS matched_value, score
             FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, ord, field_ord) AS rn FROM tscores
                   WHERE score>=75) WHERE rn=1""",

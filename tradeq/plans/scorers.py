@@ -11,7 +11,7 @@ def _percent(a: str, b: str) -> str:
 ratio = _percent
 
 
-def _ninety_five(x: str) -> str:
+def ninety_five(x: str) -> str:
     return f"CAST(round_even(95*({x})/100.0::DOUBLE,0) AS INT)"
 
 
@@ -36,8 +36,8 @@ def token_set(sa: str, sb: str) -> str:
 
 def weighted(a: str, b: str) -> str:
     return (
-        f"greatest({ratio(a, b)},{_ninety_five(ratio(sorted_words(a), sorted_words(b)))},"
-        f"{_ninety_five(token_set(word_set(a), word_set(b)))})"
+        f"greatest({ratio(a, b)},{ninety_five(ratio(sorted_words(a), sorted_words(b)))},"
+        f"{ninety_five(token_set(word_set(a), word_set(b)))})"
     )
 
 
