@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeq.llm import bpe, token_counts
+from tradeq.llm import bpe, check_sql, language_id, quality_rules, token_counts, toxicity
+from tradeq.llm.common import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,38 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {"op5_bpe": op5_bpe, "op9_token_counts": op9_token_counts}
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.filter(~held_out("doc_id", 3, 1)))
+    done = language_id.identify(docs, model)
+    return done.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of line-first cleaning for every document."""
+    return quality_rules.clean(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from three quarters of the labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.filter(~held_out("doc_id", 4, 2)))
+    done = toxicity.score(docs, model)
+    return done.select(
+        "doc_id",
+        held_out("doc_id", 4, 2).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+QUERIES = {
+    "op1_language": op1_language,
+    "op5_bpe": op5_bpe,
+    "op6_quality": op6_quality,
+    "op9_token_counts": op9_token_counts,
+    "op10_toxicity": op10_toxicity,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_quality": check_sql.OP6_SQL.strip()}
