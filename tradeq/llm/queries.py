@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeq.llm import bpe, check_sql, language_id, quality_rules, token_counts, toxicity
+from tradeq.llm import bpe, check_sql, html_text, language_id, quality_rules, token_counts, toxicity
 from tradeq.llm.common import held_out
 
 
@@ -41,6 +41,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of line-first cleaning for every document."""
     return quality_rules.clean(table(spark, sf_dir, "documents"), with_text=False)
@@ -61,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language": op1_language,
+    "op3_html": op3_html,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op9_token_counts": op9_token_counts,
