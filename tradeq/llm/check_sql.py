@@ -54,3 +54,27 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   CAST(removed AS BIGINT) AS n_lines_removed, CAST(lost AS BIGINT) AS n_words_removed
 FROM base
 """
+
+OP2_SQL = r"""
+WITH low AS (
+  SELECT item_id, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark
+),
+iw AS (SELECT DISTINCT item_id, text, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM low WHERE t IS NOT NULL),
+dw AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws
+  FROM documents WHERE text IS NOT NULL
+),
+ir AS (
+  SELECT DISTINCT item_id, text, CASE WHEN len(ws) < 5 THEN ws ELSE ws[i:i + 4] END AS run
+  FROM (SELECT *, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM iw WHERE len(ws) > 0)
+),
+dr AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN ws ELSE ws[i:i + 4] END AS run
+  FROM (SELECT *, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM dw WHERE len(ws) > 0)
+),
+n AS (SELECT item_id, text, count(*) AS n_runs FROM ir GROUP BY ALL),
+shared AS (SELECT doc_id, item_id, text, count(*) AS n_shared FROM ir JOIN dr USING (run) GROUP BY ALL)
+SELECT doc_id, item_id, CAST(n_shared AS BIGINT) AS n_shared, CAST(n_runs AS BIGINT) AS n_runs
+FROM shared JOIN n USING (item_id, text) WHERE n_shared >= 0.8 * n_runs
+"""

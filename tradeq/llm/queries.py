@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeq.llm import bpe, check_sql, html_text, language_id, quality_rules, token_counts, toxicity
+from tradeq.llm import bpe, check_sql, decontaminate, html_text, language_id, quality_rules, token_counts, toxicity
 from tradeq.llm.common import held_out
 
 
@@ -41,6 +41,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, one row per document and item."""
+    done = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", "item_id", "n_shared", "n_runs")
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
@@ -66,6 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_contamination": op2_contamination,
     "op3_html": op3_html,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
@@ -73,4 +80,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_quality": check_sql.OP6_SQL.strip()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_contamination": check_sql.OP2_SQL.strip(),
+    "op6_quality": check_sql.OP6_SQL.strip(),
+}
