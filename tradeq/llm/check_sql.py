@@ -78,3 +78,32 @@ shared AS (SELECT doc_id, item_id, text, count(*) AS n_shared FROM ir JOIN dr US
 SELECT doc_id, item_id, CAST(n_shared AS BIGINT) AS n_shared, CAST(n_runs AS BIGINT) AS n_runs
 FROM shared JOIN n USING (item_id, text) WHERE n_shared >= 0.8 * n_runs
 """
+
+OP7_SQL = r"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+),
+sh AS (
+  SELECT DISTINCT doc_id, hash(CASE WHEN len(ws) < 5 THEN ws ELSE ws[i:i + 4] END) AS run
+  FROM (SELECT *, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM dw WHERE len(ws) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+inter AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.run = b.run AND a.doc_id < b.doc_id GROUP BY 1, 2
+),
+links AS (
+  SELECT a, b FROM inter JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT a AS doc_id, a AS other FROM edges
+  UNION
+  SELECT r.doc_id, edges.b FROM reach r JOIN edges ON r.other = edges.a
+),
+comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT dw.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, dw.doc_id) AS component_id,
+  dw.doc_id = coalesce(component_id, dw.doc_id) AS kept
+FROM dw LEFT JOIN n ON n.doc_id = dw.doc_id LEFT JOIN comp ON comp.doc_id = dw.doc_id
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeq.llm import bpe, check_sql, decontaminate, html_text, language_id, quality_rules, token_counts, toxicity
+from tradeq.llm import bpe, check_sql, decontaminate, html_text, language_id, near_dedup, quality_rules, token_counts, toxicity
 from tradeq.llm.common import held_out
 
 
@@ -26,6 +26,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of near-duplicates of every document."""
+    found = near_dedup.groups(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -76,6 +82,7 @@ QUERIES = {
     "op3_html": op3_html,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op7_near_dedup": op7_near_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }
@@ -83,4 +90,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_contamination": check_sql.OP2_SQL.strip(),
     "op6_quality": check_sql.OP6_SQL.strip(),
+    "op7_near_dedup": check_sql.OP7_SQL.strip(),
 }
