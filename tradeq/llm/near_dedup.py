@@ -9,9 +9,12 @@ estimated jointly from both sketches by likelihood; pairs that can be linked at
 are verified on their full sets. Links make components.
 
 Equal sets are one node from the start, so copies cost one row each. A bucket is done
-when its members are all in one component or every two members of different
-components have been compared: no cap, and no pairs of a whole group. A link is
-missed only if no band agrees: below one in a million at the threshold, less above.
+when its members are all in one component or every member outside its main component
+has been compared with all others. A bucket with many such members is divided by
+the second and third band that its members share with each other; what is still
+crowded then goes through hub after hub. No cap, and no pairs of a whole group. A
+link is missed only if no band agrees, in crowded buckets if fewer than three do:
+below one in a million at the threshold, less above.
 
 Texts without words, and null texts, have an empty set and are linked with nothing.
 Null ids are linked with nothing. Rows that repeat an id are handled row by row.
@@ -33,15 +36,18 @@ from tradeq.session import settle
 WORDS = 5
 #: Link at 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
-#: Registers: bands x rows. A pair at the threshold misses all bands with (1 - 0.85 ** 7) ** 36 < 1e-6.
-BANDS, ROWS = 36, 7
+#: Registers: bands x rows. A pair at the threshold misses all bands with (1 - 0.85 ** 6) ** 42 < 1e-8.
+BANDS, ROWS = 42, 6
 REGISTERS = BANDS * ROWS
 #: Base of the register values, rate of the exponential, largest value.
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 #: A pair is dropped unverified if its sketches are less likely than this factor (log) at the threshold.
 UNLIKELY = 15.0
-#: Bands of the first round, hubs of a bucket in later rounds, and bucket size from which hubs are used.
-FIRST_BANDS, HUBS, SMALL = 4, 8, 24
+#: Bands of the first round; members outside the main component with which a bucket is no longer crowded;
+#: rounds that divide crowded buckets; hubs of a crowded bucket in the rounds after.
+FIRST_BANDS, FEW, DIVIDING, HUBS = 4, 16, 2, 16
+#: Registers whose low bytes ride along with bucket members, and how many must agree: 6 deviations below the mean.
+RIDING, AGREE = 126, 82
 
 _draw = np.random.Generator(np.random.PCG64(20))
 MULTIPLY = _draw.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -223,44 +229,43 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
 
 def _links(docs, text, key, nodes, members, threshold) -> DataFrame | None:
     """Verified links (a, b) that make the components of all links; None if there is no bucket to look at."""
-    touched = members.select("v").distinct()
-    near = settle(nodes.join(touched, "v", "left_semi"), "near")
+    near = settle(nodes.join(members.select("v").distinct(), "v", "left_semi"), "near")
     if near.isEmpty():
         return None
     sets = settle(_sets(docs, text, key, near), "sets")
     weight = members.groupBy("bucket").agg(F.count("*").alias("size"))
     degree = members.join(weight, "bucket").groupBy("v").agg(F.sum("size").alias("d"))
-    state = settle(members.join(degree, "v"), "state")
+    state = settle(members.join(_riding(near).join(degree, "v"), "v"), "state")
     comp = near.select("v", F.col("v").alias("c"))
-    links = done = None
+    links = done = singles = None
     for turn in range(1 << 30):
         live = state.join(comp, "v")
         if turn == 0:
             live = live.filter(F.col("bucket").bitwiseAND(63) < FIRST_BANDS)
-        mixed = live.groupBy("bucket").agg(
-            F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.max_by("v", F.struct("d", "v")).alias("w")
+        inside = live.groupBy("bucket", "c").agg(F.count("*").alias("n_c"))
+        mixed = inside.groupBy("bucket").agg(
+            F.sum("n_c").alias("size"), F.max("n_c").alias("most"), F.max_by("c", F.struct("n_c", "c")).alias("main"), F.min("c").alias("lo"), F.max("c").alias("hi")
         ).filter("lo <> hi")
-        live = settle(live.join(mixed.select("bucket", "size", "w"), "bucket"), "live")
+        live = settle(live.join(mixed.select("bucket", "main", (F.col("size") - F.col("most")).alias("others")), "bucket"), "live")
+        if live.isEmpty():
+            if turn == 0:
+                continue
+            return links
+        crowded = live.filter(f"others > {FEW}")
         if turn < 2:
-            hubs = live.filter("v = w")
+            hubs = live.join(live.groupBy("bucket").agg(F.max_by("v", F.struct("d", "v")).alias("w")), "bucket").filter("v = w").drop("w")
         else:
-            # members of small components first: the rest of the bucket is in one already
-            inside = live.groupBy("bucket", "c").agg(F.count("*").alias("inside"))
-            first = Window.partitionBy("bucket").orderBy("inside", F.desc("d"), "v")
-            large = live.filter(f"size > {SMALL}").join(inside, ["bucket", "c"])
-            hubs = large.withColumn("place", F.row_number().over(first)).filter(f"place <= {HUBS}")
-            hubs = hubs.select(live.columns).union(live.filter(f"size <= {SMALL}"))
-        hubs = hubs.select("bucket", F.col("v").alias("w"), F.col("c").alias("cw"))
-        hubs = settle(hubs, "hubs")
-        pairs = live.select("bucket", "v", "c").join(hubs, "bucket").filter("c <> cw")
-        pairs = pairs.select(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w")).distinct()
+            hubs = live.filter(f"others <= {FEW} AND c <> main")
+            if turn >= 2 + DIVIDING:
+                # members of small components first: the rest of the bucket is in one already
+                first = Window.partitionBy("bucket").orderBy("n_c", F.desc("d"), "v")
+                ranked = crowded.join(inside, ["bucket", "c"]).withColumn("place", F.row_number().over(first))
+                hubs = hubs.union(ranked.filter(f"place <= {HUBS}").select(hubs.columns))
+        hubs = settle(hubs.select("bucket", F.col("v").alias("w"), F.col("c").alias("cw"), F.col("m").alias("mw"), F.col("r").alias("rw")), "hubs")
+        pairs = _agreeing(live.join(hubs, "bucket").filter("c <> cw"), threshold).distinct()
         if done is not None:
             pairs = pairs.join(done, ["v", "w"], "left_anti")
         pairs = settle(pairs, "pairs")
-        if hubs.isEmpty():
-            if turn == 0:
-                continue
-            return links
         found = settle(_verified(_likely(pairs, near, threshold), sets, threshold), "links")
         done = pairs if done is None else settle(done.union(pairs), "done")
         if not found.isEmpty():
@@ -268,11 +273,49 @@ def _links(docs, text, key, nodes, members, threshold) -> DataFrame | None:
             comp = settle(
                 near.select("v").join(_components(links), "v", "left").select("v", F.coalesce("c", "v").alias("c")), "state-components"
             )
-        # a hub has met every member of another component: it leaves its bucket
-        state = settle(state.join(hubs.select("bucket", F.col("w").alias("v")), ["bucket", "v"], "left_anti"), "state")
+        kept = ["bucket", "v", "m", "r", "d"]
+        if turn < 2 or turn >= 2 + DIVIDING:
+            # a hub has met every member of another component: it leaves its bucket
+            rest = state if turn < 2 else crowded.select(kept)
+            state = settle(rest.join(hubs.select("bucket", F.col("w").alias("v")), ["bucket", "v"], "left_anti").select(kept), "state")
+        else:
+            # crowded buckets are divided by a further band that is crowded too: pairs in other buckets have met there
+            singles = crowded.select("v", F.col("bucket").alias("also")) if singles is None else singles
+            number = F.col("also").bitwiseAND(63)
+            divided = crowded.select(kept).join(singles, "v").filter(number > F.col("bucket").bitwiseAND(63))
+            mixed_key = F.xxhash64("bucket", "also").bitwiseAND(~63).bitwiseOR(number)
+            state = settle(divided.select(mixed_key.alias("bucket"), "v", "m", "r", "d"), "state")
     return links
 
 
+def _riding(nodes: DataFrame) -> DataFrame:
+    """(v, m, r): size, and low bytes of the first registers, of every node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [np.frombuffer(s, np.uint16)[:RIDING].astype(np.uint8).tobytes() for s in batch.column("s").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("n"), pa.array(low, pa.binary())], names=["v", "m", "r"])
+
+    return nodes.select("v", "n", "s").mapInArrow(run, "v long, m long, r binary")
+
+
+def _agreeing(met: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (v, w), smaller first, of bucket members whose sizes and riding registers agree well enough."""
+    met = met.filter(F.least("m", "mw") * 100 >= F.greatest("m", "mw") * threshold).select("v", "w", "r", "rw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RIDING) for c in ("r", "rw"))
+                v, w = (np.asarray(batch.column(c)) for c in ("v", "w"))
+                ok = (a == b).sum(1) >= AGREE
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(v, w)[ok]), pa.array(np.maximum(v, w)[ok])], names=["v", "w"]
+                )
+
+    return met.mapInArrow(run, "v long, w long")
+
+
 def _sets(docs: DataFrame, text: str, key: str, near: DataFrame) -> DataFrame:
     """(v, set) of the nodes that share a bucket, from the texts."""
     wanted = near.select(F.col("k"), F.col("v"))
