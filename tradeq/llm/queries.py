@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeq.llm import bpe, check_sql, decontaminate, html_text, language_id, near_dedup, quality_rules, token_counts, toxicity
+from tradeq.llm import bpe, check_sql, decontaminate, html_text, language_id, lm_score, near_dedup, quality_rules, token_counts, toxicity
 from tradeq.llm.common import held_out
 
 
@@ -32,6 +32,15 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document, learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    done = lm_score.score(docs, ~held_out("doc_id", 5, 1))
+    return done.select(
+        "doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -83,6 +92,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op7_near_dedup": op7_near_dedup,
+    "op8_lm": op8_lm,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
 }
