@@ -107,3 +107,31 @@ SELECT dw.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, dw.doc_
   dw.doc_id = coalesce(component_id, dw.doc_id) AS kept
 FROM dw LEFT JOIN n ON n.doc_id = dw.doc_id LEFT JOIN comp ON comp.doc_id = dw.doc_id
 """
+
+OP4_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents WHERE doc_id IS NOT NULL
+),
+same AS (
+  SELECT *, len(ws) AS n, min(doc_id) OVER (PARTITION BY ws) AS lo, max(doc_id) OVER (PARTITION BY ws) AS hi FROM dw
+),
+win AS (
+  SELECT doc_id, s, hash(ws[s + 1:s + 50]) AS h
+  FROM (SELECT doc_id, ws, unnest(range(0, n - 49)) AS s FROM same WHERE doc_id = lo AND n >= 50)
+),
+rep AS (
+  SELECT doc_id, s, doc_id <> least_id AS removed
+  FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS least_id, max(doc_id) OVER (PARTITION BY h) AS most_id FROM win)
+  WHERE least_id <> most_id
+),
+marked AS (
+  SELECT *, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id, removed ORDER BY s) + 50 THEN 1 ELSE 0 END AS new FROM rep
+),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, removed ORDER BY s) AS island FROM marked)
+SELECT doc_id, CAST(min(s) AS BIGINT) AS start_word, CAST(max(s) + 50 AS BIGINT) AS end_word, removed
+FROM islands GROUP BY doc_id, removed, island
+UNION ALL
+SELECT doc_id, CAST(0 AS BIGINT), CAST(n AS BIGINT), doc_id <> lo FROM same WHERE lo <> hi AND n >= 50
+"""

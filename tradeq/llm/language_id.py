@@ -181,3 +181,18 @@ def predictions(rows: DataFrame, shared) -> DataFrame:
             )
 
     return rows.mapInArrow(run, schema)
+
+
+def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and one nearest language; all columns as they are, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = f"c{names.index(text)}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in slices(batches, at):
+            yield batch.filter(pa.array([bool(LETTER.search(t)) and not model.predict(t)[2] for t in texts(batch, at)]))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

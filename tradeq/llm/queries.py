@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeq.llm import bpe, check_sql, decontaminate, html_text, language_id, lm_score, near_dedup, quality_rules, token_counts, toxicity
+from tradeq.llm import bpe, check_sql, decontaminate, html_text, language_id, lm_score, near_dedup, quality_rules, suffix_dedup, token_counts, toxicity
 from tradeq.llm.common import held_out
 
 
@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of words that repeat across documents."""
+    return suffix_dedup.spans(table(spark, sf_dir, "documents")).drop("v")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of ids and decoded text."""
     docs = table(spark, sf_dir, "documents")
@@ -89,6 +94,7 @@ QUERIES = {
     "op1_language": op1_language,
     "op2_contamination": op2_contamination,
     "op3_html": op3_html,
+    "op4_repeats": op4_repeats,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op7_near_dedup": op7_near_dedup,
@@ -99,6 +105,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_contamination": check_sql.OP2_SQL.strip(),
+    "op4_repeats": check_sql.OP4_SQL.strip(),
     "op6_quality": check_sql.OP6_SQL.strip(),
     "op7_near_dedup": check_sql.OP7_SQL.strip(),
 }
