@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tradeq.llm.common import slices, texts
 
 #: Share of the best block's fused ratio that a path needs, inside and outside an article element.
-INSIDE, OUTSIDE = 0.005, 0.2
+INSIDE, OUTSIDE = 0.005, 0.4
 #: Weights of a block and its neighbours.
 SMOOTH = np.array([0.25, 0.5, 0.25])
 
