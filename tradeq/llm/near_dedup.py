@@ -10,11 +10,12 @@ are verified on their full sets. Links make components.
 
 Equal sets are one node from the start, so copies cost one row each. A bucket is done
 when its members are all in one component or every member outside its main component
-has been compared with all others. A bucket with many such members is divided by
-the second and third band that its members share with each other; what is still
-crowded then goes through hub after hub. No cap, and no pairs of a whole group. A
-link is missed only if no band agrees, in crowded buckets if fewer than three do:
-below one in a million at the threshold, less above.
+has been compared with all others. Members of buckets that stay crowded (similar texts
+below the threshold) are compared in blocks: a task holds two blocks of bounded size,
+counts all intersections at once and returns links only. No cap, and no pairs of a
+whole group are made as rows; the work in a crowd is quadratic in its size, spread
+over its blocks. A link is missed only if no band agrees: below one in a million at
+the threshold, less above.
 
 Texts without words, and null texts, have an empty set and are linked with nothing.
 Null ids are linked with nothing. Rows that repeat an id are handled row by row.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeq.llm.common import hashes, lower_words, mix, runs, signed, slices, texts
@@ -44,8 +45,8 @@ BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 #: A pair is dropped unverified if its sketches are less likely than this factor (log) at the threshold.
 UNLIKELY = 15.0
 #: Bands of the first round; members outside the main component with which a bucket is no longer crowded;
-#: rounds that divide crowded buckets; hubs of a crowded bucket in the rounds after.
-FIRST_BANDS, FEW, DIVIDING, HUBS = 4, 16, 2, 16
+#: sets in a block of a crowd, and shingles counted at once.
+FIRST_BANDS, FEW, BLOCK, SHINGLES = 4, 16, 512, 4096
 #: Registers whose low bytes ride along with bucket members, and how many must agree: 6 deviations below the mean.
 RIDING, AGREE = 126, 82
 
@@ -235,10 +236,11 @@ def _links(docs, text, key, nodes, members, threshold) -> DataFrame | None:
     sets = settle(_sets(docs, text, key, near), "sets")
     weight = members.groupBy("bucket").agg(F.count("*").alias("size"))
     degree = members.join(weight, "bucket").groupBy("v").agg(F.sum("size").alias("d"))
-    state = settle(members.join(_riding(near).join(degree, "v"), "v"), "state")
+    about = settle(_riding(near).join(degree, "v"), "about")
+    state = settle(members.join(about, "v"), "state")
     comp = near.select("v", F.col("v").alias("c"))
-    links = done = singles = None
-    for turn in range(1 << 30):
+    links = done = None
+    for turn in range(3):
         live = state.join(comp, "v")
         if turn == 0:
             live = live.filter(F.col("bucket").bitwiseAND(63) < FIRST_BANDS)
@@ -247,47 +249,91 @@ def _links(docs, text, key, nodes, members, threshold) -> DataFrame | None:
             F.sum("n_c").alias("size"), F.max("n_c").alias("most"), F.max_by("c", F.struct("n_c", "c")).alias("main"), F.min("c").alias("lo"), F.max("c").alias("hi")
         ).filter("lo <> hi")
         live = settle(live.join(mixed.select("bucket", "main", (F.col("size") - F.col("most")).alias("others")), "bucket"), "live")
-        if live.isEmpty():
-            if turn == 0:
-                continue
-            return links
-        crowded = live.filter(f"others > {FEW}")
         if turn < 2:
             hubs = live.join(live.groupBy("bucket").agg(F.max_by("v", F.struct("d", "v")).alias("w")), "bucket").filter("v = w").drop("w")
         else:
             hubs = live.filter(f"others <= {FEW} AND c <> main")
-            if turn >= 2 + DIVIDING:
-                # members of small components first: the rest of the bucket is in one already
-                first = Window.partitionBy("bucket").orderBy("n_c", F.desc("d"), "v")
-                ranked = crowded.join(inside, ["bucket", "c"]).withColumn("place", F.row_number().over(first))
-                hubs = hubs.union(ranked.filter(f"place <= {HUBS}").select(hubs.columns))
         hubs = settle(hubs.select("bucket", F.col("v").alias("w"), F.col("c").alias("cw"), F.col("m").alias("mw"), F.col("r").alias("rw")), "hubs")
         pairs = _agreeing(live.join(hubs, "bucket").filter("c <> cw"), threshold).distinct()
         if done is not None:
             pairs = pairs.join(done, ["v", "w"], "left_anti")
         pairs = settle(pairs, "pairs")
-        found = settle(_verified(_likely(pairs, near, threshold), sets, threshold), "links")
+        found = _verified(_likely(pairs, near, threshold), sets, threshold)
+        if turn == 2:
+            crowd = _crowd(live.filter(f"others > {FEW}"))
+            if crowd is not None:
+                found = found.union(_in_blocks(crowd.join(comp, "v"), sets, near, threshold))
+        found = settle(found, "links")
         done = pairs if done is None else settle(done.union(pairs), "done")
         if not found.isEmpty():
             links = found if links is None else settle(links.union(found), "links")
-            comp = settle(
-                near.select("v").join(_components(links), "v", "left").select("v", F.coalesce("c", "v").alias("c")), "state-components"
-            )
-        kept = ["bucket", "v", "m", "r", "d"]
-        if turn < 2 or turn >= 2 + DIVIDING:
+            if turn < 2:
+                comp = settle(
+                    near.select("v").join(_components(links), "v", "left").select("v", F.coalesce("c", "v").alias("c")), "state-components"
+                )
+        if turn < 2:
             # a hub has met every member of another component: it leaves its bucket
-            rest = state if turn < 2 else crowded.select(kept)
-            state = settle(rest.join(hubs.select("bucket", F.col("w").alias("v")), ["bucket", "v"], "left_anti").select(kept), "state")
-        else:
-            # crowded buckets are divided by a further band that is crowded too: pairs in other buckets have met there
-            singles = crowded.select("v", F.col("bucket").alias("also")) if singles is None else singles
-            number = F.col("also").bitwiseAND(63)
-            divided = crowded.select(kept).join(singles, "v").filter(number > F.col("bucket").bitwiseAND(63))
-            mixed_key = F.xxhash64("bucket", "also").bitwiseAND(~63).bitwiseOR(number)
-            state = settle(divided.select(mixed_key.alias("bucket"), "v", "m", "r", "d"), "state")
+            state = settle(state.join(hubs.select("bucket", F.col("w").alias("v")), ["bucket", "v"], "left_anti").select("bucket", "v", "m", "r", "d"), "state")
     return links
 
 
+def _crowd(crowded: DataFrame) -> DataFrame | None:
+    """(v, g): members of crowded buckets, by groups of those that share buckets; None if there are none."""
+    if crowded.isEmpty():
+        return None
+    least = crowded.groupBy("bucket").agg(F.min("v").alias("b"))
+    together = crowded.select("bucket", F.col("v").alias("a")).join(least, "bucket").select("a", "b")
+    return settle(_components(together).withColumnRenamed("c", "g"), "crowd")
+
+
+def _in_blocks(crowd: DataFrame, sets: DataFrame, near: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between sets of different components of a crowd (v, g, c)."""
+    blocks = crowd.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("n"))
+    own = F.pmod(F.xxhash64("v"), F.col("n"))
+    rows = crowd.join(blocks, "g").withColumn("own", own).join(sets, "v").join(_riding(near).select("v", "r"), "v")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = rows.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "c", "set", "r")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        i, own, v, c = (table.column(x).to_numpy() for x in ("i", "own", "v", "c"))
+        r = np.frombuffer(b"".join(table.column("r").to_pylist()), np.uint8).reshape(-1, RIDING)
+        first = np.flatnonzero(own == i[0])
+        second = first if table.column("j")[0].as_py() == i[0] else np.flatnonzero(own != i[0])
+        allowed = np.zeros((len(first), len(second)), bool)
+        for row, at in enumerate(first):
+            allowed[row] = ((r[second] == r[at]).sum(1) >= AGREE) & (c[second] != c[at])
+        a = b = np.empty(0, np.int64)
+        if allowed.any():
+            sizes, both = _intersections(table.column("set"), first, second)
+            ok = allowed & (both * 100 >= (sizes[first][:, None] + sizes[second][None, :] - both) * threshold)
+            x, y = np.nonzero(ok)
+            a, b = v[first[x]], v[second[y]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def _intersections(column, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of all sets, and of the intersections of those at ``first`` with those at ``second``."""
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(np.asarray(column.offsets)).astype(np.int64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    _, token, often = np.unique(np.asarray(column.flatten()), return_inverse=True, return_counts=True)
+    number = np.cumsum(often > 1) - 1  # of the shingles that two sets hold
+    keep = often[token] > 1
+    token, of = number[token[keep]], of[keep]
+    order = np.argsort(token, kind="stable")
+    token, of = token[order], of[order]
+    both = np.zeros((len(first), len(second)), np.int64)
+    for low in range(0, int(token[-1]) + 1 if len(token) else 0, SHINGLES):
+        a, b = np.searchsorted(token, (low, low + SHINGLES))
+        held = np.zeros((len(sizes), SHINGLES), np.float32)
+        held[of[a:b], token[a:b] - low] = 1
+        both += (held[first] @ held[second].T).astype(np.int64)
+    return sizes, both
+
+
 def _riding(nodes: DataFrame) -> DataFrame:
     """(v, m, r): size, and low bytes of the first registers, of every node."""
 
