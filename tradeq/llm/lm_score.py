@@ -86,6 +86,7 @@ class Words:
     total: int
     distinct: int
     discount: float
+    least: int  # count from which words are among the frequent ones
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, known): where tokens stand among the frequent words."""
@@ -117,7 +118,7 @@ def learn_words(counts: DataFrame, frequent: int) -> Words:
     number = np.full(len(h), -1, np.int64)
     ranked = np.lexsort((h, -n))[:PAIRS]
     number[ranked] = np.arange(len(ranked))
-    return Words(h, n, number, int(total[0] or 0), int(total[1] or 0), discount)
+    return Words(h, n, number, int(total[0] or 0), int(total[1] or 0), discount, least)
 
 
 #: The beginning of a text as a history.
@@ -253,7 +254,6 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
     words = learn_words(counts, frequent)
     sent_words = context.broadcast(words)
     automaton = context.broadcast(build(words, count_grams(learned, sent_words).toPandas()))
-    least = int(words.n.min()) if len(words.n) else 1
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, graph, ids = sent_words.value, automaton.value, row_ids()
@@ -291,7 +291,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
     own = F.when(c > 0, F.log10((c - words.discount) / max(1, words.total))).otherwise(F.lit(float(np.log10(words.unknown))))
     zero = F.lit(0)
     return (
-        rare.join(counts.filter(F.col("n") < least).select("h", F.col("n").alias("c")), "h", "left")
+        rare.join(counts.filter(F.col("n") < words.least).select("h", F.col("n").alias("c")), "h", "left")
         .groupBy("row")
         .agg(
             F.first("k").alias(key),
