@@ -198,3 +198,48 @@ def test_error_rates(rows):
         words = ref.upper().split(), hyp.upper().split()
         assert r.cer == pytest.approx(_edits(ref, hyp) / len(ref) if ref else float(bool(hyp)))
         assert r.wer == pytest.approx(_edits(*words) / len(words[0]) if words[0] else float(bool(words[1])))
+
+
+def test_short_names_join_themselves(rows):
+    names = ["IRON", "GOLD", "STIMS", "TIN", "GO", "X"]
+    left, right = rows("token string", *[(n,) for n in names]), rows("value string", *[(n,) for n in names])
+    from tradeq.operators.similarity import similarity_join
+
+    got = {(r["token"], r["value"]) for r in similarity_join(left, right).collect()}
+    assert {(n, n) for n in names} <= got and ("IRON", "TIN") not in got
+
+
+def test_large_ids_stay_recent(rows):
+    from tradeq.operators.staleness import recent_pairs
+
+    log = rows("id_terminal long, ok boolean, sent_at long, submitted_commodity_ids string", (1, True, 100, "[3000000000,5]"))
+    assert {r["id_commodity"] for r in recent_pairs(log, 110).collect()} == {3000000000, 5}
+
+
+def test_no_findings_without_terminal(rows):
+    from tradeq.operators.quality import drift_findings, dup_guard
+
+    mine = rows(
+        "payload_id long, row_index int, id_terminal long, id_commodity long, price_buy double, price_sell double, sent_at long",
+        (1, 0, 0, 7, 1.0, None, 200), (2, 0, 3, 7, 1.0, None, 200),
+    )
+    live = rows("live_id int, id_terminal long, id_commodity long, price_buy double, price_sell double, date_modified long", (1, 9, 9, 1.0, 1.0, 1))
+    log = rows("id_terminal long, ok boolean, sent_at long, submitted_commodity_ids string", (0, True, 150, "[7]"), (3, True, 150, "[7]"))
+    assert [r["payload_id"] for r in drift_findings(mine, live, 300).collect()] == [2]
+    assert [r["payload_id"] for r in dup_guard(mine, log).collect()] == [2]
+
+
+def test_lower_score_limit_is_exact(rows):
+    from tradeq.functions import text as T
+    from tradeq.operators.similarity import similarity_join
+    from pyspark.sql import functions as F
+
+    words = ["NORTH HUB", "NORTH HAB", "SOUTH GATE", "GATE SOUTH", "NORTE", "NORT HUB STATION", "MIC L1", "MIC", "HUB"]
+    left, right = rows("token string", *[(n,) for n in words]), rows("value string", *[(n,) for n in words])
+    for limit in (65, 70, 90):
+        pairs = left.crossJoin(right).withColumn(
+            "score", T.let(F.struct(T.text_forms(F.col("token")).alias("a"), T.text_forms(F.col("value")).alias("b")), lambda p: T.weighted_of(
+                p["a"]["text"], p["b"]["text"], p["a"]["sorted"], p["b"]["sorted"], p["a"]["words"], p["b"]["words"], 1))
+        ).filter(F.col("score") >= limit)
+        got = {tuple(r) for r in similarity_join(left, right, limit).collect()}
+        assert got == {(r["token"], r["value"], r["score"]) for r in pairs.collect()}

@@ -77,27 +77,29 @@ def token_set_of(words_a: Column, words_b: Column) -> Column:
     return let(full, lambda p: F.greatest(ratio(p["s"], p["a"]), ratio(p["s"], p["b"]), ratio(p["a"], p["b"])))
 
 
-def _near(a: Column, b: Column) -> Column:
-    """Lengths close enough for a ratio of 70 or more."""
+def _near(a: Column, b: Column, floor: int) -> Column:
+    """Lengths close enough for a ratio of ``floor`` or more."""
     la, lb = F.char_length(a), F.char_length(b)
-    return F.least(la, lb) >= F.greatest(la, lb) * 0.69
+    return F.least(la, lb) >= F.greatest(la, lb) * ((floor - 1) / 100.0)
 
 
 def word_set(c: Column) -> Column:
     return F.array_sort(F.array_distinct(words(c)))
 
 
-def weighted_of(a: Column, b: Column, sort_a: Column, sort_b: Column, set_a: Column, set_b: Column) -> Column:
-    """``weighted`` over forms computed once per string; exact from 70 on.
+def weighted_of(
+    a: Column, b: Column, sort_a: Column, sort_b: Column, set_a: Column, set_b: Column, floor: int = 70
+) -> Column:
+    """``weighted`` over forms computed once per string; exact from ``floor`` on.
 
-    Parts that cannot reach 70 are not computed: strings of very different
+    Parts that cannot reach it are not computed: strings of very different
     length, and word sets without a shared word and of very different length.
     """
     low = F.lit(0)
-    may_share = F.arrays_overlap(set_a, set_b) | _near(F.array_join(set_a, " "), F.array_join(set_b, " "))
+    may_share = F.arrays_overlap(set_a, set_b) | _near(F.array_join(set_a, " "), F.array_join(set_b, " "), floor)
     return F.greatest(
-        F.when(_near(a, b), ratio(a, b)).otherwise(low),
-        F.when(_near(sort_a, sort_b), _ninety_five(ratio(sort_a, sort_b))).otherwise(low),
+        F.when(_near(a, b, floor), ratio(a, b)).otherwise(low),
+        F.when(_near(sort_a, sort_b, floor), _ninety_five(ratio(sort_a, sort_b))).otherwise(low),
         F.when(may_share, _ninety_five(token_set_of(set_a, set_b))).otherwise(low),
     )
 

@@ -16,10 +16,6 @@ def csv_of(c: Column) -> Column:
     return F.array_join(F.transform(c, lambda n: n.cast("string")), ",")
 
 
-def json_ints(c: Column) -> Column:
-    return F.from_json(c, "array<int>")
-
-
 def json_strings(c: Column) -> Column:
     """Strings of a JSON array; null when the text is not a JSON array."""
     return F.from_json(c, "array<string>")

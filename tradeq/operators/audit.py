@@ -23,8 +23,11 @@ def log_rows(df: DataFrame) -> DataFrame:
 
 
 def append_submissions(df: DataFrame, path: str) -> None:
-    """Append to the log, one folder per day; rows of a day are gathered before the write."""
-    log_rows(df).repartition("dt", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions(
+    """Append to the log, one folder per day; rows of a day are gathered before the write.
+
+    Adaptive execution splits a day by its size in bytes.
+    """
+    log_rows(df).hint("rebalance", "dt").sortWithinPartitions(
         "dt", "id_terminal", F.col("sent_at").desc()
     ).write.mode("append").partitionBy("dt").parquet(path)
 

@@ -552,7 +552,7 @@ def regions_to_lines(regions: DataFrame) -> DataFrame:
 def capture_time(name: Column) -> Column:
     """Display time of a capture file name; other names come back without extension."""
     base = F.regexp_replace(F.element_at(F.split(name, r"[/\\]"), -1), r"\.[^.]*$", "")
-    rest = F.substring(base, 12, 10000)
+    rest = F.substr(base, F.lit(12))
     tail = F.regexp_extract(rest, r"^.+-([^-]{3,4})$", 1)
     tagged = (tail != "") & tail.rlike(r"\p{L}")
     core = F.when(tagged, F.regexp_extract(rest, r"^(.+)-[^-]{3,4}$", 1)).otherwise(rest)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tradeq.functions.text import strip
 
-FIRST_CODE = 0x10000  # word codes go from here to 0x10FFFF, about a million distinct words per pair
+FIRST_CODE, LAST_CODE = 0x10000, 0x10FFFF  # word codes: about a million distinct words per pair
 
 
 def plain_text(c: Column) -> Column:
@@ -41,6 +41,9 @@ def word_error(df: DataFrame, reference: str, hypothesis: str, out: str) -> Data
         "_all",
         lambda w, i: F.decode(F.unhex(F.lpad(F.hex(i + FIRST_CODE), 8, "0")), "UTF-32"),
     )
+    # a pair with more distinct words than there are codes must not get a wrong distance
+    too_many = F.size("_all") > LAST_CODE - FIRST_CODE + 1
+    code = F.when(too_many, F.raise_error(F.lit("more distinct words in a pair than codes")).cast("array<string>")).otherwise(code)
     coded = coded.withColumn("_codes", F.map_from_arrays("_all", code))
     spell = lambda c: F.array_join(F.transform(c, lambda w: F.element_at("_codes", w)), "")
     rate = _rate(F.levenshtein(spell("_r"), spell("_h")), F.size("_r"), F.size("_h"))

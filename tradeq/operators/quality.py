@@ -243,7 +243,8 @@ def dup_guard(rows: DataFrame, submissions: DataFrame, window: int = DUPLICATE_S
     before = sent.select(*keys, (F.col("bucket") + 1).alias("bucket"), "last_ok")
     hit = (F.col("first_ok") <= F.col("sent_at")) | (F.col("last_ok") >= F.col("sent_at") - window)
     return (
-        rows.withColumn("bucket", bucket)
+        rows.filter("id_terminal > 0")
+        .withColumn("bucket", bucket)
         .join(same, [*keys, "bucket"], "left")
         .join(before, [*keys, "bucket"], "left")
         .filter(F.coalesce(hit, F.lit(False)))
@@ -290,13 +291,14 @@ def asof_last_price(events: DataFrame, prices: DataFrame, keys: list[str], bucke
 def drift_findings(rows: DataFrame, live: DataFrame, now: int) -> DataFrame:
     """One finding per row and priced side against the last live price.
 
-    A row with no live record gives one INFO. A negative live price gives none.
+    A row with no live record gives one INFO. A negative live price gives none, and
+    neither does a row without a terminal.
     """
     order = F.struct("live_id")
     first = live.groupBy("id_terminal", "id_commodity").agg(
         F.min_by(F.struct("price_buy", "price_sell", "date_modified"), order).alias("live")
     )
-    joined = rows.join(first, ["id_terminal", "id_commodity"], "left")
+    joined = rows.filter("id_terminal > 0").join(first, ["id_terminal", "id_commodity"], "left")
     fresh = F.coalesce(F.lit(now) - F.col("live.date_modified") < DUPLICATE_SECONDS, F.lit(False))
 
     def appraise(side: str) -> Column:

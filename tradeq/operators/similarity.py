@@ -19,8 +19,6 @@ from tradeq.functions import text as T
 from tradeq.operators.catalog import rich_label
 from tradeq.operators.ordered import costly_filter, spread_distinct
 
-LOWEST_SCORE = 70
-
 # Fixed list: screen labels that are never a place name, and the score from which text counts as one.
 NOISE_LABELS = [
     "COMMODITIES", "YOUR INVENTORIES", "SHOP INVENTORY", "SELECT SUB CATEGORY", "SELECT SUB-CATEGORY",
@@ -82,8 +80,6 @@ def candidate_pairs(tokens: DataFrame, values: DataFrame, min_score: int) -> Dat
     Inputs hold distinct strings prepared by ``forms`` as ``token``/``t_*`` and
     ``value``/``v_*``.
     """
-    if min_score < LOWEST_SCORE:
-        raise ValueError(f"blocking is exact from a score of {LOWEST_SCORE} on")
     ts, vs = _strings("token", "t"), _strings("value", "v")
     longest = values.agg(F.max("v_len")).scalar()
     # pieces of a token can only matter for values long enough to reach the score
@@ -103,14 +99,14 @@ def candidate_pairs(tokens: DataFrame, values: DataFrame, min_score: int) -> Dat
     )
 
 
-def _scored(pairs: DataFrame, values: DataFrame, partial_from: int | None = None) -> DataFrame:
-    """Scores of (token, value) pairs. Token forms are worked out again here, so the
-    token table, which may be costly, is read only once."""
+def _scored(pairs: DataFrame, values: DataFrame, min_score: int, with_partial: bool = False) -> DataFrame:
+    """Scores of (token, value) pairs, exact from ``min_score`` on. Token forms are worked
+    out again here, so the token table, which may be costly, is read only once."""
     both = forms(pairs, "token", "t").join(values, "value")
     weighted = T.weighted_of(
-        F.col("token"), F.col("value"), F.col("t_sorted"), F.col("v_sorted"), F.col("t_set"), F.col("v_set")
+        F.col("token"), F.col("value"), F.col("t_sorted"), F.col("v_sorted"), F.col("t_set"), F.col("v_set"), min_score
     )
-    if partial_from is None:
+    if not with_partial:
         return both.withColumn("score", weighted)
     short = F.when(F.col("t_len") <= F.col("v_len"), F.col("token")).otherwise(F.col("value"))
     long = F.when(F.col("t_len") <= F.col("v_len"), F.col("value")).otherwise(F.col("token"))
@@ -120,7 +116,7 @@ def _scored(pairs: DataFrame, values: DataFrame, partial_from: int | None = None
             "score",
             F.greatest(
                 weighted,
-                T.partial_of(F.col("short"), F.col("long"), partial_from),
+                T.partial_of(F.col("short"), F.col("long"), min_score),
                 T.token_set_of(F.col("t_set"), F.col("v_set")),
             ),
         )
@@ -181,7 +177,7 @@ def resolve_commodities(tokens: DataFrame, commodities: DataFrame, min_score: in
         .select("token", "value")
     )
     need = F.when(F.col("t_len") <= 4, F.lit(max(min_score, 95))).otherwise(F.lit(min_score))
-    fuzzy = _scored(near, values).withColumn("score", penalised(F.col("score"), F.col("t_len"), F.col("v_len")))
+    fuzzy = _scored(near, values, min_score).withColumn("score", penalised(F.col("score"), F.col("t_len"), F.col("v_len")))
     return _best(fuzzy, need)
 
 
@@ -194,7 +190,7 @@ def resolve_terminals(tokens: DataFrame, terminals: DataFrame, min_score: int =
     values = catalog_values(terminals, TERMINAL_FIELDS)
     distinct = spread_distinct(tokens.filter(F.char_length("token") >= 3), "token")
     clean = forms(costly_filter(distinct, ~is_noise(F.col("token"))), "token", "t")
-    scored = _scored(candidate_pairs(clean, values, min_score), values, min_score)
+    scored = _scored(candidate_pairs(clean, values, min_score), values, min_score, with_partial=True)
     return _best(scored, F.lit(min_score))
 
 
@@ -247,28 +243,12 @@ def best_match(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return both.groupBy(key).agg(best.alias("m")).select(key, "m.*")
 
 
-def similarity_join(left: DataFrame, right: DataFrame, k: int = 3, min_score: int = 70) -> DataFrame:
-    """Pairs of two name tables sharing at least ``k`` trigrams, scored by ``weighted``.
-
-    For catalogs too large for comfort; pairs sharing fewer trigrams are not seen,
-    the exact form is ``resolve_commodities``.
-    """
-    def trigrams(c: str) -> Column:
-        s = F.col(c)
-        at = F.sequence(F.lit(1), F.char_length(s) - 2)
-        return F.explode(F.array_distinct(F.transform(at, lambda i: F.substring(s, i, F.lit(3)))))
-
-    tokens = forms(spread_distinct(left.filter(F.char_length("token") >= 3), "token").drop("n"), "token", "t")
-    values = forms(right.select("value").distinct().filter(F.char_length("value") >= 3), "value", "v")
-    pairs = (
-        tokens.select("token", trigrams("token").alias("gram"))
-        .join(values.select("value", trigrams("value").alias("gram")), "gram")
-        .groupBy("token", "value")
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .filter(F.col("shared") >= k)
-    )
-    scored = _scored(pairs, values)
-    return scored.filter(F.col("score") >= min_score).select("token", "value", "shared", "score")
+def similarity_join(left: DataFrame, right: DataFrame, min_score: int = 70) -> DataFrame:
+    """All pairs of two name tables with ``weighted`` >= ``min_score``; no length is too short."""
+    tokens = forms(spread_distinct(left.filter("token <> ''"), "token").drop("n"), "token", "t")
+    values = forms(right.select("value").distinct().filter("value <> ''"), "value", "v")
+    scored = _scored(candidate_pairs(tokens, values, min_score), values, min_score)
+    return scored.filter(F.col("score") >= min_score).select("token", "value", "score")
 
 
 SEPARATORS = r"[ \t·/\\|\-–—,()\[\]]+"
@@ -277,6 +257,8 @@ SEARCH_FIELDS = [
     "star_system_name",
 ]
 FIELD_BREAK = "\u0001"
+#: A single hit resolves a query only from this many characters on.
+RESOLVING_LENGTH = 3
 
 
 def search_terminals(queries: DataFrame, terminals: DataFrame, limit: int = 50) -> DataFrame:
@@ -297,7 +279,8 @@ def search_terminals(queries: DataFrame, terminals: DataFrame, limit: int = 50)
         "id", "label", "hay", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))).alias("key")
     )
     parts = F.filter(F.split(F.upper(T.strip(F.col("query"))), SEPARATORS), lambda p: F.char_length(p) >= 2)
-    asked = queries.select("query_id", parts.alias("parts"))
+    long_enough = F.char_length(T.strip(F.col("query"))) >= RESOLVING_LENGTH
+    asked = queries.select("query_id", parts.alias("parts"), F.coalesce(long_enough, F.lit(False)).alias("long_enough"))
     longest = F.array_max(F.transform("parts", lambda p: F.struct(F.char_length(p).alias("n"), p.alias("p"))))["p"]
     worded = asked.filter(F.size("parts") > 0).withColumn("key", F.substring(longest, 1, 3))
     hits = worded.join(keyed, "key").filter(F.forall("parts", lambda p: F.contains(F.col("hay"), p)))
@@ -311,8 +294,7 @@ def search_terminals(queries: DataFrame, terminals: DataFrame, limit: int = 50)
         "id", "label", F.lit(0).alias("key"),
         F.row_number().over(W.orderBy("label", "id")).alias("rank"), total.alias("n_candidates"),
     )
-    wordless = asked.filter(F.size("parts") == 0).select("query_id", F.lit(0).alias("key")).join(everything, "key")
+    wordless = asked.filter(F.size("parts") == 0).select("query_id", "long_enough", F.lit(0).alias("key")).join(everything, "key")
     columns = ["query_id", "rank", "id", "label", "n_candidates"]
-    return found.select(*columns).unionByName(wordless.select(*columns)).withColumn(
-        "is_resolved", F.col("n_candidates") == 1
-    )
+    resolved = ((F.col("n_candidates") == 1) & F.col("long_enough")).alias("is_resolved")
+    return found.select(*columns, resolved).unionByName(wordless.select(*columns, resolved))

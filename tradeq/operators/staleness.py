@@ -79,8 +79,7 @@ def recent_pairs(submissions: DataFrame, now: int, window: int = RECENT_SECONDS)
     """Distinct (terminal, commodity) submitted OK within the window before ``now``."""
     return (
         submissions.filter(F.col("ok") & (F.col("sent_at") >= now - window))
-        .select("id_terminal", F.explode(F.from_json("submitted_commodity_ids", "array<int>")).alias("id_commodity"))
-        .select("id_terminal", F.col("id_commodity").cast("long").alias("id_commodity"))
+        .select("id_terminal", F.explode(F.from_json("submitted_commodity_ids", "array<bigint>")).alias("id_commodity"))
         .distinct()
     )
 

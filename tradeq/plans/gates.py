@@ -163,7 +163,7 @@ def _log_rows(m: Market) -> DataFrame:
 
 _DUP = """SELECT q.payload_id, q.id_terminal, q.id_commodity, q.sent_at
     FROM (SELECT id AS payload_id, id_terminal, id_commodity, sent_at+120+id%300 AS sent_at FROM submitted_ids) q
-    WHERE EXISTS (SELECT 1 FROM submitted_ids s WHERE s.ok AND s.id_terminal=q.id_terminal
+    WHERE q.id_terminal>0 AND EXISTS (SELECT 1 FROM submitted_ids s WHERE s.ok AND s.id_terminal=q.id_terminal
       AND s.id_commodity=q.id_commodity AND s.sent_at BETWEEN q.sent_at-300 AND q.sent_at)"""
 
 
@@ -185,7 +185,7 @@ _DRIFT = {
         CASE WHEN side='buy' THEN m.price_buy ELSE m.price_sell END AS l,
         CASE WHEN side='buy' THEN v.price_buy ELSE v.price_sell END AS r,
         v.id_terminal IS NOT NULL AS has_live, coalesce({NOW}-v.date_modified<300,false) AS fresh
-        FROM mine m LEFT JOIN live v USING (id_terminal, id_commodity), (SELECT unnest(['buy','sell']) AS side)""",
+        FROM (SELECT * FROM mine WHERE id_terminal>0) m LEFT JOIN live v USING (id_terminal, id_commodity), (SELECT unnest(['buy','sell']) AS side)""",
     "found": """SELECT DISTINCT payload_id, row_index, id_terminal, id_commodity, NULL AS side, 1 AS severity, 'no_live_row' AS reason, NULL::DOUBLE AS diff
         FROM sides WHERE NOT has_live
         UNION ALL
@@ -269,6 +269,53 @@ def _dup_findings(m: Market) -> DataFrame:
     return Q.dup_guard(asked, log, 30 * 86400).select("payload_id", F.lit(Q.BLOCK).alias("severity"))
 
 
+def _live_prices(m: Market) -> DataFrame:
+    return m.prices_all().select("id_terminal", "id_commodity", "price_buy", "price_sell", "date_modified", F.lit(1).alias("live_id"))
+
+
+def _findings(m: Market) -> DataFrame:
+    """Duplicate and drift findings of the payloads, against what was sent and the live prices."""
+    rows = m.payload_rows().join(m.payloads().select("payload_id", "id_terminal"), "payload_id")
+    drift = Q.drift_findings(rows, _live_prices(m), NOW).select("payload_id", "severity")
+    return _dup_findings(m).unionByName(drift)
+
+
+_FULL_GATE = _GATE | {
+    "pr": "SELECT r.*, p.id_terminal FROM payload_rows r JOIN payloads p USING (payload_id) WHERE p.id_terminal>0",
+    "both_sides": f"""SELECT r.payload_id, unnest([r.price_buy, r.price_sell]) AS l, unnest([v.price_buy, v.price_sell]) AS remote,
+        v.id_terminal IS NOT NULL AS has_live, coalesce({NOW}-v.date_modified<300,false) AS fresh
+        FROM pr r LEFT JOIN prices_all v USING (id_terminal, id_commodity)""",
+    "drift": """SELECT payload_id, 1 AS severity FROM both_sides WHERE NOT has_live
+        UNION ALL SELECT payload_id, CASE WHEN abs(l-remote)/remote<0.01 AND fresh THEN 3 WHEN abs(l-remote)/remote>0.3 THEN 3
+          WHEN abs(l-remote)/remote>0.05 THEN 2 ELSE 1 END FROM both_sides WHERE has_live AND l IS NOT NULL AND remote>0
+        UNION ALL SELECT payload_id, 1 FROM both_sides WHERE has_live AND l IS NOT NULL AND (remote IS NULL OR remote=0)""",
+    "worst_found": """SELECT payload_id, max(severity) AS wf FROM (SELECT * FROM drift UNION ALL SELECT payload_id, 3 FROM dup) GROUP BY 1""",
+}
+
+
+@query("gate_pipeline", using(_ISSUES + " prices_all", """
+    SELECT payload_id, n_rows, outcome, (NOT (is_blocking OR wf=3) OR payload_id%3=0)
+        AND (NOT (n_warnings>0 OR wf IN (1,2)) OR payload_id%2=0) AS can_send
+    FROM (SELECT payload_id, n_rows, is_blocking, n_warnings, coalesce(wf,0) AS wf, CASE WHEN n_rows=0 THEN 'skipped' WHEN worst=3 THEN 'validation_blocked'
+        WHEN wf=3 THEN 'duplicated_report' ELSE 'eligible' END AS outcome
+      FROM plan JOIN rollup USING (payload_id) LEFT JOIN worst_found USING (payload_id))""", _FULL_GATE))
+def gate_pipeline(m: Market):
+    """Plan, validation, duplicates and drift, outcome and permission of every payload in one plan."""
+    counts = m.payload_rows().groupBy("payload_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    plan = m.payloads().select("payload_id").join(counts, "payload_id", "left").fillna(0, subset=["n_rows"])
+    issues, findings = issues_of(m), _findings(m)
+    outcomes = Q.gate(plan, issues, findings).select("payload_id", "n_rows", "outcome")
+    worst = findings.groupBy("payload_id").agg(F.max("severity").alias("worst_finding"))
+    k = F.col("payload_id")
+    reports = (
+        Q.rollup_issues(m.payloads(), issues)
+        .join(worst, "payload_id", "left")
+        .fillna(0, subset=["worst_finding"])
+        .withColumns({"override_block": k % 3 == 0, "acknowledged": k % 2 == 0})
+    )
+    return outcomes.join(reports.select("payload_id", Q.can_send().alias("can_send")), "payload_id")
+
+
 @query("gate_outcomes", using(_ISSUES, """
     SELECT payload_id, n_rows, CASE WHEN n_rows=0 THEN 'skipped' WHEN worst=3 THEN 'validation_blocked'
       WHEN payload_id IN (SELECT payload_id FROM dup) THEN 'duplicated_report' ELSE 'eligible' END AS outcome
@@ -413,8 +460,8 @@ def rejected_captures(m: Market):
 
 
 _WIRE_ROW = """'{"id_commodity":'||id_commodity
-   ||CASE WHEN tab='BUY' THEN coalesce(',"scu_buy":'||scu,'')||coalesce(',"status_buy":'||nullif(status,0),'')
-          ELSE coalesce(',"scu_sell":'||scu,'')||coalesce(',"status_sell":'||nullif(status,0),'') END||'}'"""
+   ||CASE WHEN tab='BUY' THEN coalesce(',"price_buy":'||CAST(price AS DECIMAL(18,2)),'')||coalesce(',"scu_buy":'||scu,'')||coalesce(',"status_buy":'||nullif(status,0),'')
+          ELSE coalesce(',"price_sell":'||CAST(price AS DECIMAL(18,2)),'')||coalesce(',"scu_sell":'||scu,'')||coalesce(',"status_sell":'||nullif(status,0),'') END||'}'"""
 
 
 @query("wire_payloads", using(_BATCH, f"""
@@ -424,8 +471,8 @@ _WIRE_ROW = """'{"id_commodity":'||id_commodity
       ||',"prices":['||coalesce(string_agg({_WIRE_ROW}, ',' ORDER BY row_index) FILTER (WHERE id_commodity IS NOT NULL),'')||']}}' AS body
     FROM captures c LEFT JOIN capture_rows r ON c.capture_id=r.capture_id WHERE tab<>'UNKNOWN' GROUP BY 1"""))
 def wire_payloads(m: Market):
-    """JSON bodies; prices are left out here because number printing differs between engines."""
-    rows = m.capture_rows().withColumn("price", F.lit(None).cast("double"))
+    """JSON bodies; prices are whole cents."""
+    rows = m.capture_rows().withColumn("price", F.col("price").cast("decimal(18,2)"))
     return B.to_wire_json(B.build_payloads(m.captures(), rows, "batch"))
 
 

@@ -160,14 +160,14 @@ def target_priority(m: Market):
 
 @query("urgent_prices", using("enriched", """
     SELECT id_terminal, id_commodity, side, star_system, is_reachable, days_stale, round(priority,6) AS priority
-    FROM enriched ORDER BY priority DESC, id_terminal, id_commodity, side LIMIT 500"""))
+    FROM enriched"""))
 def urgent_prices(m: Market):
-    """The most urgent stale prices with where they are."""
+    """All stale prices with where they are, the most urgent first."""
     targets = enriched_targets(m).select(
         "id_terminal", "id_commodity", "side", "star_system", "is_reachable", "days_stale",
         F.round("priority", 6).alias("priority"),
     )
-    return S.rank_targets(targets).limit(500)
+    return S.rank_targets(targets)
 
 
 @query("target_catalog_join", using("enriched", """

@@ -46,6 +46,12 @@ def commodity_resolution(m: Market):
 # ---- terminals ---------------------------------------------------------------
 
 
+def spread_over(rows: DataFrame, key: str, terminals: DataFrame) -> DataFrame:
+    """Give every row a terminal, all terminals in turn; the aggregate joined in is one row."""
+    top = terminals.agg((F.max("id") + 1).alias("n_places"))
+    return rows.crossJoin(top).withColumn("place", F.col(key) % F.col("n_places")).join(terminals, F.col("place") == F.col("id"))
+
+
 def noisy_places(m: Market) -> DataFrame:
     """A misread place name per customer."""
     terminals = m.terminals().select("id", "name", "space_station_name", "outpost_name", "city_name")
@@ -55,11 +61,11 @@ def noisy_places(m: Market) -> DataFrame:
         F.when(k % 37 == 0, F.lit("YOURSIOVEHTORTES"))
         .when(k % 5 == 0, F.col("name"))
         .when(k % 5 == 1, F.translate(name, "oO", "00"))
-        .when(k % 5 == 2, F.substring(name, 2, 100))
+        .when(k % 5 == 2, F.substr(name, F.lit(2)))
         .when(k % 5 == 3, F.concat(F.substring_index(name, " ", -1), F.lit(" "), F.substring_index(name, " ", 2)))
         .otherwise(F.concat(F.col("name"), F.lit(" LEVEL 12")))
     )
-    return m.table("customer").join(terminals, k % 100 == F.col("id")).select(
+    return spread_over(m.table("customer"), "c_custkey", terminals).select(
         k.alias("capture_id"), raw.alias("raw"), T.norm(raw).alias("token")
     )
 
@@ -71,14 +77,14 @@ PLACE_VIEWS = {
           WHEN c_custkey%5=3 THEN split_part(n,' ',-1)||' '||array_to_string(string_split(n,' ')[1:2],' ')
           ELSE name||' LEVEL 12' END AS raw
         FROM customer JOIN (SELECT *, coalesce(space_station_name, outpost_name, city_name, name) AS n FROM terminals) t
-          ON c_custkey%100=t.id)""",
+          ON c_custkey%(SELECT max(id)+1 FROM terminals)=t.id)""",
     "tvals": """SELECT value, arg_min(id, id*10+f) AS ord, min(id*10+f)%10 AS field_ord FROM (""" + " UNION ALL ".join(
         f"SELECT id, {i} AS f, upper(trim({c})) AS value FROM terminals" for i, c in enumerate(S.TERMINAL_FIELDS)
     ) + ") WHERE value<>'' GROUP BY 1",
 }
 
 
-def terminal_match_views(tokens: str) -> dict[str, str]:
+def terminal_match_views(tokens: str, min_score: int = 75) -> dict[str, str]:
     field = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(S.TERMINAL_FIELDS))
     noise = Q.weighted("token", "label")
     # 95 % of token_set never beats token_set, so weighted adds only ratio and token_sort
@@ -92,7 +98,7 @@ def terminal_match_views(tokens: str) -> dict[str, str]:
         "tscores": f"SELECT *, {score} AS score FROM ttoks, tforms WHERE token NOT IN (SELECT token FROM noisy)",
         "tmatch": f"""SELECT token, ord AS matched_id, CASE field_ord {field} END AS matched_field, value AS matched_value, score
             FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, ord, field_ord) AS rn FROM tscores
-                  WHERE score>=75) WHERE rn=1""",
+                  WHERE score>={min_score}) WHERE rn=1""",
     }
 
 
@@ -101,6 +107,12 @@ def terminal_resolution(m: Market):
     return S.resolve_terminals(noisy_places(m), m.terminals(), 75)
 
 
+@query("terminal_resolution_65", using("terminals", "SELECT * FROM tmatch", PLACE_VIEWS | terminal_match_views("places", 65)))
+def terminal_resolution_65(m: Market):
+    """The same at the lower score that captures are read with."""
+    return S.resolve_terminals(noisy_places(m), m.terminals(), 65)
+
+
 def place_lines(m: Market) -> DataFrame:
     """Header text of each capture: a label, a place name over one to three lines, more labels."""
     k = F.col("o_orderkey")
@@ -114,7 +126,7 @@ def place_lines(m: Market) -> DataFrame:
     )
     lines = F.concat(F.array(F.lit("YOUR INVENTORIES")), name, F.array(F.lit("CURRENT BALANCE"), F.lit("tE")))
     return (
-        m.table("orders").join(terminals, F.col("o_custkey") % 100 == F.col("id"))
+        spread_over(m.table("orders"), "o_custkey", terminals)
         .select(k.alias("capture_id"), F.posexplode(lines).alias("line_no", "text"))
     )
 
@@ -125,7 +137,7 @@ _LINE_VIEWS = {
           WHEN 1 THEN [split_part(n,' ',1), split_part(n,' ',2)||' '||split_part(n,' ',3)]
           WHEN 2 THEN [split_part(n,' ',1), translate(split_part(n,' ',2),'IO','10'), split_part(n,' ',3)]
           ELSE ['FPS.','1 2 4 8'] END, ['CURRENT BALANCE','tE']) AS l
-        FROM orders JOIN (SELECT id, upper(name) AS n FROM terminals) t ON o_custkey%100=t.id))""",
+        FROM orders JOIN (SELECT id, upper(name) AS n FROM terminals) t ON o_custkey%(SELECT max(id)+1 FROM terminals)=t.id))""",
     "runs": """SELECT capture_id, line_no, unnest([0,1,2]) AS span, unnest([text, text||' '||b, text||' '||b||' '||c]) AS win FROM (
         SELECT *, lead(text,1) OVER w AS b, lead(text,2) OVER w AS c FROM plines WINDOW w AS (PARTITION BY capture_id ORDER BY line_no))""",
     "wins": """SELECT *, upper(trim(win)) AS token FROM runs WHERE win IS NOT NULL AND length(win)>=4
@@ -158,27 +170,29 @@ def best_of_two_matches(m: Market):
 
 
 _SIM = {
-    "lt": "SELECT DISTINCT token FROM places WHERE length(token)>=3",
-    "rv": "SELECT DISTINCT upper(p_name)||' DEPOT' AS value FROM part",
-    "tri": """SELECT *, (SELECT count(DISTINCT g) FROM (SELECT unnest(list_transform(range(1,length(token)-1), lambda i: substr(token,CAST(i AS INT),3))) AS g)
-        WHERE contains(value,g)) AS shared FROM lt, rv""",
+    "lt": """SELECT DISTINCT token FROM places WHERE token<>'' UNION SELECT DISTINCT split_part(upper(p_name),' ',1) FROM part""",
+    "rv": """SELECT DISTINCT upper(p_name)||' DEPOT' AS value FROM part UNION SELECT DISTINCT split_part(upper(p_name),' ',1) FROM part""",
 }
 
 
 @query("similar_names", using("terminals", f"""
-    SELECT token, value, shared, score FROM (SELECT *, {Q.weighted('token', 'value')} AS score FROM tri WHERE shared>=3) WHERE score>=70""",
+    SELECT token, value, score FROM (SELECT *, {Q.weighted('token', 'value')} AS score FROM lt, rv) WHERE score>=70""",
     {"places": PLACE_VIEWS["places"]} | _SIM))
 def similar_names(m: Market):
-    names = m.table("part").select(F.concat(F.upper("p_name"), F.lit(" DEPOT")).alias("value"))
-    return S.similarity_join(noisy_places(m), names, k=3, min_score=70)
+    """Misread places and short names against depot names and short names."""
+    full = m.table("part").select(F.upper("p_name").alias("n"))
+    short = full.select(F.split_part("n", F.lit(" "), F.lit(1)).alias("value"))
+    names = full.select(F.concat("n", F.lit(" DEPOT")).alias("value")).union(short)
+    tokens = noisy_places(m).select("token").union(short.select(F.col("value").alias("token")))
+    return S.similarity_join(tokens, names, min_score=70)
 
 
 _SEARCH_CASE = {
     "asked": """SELECT c_custkey AS query_id, CASE c_custkey%6 WHEN 0 THEN lower(t.name) WHEN 1 THEN 'depot hub '||(c_custkey%20)
         WHEN 2 THEN 'x' WHEN 3 THEN t.planet_name||' - ('||coalesce(t.star_system_name,'')||')'
         WHEN 4 THEN split_part(t.name,' ',2)||'/'||split_part(t.name,' ',1) ELSE 'nowhere '||t.name END AS query
-        FROM customer JOIN terminals t ON c_custkey%100=t.id""",
-    "parts": """SELECT query_id, list_filter(regexp_split_to_array(upper(trim(query)), '[ \\t·/\\\\|\\-–—,()\\[\\]]+'), lambda p: length(p)>=2) AS parts FROM asked""",
+        FROM customer JOIN terminals t ON c_custkey%(SELECT max(id)+1 FROM terminals)=t.id""",
+    "parts": """SELECT query_id, query, list_filter(regexp_split_to_array(upper(trim(query)), '[ \\t·/\\\\|\\-–—,()\\[\\]]+'), lambda p: length(p)>=2) AS parts FROM asked""",
     "hay": """SELECT id, rich_label AS label, upper(concat_ws(chr(1),displayname,name,nickname,code,space_station_name,outpost_name,
         city_name,planet_name,star_system_name)) AS hay FROM labelled""",
     "hits": """SELECT *, count(*) OVER (PARTITION BY query_id) AS n_candidates, row_number() OVER (PARTITION BY query_id ORDER BY label, id) AS rank
@@ -187,7 +201,7 @@ _SEARCH_CASE = {
 
 
 @query("terminal_search", using("terminals", """
-    SELECT query_id, rank, id, label, n_candidates, n_candidates=1 AS is_resolved FROM hits WHERE rank<=50""", LABEL_VIEWS | _SEARCH_CASE))
+    SELECT query_id, rank, id, label, n_candidates, n_candidates=1 AND length(trim(query))>=3 AS is_resolved FROM hits WHERE rank<=50""", LABEL_VIEWS | _SEARCH_CASE))
 def terminal_search(m: Market):
     k = F.col("c_custkey")
     t = m.terminals().select("id", "name", "planet_name", "star_system_name")
@@ -200,5 +214,5 @@ def terminal_search(m: Market):
         .when(k % 6 == 4, F.concat(word(2), F.lit("/"), word(1)))
         .otherwise(F.concat(F.lit("nowhere "), F.col("name")))
     )
-    asked = m.table("customer").join(t, k % 100 == F.col("id")).select(k.alias("query_id"), text.alias("query"))
+    asked = spread_over(m.table("customer"), "c_custkey", t).select(k.alias("query_id"), text.alias("query"))
     return S.search_terminals(asked, m.terminals())

@@ -131,12 +131,18 @@ ROW_VIEWS = CLASS_VIEWS | {
 }
 
 
-@query("numeric_repair", using("document_lines", f"""
-    SELECT capture_id, line_no, line FROM (SELECT *, {repair_sql('text')} AS line FROM document_lines) WHERE line<>text"""))
+@query("numeric_repair", using("document_lines screen_lines", f"""
+    SELECT source, capture_id, line_no, line FROM (SELECT *, {repair_sql('text')} AS line FROM (
+      SELECT 'document' AS source, capture_id, line_no, text FROM document_lines
+      UNION ALL SELECT 'screen', capture_id, line_no, text FROM screen_lines)) WHERE line<>text"""))
 def numeric_repair(m: Market):
-    """Repaired lines over whole documents."""
-    lines = m.document_lines().withColumn("line", X.repair_numeric(F.col("text")))
-    return lines.filter("line <> text").select("capture_id", "line_no", "line")
+    """Repaired lines of whole documents and screens."""
+    columns = ["source", "capture_id", "line_no", "text"]
+    both = m.document_lines().withColumn("source", F.lit("document")).select(*columns).union(
+        m.screen_lines().withColumn("source", F.lit("screen")).select(*columns)
+    )
+    lines = both.withColumn("line", X.repair_numeric(F.col("text")))
+    return lines.filter("line <> text").select("source", "capture_id", "line_no", "line")
 
 
 @query("parsed_numbers", using("screen_lines", f"""

@@ -352,11 +352,12 @@ _ROUTE_OUT = ["id_origin", "id_destination", "id_commodity", "scu", "this_route_
 
 
 @query("ranked_routes", using(_OVERLAY, """
-    SELECT id_origin, id_destination, id_commodity, scu, this_route_days, round(score,6) AS score FROM scored
-    WHERE profit>0 ORDER BY round(score,6) DESC, id_origin, id_destination, id_commodity LIMIT 1000""", OVERLAY_VIEWS))
+    SELECT id_origin, id_destination, id_commodity, scu, this_route_days, round(score+1e-9,6) AS score FROM scored
+    WHERE profit>0""", OVERLAY_VIEWS))
 def ranked_routes(m: Market):
-    kept = R.filter_profit(scored_routes(m)).withColumn("score", F.round("score", 6))
-    return R.rank_routes(kept).limit(1000).select(*_ROUTE_OUT, "score")
+    # many scores end in exactly half a digit: moved off it, both engines round alike
+    kept = R.filter_profit(scored_routes(m)).withColumn("score", F.round(F.col("score") + 1e-9, 6))
+    return R.rank_routes(kept).select(*_ROUTE_OUT, "score")
 
 
 @query("top_routes", using("ranked_obs terminals enriched recent commodities", """

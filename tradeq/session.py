@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,13 +31,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for one job under the shared folder of the cluster.
 
     ``spark.checkpoint.dir`` names that folder. Only where it is unset (one
-    machine, as in tests) a temporary folder is made and recorded.
+    machine, as in tests) a temporary folder is made, recorded, and removed at exit.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = tempfile.mkdtemp(prefix="tradeq-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)  # made here, so removed here
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tradeq/{purpose}-{uuid.uuid4().hex}"
 
