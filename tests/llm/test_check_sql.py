@@ -1,0 +1,17 @@
+"""The training-data queries next to their SQL on the smallest tables."""
+
+from pathlib import Path
+
+import pytest
+
+from tools.check import compare, duck
+from tradeq.llm.queries import ORACLE_SQL
+
+FOLDER = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="tables not present")
+
+
+@pytest.mark.parametrize("name", list(ORACLE_SQL))
+def test_rows_agree(spark, name):
+    status, n, _, note = compare(spark, duck(FOLDER), name, FOLDER)
+    assert status == "ok" and n > 0, note
