@@ -3,9 +3,10 @@
 Two zstandard dictionaries are made from training texts, one of words that mark
 toxic texts, one of ordinary words. Every window of a text (one word in a frame
 that both dictionaries hold) is compressed with both; how many bytes the toxic
-dictionary saves is the window's distance. The shares of windows beyond several
-distances are turned into a probability by a calibration on training texts whose
-words the dictionaries did not see.
+dictionary saves is the window's distance. How many windows lie beyond several
+distances, by themselves and against what ordinary texts of that length have, is
+turned into a probability by a calibration on training texts whose words the
+dictionaries did not see.
 
 Words are told apart from common ones by their distinct contexts (word before, word,
 word after), so copies of a text count once. Dictionaries hold chosen words as raw
@@ -43,8 +44,10 @@ SIZE = 32768
 LEVEL = 9
 #: Byte n-grams by which toxic words are found, and the evidence (log likelihood ratio) asked of them.
 GRAM, EVIDENCE = 5, 16.0
-#: Distances (bytes saved) whose shares are weighed.
+#: Distances (bytes saved) beyond which windows are counted.
 STEPS = (2, 3, 4, 5, 6)
+#: Windows below which the length of a text tells nothing.
+SHORT = 30
 #: Stands after every window: compressors look for no match in the last bytes of a block.
 FRAME = b"<~window:0123456789abcdef~>"
 
@@ -109,12 +112,20 @@ class Distances:
         window = b" " + word + b" " + FRAME
         return len(self.ordinary.compress(window)) - len(self.toxic.compress(window))
 
-    def features(self, text: str) -> list[float]:
-        """Windows beyond each step, over the root of all windows; and the log of all."""
+    def counts(self, text: str) -> list[float]:
+        """Windows beyond each step, and all windows."""
         found = words(text)
         saved = np.array(self.of.many(found), np.int32)
-        n = len(found)
-        return [float((saved >= s).sum()) / math.sqrt(max(1, n)) for s in STEPS] + [math.log1p(n) / 10]
+        return [*(float((saved >= s).sum()) for s in STEPS), float(len(found))]
+
+
+def features(counts: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """Logarithms of the counts, and of their ratios to what the ``usual`` shares make of the length.
+
+    Texts shorter than ``SHORT`` windows count as about as long: training has too few to learn from.
+    """
+    beyond, n = counts[:, :-1], counts[:, -1:]
+    return np.column_stack([np.log((beyond + 0.5) / (usual * n + 0.5)), np.log1p(beyond), np.log(n + SHORT)])
 
 
 @dataclass
@@ -123,11 +134,13 @@ class Model:
 
     contents: tuple[bytes, bytes]
     weights: np.ndarray | None
+    usual: np.ndarray | None = None  # share of windows beyond each step in ordinary texts
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
+    def scores(self, counts: np.ndarray) -> np.ndarray:
         if self.weights is None:
-            return np.zeros(len(features))
-        return 1 / (1 + np.exp(-np.clip(features @ self.weights[:-1] + self.weights[-1], -30, 30)))
+            return np.zeros(len(counts))
+        x = features(counts, self.usual)
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -199,7 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         tools = [Distances(c) for c in sent.value]
         for batch in slices(batches, "t"):
             folds = batch.column("fold").to_pylist()
-            got = [tools[1 - f].features(t) for t, f in zip(texts(batch, "t"), folds)]
+            got = [tools[1 - f].counts(t) for t, f in zip(texts(batch, "t"), folds)]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(got, pa.list_(pa.float64()))], names=["y", "x"])
 
     got = rows.mapInArrow(measured, "y int, x array<double>").toPandas()
@@ -208,8 +221,10 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     y = got["y"].to_numpy(float)
     x = np.array(got["x"].tolist())
     share = np.where(y == 1, counts[1] / max(1, y.sum()), counts[0] / max(1, (1 - y).sum()))
+    plain = x[y == 0]
+    usual = plain[:, :-1].sum(0) / max(1, plain[:, -1].sum())
     order = np.lexsort((*x.T, y))  # rows arrive in any order: the same sums every time
-    return Model(contents, calibrate(x[order], y[order], share[order]))
+    return Model(contents, calibrate(features(x, usual)[order], y[order], share[order]), usual)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -221,7 +236,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
         model = shared.value
         tool = Distances(model.contents)
         for batch in slices(batches, "t"):
-            x = np.array([tool.features(t) for t in texts(batch, "t")])
+            x = np.array([tool.counts(t) for t in texts(batch, "t")])
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(model.scores(x))], names=["k", "score"])
 
     rows = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t"))
