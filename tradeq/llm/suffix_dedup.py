@@ -100,11 +100,11 @@ def suffixes(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
-    """Rows (h, k, p) whose ``h`` stands in two or more ``k``, with ``lo``, the least of them.
+    """Rows (h, k, p) whose ``h`` stands in two or more ``k``, with ``lo``: ``k`` itself in the least of them, else a lesser one.
 
     The rows are sorted over all tasks; a task compares neighbours while rows pass. What
-    it cannot tell alone, in its first and last run of equal ``h``, is told by the border
-    rows of all tasks: two a task.
+    it cannot tell alone, of the first document in its first run of equal ``h`` and of a
+    last run of one document, is told by the border rows of all tasks: two a task.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(h, k, p, lo, edge, border):
@@ -143,7 +143,8 @@ def _neighbours(rows: DataFrame) -> DataFrame:
                 keep[start[-1] :] = False
             if keep.any():
                 n = int(keep.sum())
-                yield out(h[keep], k[keep], p[keep], low[run_of][keep], h[keep] == first_run, np.zeros(n, bool))
+                low = low[run_of][keep]
+                yield out(h[keep], k[keep], p[keep], low, (h[keep] == first_run) & (k[keep] == low), np.zeros(n, bool))
         if last is None:
             return
         edges[last] = (edges[last][0] if last in edges else lo, hi)
