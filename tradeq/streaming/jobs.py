@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,13 +46,17 @@ def stream_dedup(events: DataFrame, keys: list[str], ts: str = "ts") -> DataFram
 
 
 def _spaced(times, last: float | None):
-    """Flags of the times (ascending) that are accepted, and the last accepted time."""
-    flags = []
-    for t in times:
-        take = last is None or t - last > DUPLICATE_SECONDS
-        if take:
-            last = t
-        flags.append(take)
+    """Flags of the times (ascending) that are accepted, and the last accepted time.
+
+    Jumps from one accepted time to the next; what lies between is not visited.
+    """
+    times = np.asarray(times)
+    flags = np.zeros(len(times), bool)
+    at = 0 if last is None else int(np.searchsorted(times, last + DUPLICATE_SECONDS, "right"))
+    while at < len(times):
+        flags[at] = True
+        last = times[at]
+        at = int(np.searchsorted(times, last + DUPLICATE_SECONDS, "right"))
     return flags, last
 
 
@@ -68,13 +73,17 @@ def accept_spaced(events: DataFrame, keys: list[str]) -> DataFrame:
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, last = None, None
         for pdf in batches:
-            flags = []
-            for row in zip(*[pdf[k] for k in keys], pdf["sent_at"]):
-                if row[:-1] != key:
-                    key, last = row[:-1], None
-                take, last = _spaced([row[-1]], last)
-                flags += take
-            yield pdf[pd.Series(flags, index=pdf.index, dtype=bool)]
+            if pdf.empty:
+                continue
+            flags = np.zeros(len(pdf), bool)
+            numbers = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(numbers)) + 1), len(pdf)]
+            times = pdf["sent_at"].to_numpy()
+            for a, b in zip(starts, starts[1:]):
+                own = tuple(None if pd.isna(x) else x for x in pdf[keys].iloc[a])
+                flags[a:b], last = _spaced(times[a:b], last if own == key else None)
+                key = own
+            yield pdf[flags]
 
     ordered = events.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "sent_at", "id")
     return ordered.mapInPandas(walk, _ddl(schema))
