@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tradeq.llm.common import slices, texts
 
@@ -259,7 +260,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_
         + [T.StructField("score", T.DoubleType()), T.StructField("n_shared", T.LongType()), T.StructField("n_runs", T.LongType())]
         + [T.StructField("question", T.DoubleType()), T.StructField("answer", T.DoubleType())]
     )
-    kinds = [pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    kinds = [to_arrow_type(items.schema[item_key].dataType), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def passing(shard) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(shard)
@@ -273,9 +274,9 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_
                         got.append(m)
                 if got:
                     columns = list(zip(*got))
-                    arrays = [pa.array(c, k) for c, k in zip(columns[1:], kinds)]
+                    arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
                     keys = batch.column("k").take(pa.array(at, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(columns[0]), *arrays], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([keys, *arrays], names=schema.names)
 
         return rows.mapInArrow(run, schema)
 
