@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from tradeq.llm.common import slices, texts
 
-#: Entries of one generation of a worker's pre-token memory; two generations are kept.
-REMEMBERED = 200_000
+#: Entries of one generation of a worker's memory of chunks, and of pre-tokens; two generations are kept.
+REMEMBERED, REMEMBERED_WORDS = 150_000, 40_000
 
 # The split rule of byte-level vocabularies whose file names the rule only.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -72,8 +72,8 @@ class Vocabulary:
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self.blanks_kept = not self.suffix
-        self.words = Memory(self._word)
-        self.chunk = Memory(self._chunk)
+        self.words = Memory(self.merge, REMEMBERED_WORDS)
+        self.chunks_of: dict[tuple[str, ...], Memory] = {}
 
     @staticmethod
     def _steps(spec) -> list:
@@ -170,30 +170,36 @@ class Vocabulary:
         """Vocabulary strings of ids with blanks between, as a file without decoder asks."""
         return " ".join([self.pieces[i] for i in ids])
 
-    def _word(self, word: str) -> list[int]:
-        return self.merge(word)
+    def _form(self, ids: list[int], kind: str):
+        """Ids in one of the forms that are put together: packed integers, text, or vocabulary strings."""
+        if kind == "ids":
+            return np.array(ids, np.int32).tobytes()
+        return " ".join(map(str, ids)) if kind == "ids_text" else self.decode(ids)
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str, str]:
-        ids = [i for w in self.split.findall(chunk) for i in self.words(w)]
-        return np.array(ids, np.int32).tobytes(), " ".join(map(str, ids)), self.decode(ids)
+    def encode(self, text: str, kinds: tuple[str, ...] = ("ids", "ids_text", "decoded")) -> list[tuple]:
+        """Per chunk the asked forms of its ids."""
 
-    def encode(self, text: str) -> list[tuple[bytes, str, str]]:
-        """Per chunk the ids as packed integers and as text, and the vocabulary strings."""
-        out = []
+        def chunk(c: str) -> tuple:
+            ids = [i for w in self.split.findall(c) for i in self.words(w)]
+            return tuple(self._form(ids, k) for k in kinds)
+
+        if kinds not in self.chunks_of:
+            self.chunks_of.clear()  # a worker remembers the forms of one job
+            self.chunks_of[kinds] = Memory(chunk)
+        many, out = self.chunks_of[kinds].many, []
         for special, strings in self.parts(text):
             if special:
-                i = self.special[strings[0]]
-                out.append((np.array([i], np.int32).tobytes(), str(i), strings[0]))
+                out.append(tuple(self._form([self.special[strings[0]]], k) for k in kinds))
             else:
-                out += self.chunk.many(strings)
+                out += many(strings)
         return [c for c in out if c[0]]
 
 
 class Memory:
     """A function with a bounded memory of two generations; the older one is dropped when the younger is full."""
 
-    def __init__(self, make):
-        self.make, self.young, self.old = make, {}, {}
+    def __init__(self, make, most: int = REMEMBERED):
+        self.make, self.most, self.young, self.old = make, most, {}, {}
 
     def __call__(self, key):
         found = self.young.get(key)
@@ -201,7 +207,7 @@ class Memory:
             found = self.old.get(key)
             if found is None:
                 found = self.make(key)
-            if len(self.young) >= REMEMBERED:
+            if len(self.young) >= self.most:
                 self.old, self.young = self.young, {}
             self.young[key] = found
         return found
@@ -254,6 +260,9 @@ def encode(
     ``ids_text`` (decimal ids joined by one blank), ``decoded`` (what the ids stand for).
     Null and empty texts have no ids and empty strings. No shuffle: one pass over the rows.
     """
+    if not outputs:
+        raise ValueError("name at least one output")
+    outputs = tuple(outputs)
     shared = share(docs, path)
     kept = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text].cast("string").alias("t"))
     fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
@@ -266,15 +275,12 @@ def encode(
             made = {o: [] for o in outputs}
             counts = []
             for t in texts(batch, "t"):
-                words = vocabulary.encode(t)
-                packed = b"".join([w[0] for w in words])
-                counts.append(len(packed) // 4)
-                if "ids" in made:
-                    made["ids"].append(packed)
-                if "ids_text" in made:
-                    made["ids_text"].append(" ".join([w[1] for w in words]))
-                if "decoded" in made:
-                    made["decoded"].append(" ".join([w[2] for w in words]))
+                columns = list(zip(*vocabulary.encode(t, outputs))) or [()] * len(outputs)
+                for o, pieces in zip(outputs, columns):
+                    made[o].append((b"" if o == "ids" else " ").join(pieces))
+                # all forms but the packed one have a blank between two ids
+                first = made[outputs[0]][-1]
+                counts.append(len(first) // 4 if outputs[0] == "ids" else first.count(" ") + 1 if first else 0)
             columns = [batch.column(i) for i in range(width)] + [pa.array(counts, pa.int64())]
             for o in outputs:
                 if o == "ids":
