@@ -231,3 +231,37 @@ def test_toxicity(spark):
     one_kind = toxicity.learn(docs, marks.filter("toxic = 0"))
     assert {r["score"] for r in toxicity.score(docs, one_kind).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_lm_scores_use_every_pair_and_triple(spark):
+    texts = [*lm_texts(), "rare1 rare2 rare3 w1", "rare1 rare2 rare3 w2", "w2 rare1 rare2 seldom", "w5 w6 rare9 w5 w6"]
+    docs = documents(spark, texts)
+    tokens = lambda t: ["<s>", *(t or "").lower().split(), "</s>"]
+    train = [tokens(t) for i, t in enumerate([*texts, None]) if i % 4 != 2]
+    count = {o: Counter(tuple(x[i : i + o]) for x in train for i in range(len(x) - o + 1)) for o in (2, 3)}
+    count[1] = Counter((w,) for x in train for w in x[1:])
+    d = {}
+    for o, c in count.items():
+        once, twice = (sum(n == k for n in c.values()) for k in (1, 2))
+        d[o] = once / (once + 2 * twice) if once and twice else 0.5
+    total, kinds = Counter(), Counter()
+    for o in (2, 3):
+        for g, n in count[o].items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+    all_words = sum(count[1].values())
+
+    def probability(g):
+        if len(g) == 1:
+            return (count[1][g] - d[1]) / all_words if count[1][g] else d[1] * len(count[1]) / all_words
+        h = g[:-1]
+        if not total[h]:
+            return probability(g[1:])
+        return (max(count[len(g)][g] - d[len(g)], 0) + d[len(g)] * kinds[h] * probability(g[1:])) / total[h]
+
+    for frequent in (0, 7, 1000):  # where values are looked up changes nothing
+        got = {r["doc_id"]: r["score"] for r in lm_score.score(docs, F.expr("doc_id % 4 <> 2"), frequent=frequent).collect()}
+        for i, t in enumerate([*texts, None]):
+            x = tokens(t)
+            want = sum(math.log10(probability(tuple(x[max(0, k - 2) : k + 1]))) for k in range(1, len(x)))
+            assert got[i] == pytest.approx(want, abs=1e-9), (frequent, i)

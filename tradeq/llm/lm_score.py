@@ -7,12 +7,14 @@ probability and leads to the longest history that is a state, and where a state
 no arc, its failure arc leads to the shorter history and holds the backoff weight.
 A text is scored in one walk from left to right that carries the state.
 
-Histories and arcs of two words are taken from the ``PAIRS`` most frequent words and
-those of three from the ``TRIPLES`` most frequent: a short list of fixed length as a
-parameter of the model, which bounds the automaton at any corpus size. All words,
-however rare, have their exact counts over the whole training part: those of the
-frequent ones are at hand in the walk, the others are joined by hash and summed per
-text, which is exact as well.
+All pairs and triples of the training part count, those seen once too. A log
+probability is that of the single word, plus what each longer n-gram adds over the
+next shorter one: an arc's gain if the n-gram was seen, and the failure weight of the
+history. Both depend on the n-gram alone, so they need no walk: arcs and failure
+weights lie in written tables by hash, and the distinct n-grams of each text are
+joined to them and summed like the words. The automaton holds the arcs between the
+``PAIRS`` (triples: ``TRIPLES``) most frequent words, and the most frequent of the
+other n-grams are at hand by hash; how many only decides where a value is looked up.
 
 Words lie between ASCII white space, A-Z are lowered; every text ends with an end
 token. Null and empty texts are the end token alone. One result per row, repeated
@@ -30,16 +32,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeq.llm.common import frequent_bound, hashes, lower_words, row_ids, signed, slices, texts
+from tradeq.llm.common import ODD, frequent_bound, hashes, lower_words, mix, row_ids, signed, slices, texts
 from tradeq.session import settle
 
-#: Lengths of the short lists, counts from which pairs and triples are kept.
-PAIRS, TRIPLES, LEAST = 1024, 64, 2
-#: Words whose counts are at hand in the walk: at most this many, about 6 MB.
+#: Words between which arcs of pairs and of triples lie in the automaton; all others are joined.
+PAIRS, TRIPLES = 1024, 64
+#: Words, and n-grams outside the automaton, whose values are at hand in the walk: at most this many of each.
 FREQUENT = 1 << 18
 #: Distinct words that a counting task holds before it hands them on.
 HELD = 1 << 20
 END = hashes([b"\n"])[0]
+#: What stands before the first word of a text: its hash, its number as a history.
+START, BEGIN = hashes([b"\n\n"])[0], PAIRS
 
 
 def tokens(text: str) -> np.ndarray:
@@ -109,7 +113,7 @@ def learn_words(counts: DataFrame, frequent: int) -> Words:
     total = counts.agg(F.sum("n"), F.count("*")).first()
     few = {r["n"]: r["count"] for r in counts.filter("n <= 2").groupBy("n").count().collect()}
     once, twice = few.get(1, 0), few.get(2, 0)
-    discount = once / (once + 2 * twice) if once and twice else 0.5
+    discount = discount_of(once, twice)
     least = frequent_bound(counts, "n", frequent)
     pulled = counts.filter(F.col("n") >= least).toPandas()
     h, n = pulled["h"].to_numpy(np.int64).view(np.uint64), pulled["n"].to_numpy(np.int64)
@@ -121,51 +125,61 @@ def learn_words(counts: DataFrame, frequent: int) -> Words:
     return Words(h, n, number, int(total[0] or 0), int(total[1] or 0), discount, least)
 
 
-#: The beginning of a text as a history.
-BEGIN = PAIRS
+def joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of their history and of the next shorter n-gram."""
+    return mix(a * ODD + mix(b))
+
+
+def runs_of(h: np.ndarray, words: Words) -> tuple[tuple, tuple]:
+    """Pairs and triples of a text's tokens: hash, history, shorter n-gram, and where the automaton knows them.
+
+    Of pairs, 1 says that the automaton has the arc, 2 that it has the state as well;
+    of triples, 1 that it has the arc.
+    """
+    x, number = np.append(START, h), np.append(BEGIN, words.numbers(h))
+    u, v = x[:-1], x[1:]
+    pair = joint(u, v)
+    top = (number >= 0) & (number < TRIPLES)
+    listed = ((number[:-1] >= 0) & (number[1:] >= 0)).astype(np.int64) + (top[:-1] & top[1:])
+    triple = joint(pair[:-1], pair[1:])
+    return (pair, u, v, listed), (triple, pair[:-1], pair[1:], (top[:-2] & top[1:-1] & top[2:]).astype(np.int64))
 
 
 def count_grams(train: DataFrame, words) -> DataFrame:
-    """(order, code, n) of pairs and triples of short-listed words."""
+    """(h, order, a, b, s, n): count of every pair and triple, with history, shorter n-gram and place in the automaton."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {1: [], 2: [], 3: []}
+        held: list[list] = [[], []]
         size = 0
 
+        def shrunk(parts):
+            h, a, b, s, n = (np.concatenate(c) for c in zip(*parts))
+            keys, first, where = np.unique(h, return_index=True, return_inverse=True)
+            return keys, a[first], b[first], s[first], np.bincount(where, n).astype(np.int64)
+
         def out():
-            for order, parts in held.items():
+            for order, parts in enumerate(held, 2):
                 if parts:
-                    code, n = _counted(parts)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(code), order, np.int32)), pa.array(code), pa.array(n)], names=["order", "code", "n"]
-                    )
+                    h, a, b, s, n = shrunk(parts)
+                    columns = [signed(h), np.full(len(h), order, np.int8), signed(a), signed(b), s.astype(np.int8), n]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "order", "a", "b", "s", "n"])
 
         for batch in slices(batches, "t"):
-            ids = [np.append(BEGIN, words.value.numbers(tokens(t))) for t in texts(batch, "t")]
-            x = np.concatenate(ids)
-            first = np.zeros(len(x), bool)
-            first[np.cumsum([0, *map(len, ids)])[:-1]] = True
-            u, v = x[:-1], x[1:]
-            inner = ~first[1:]  # the second stands in the same text
-            for order, code in (
-                (1, u[(u >= 0) & inner]),  # continuations of a one-word history
-                (2, (u * PAIRS + v)[(u >= 0) & (v >= 0) & inner]),
-            ):
-                held[order].append(np.unique(code, return_counts=True))
-            t, u, v = x[:-2], x[1:-1], x[2:]
-            top = lambda a: (a >= 0) & (a < TRIPLES)
-            inner = inner[:-1] & inner[1:]
-            pair = top(t) & top(u) & inner
-            history = -1 - (t * TRIPLES + u)  # continuations of a two-word history: below zero
-            held[1].append(np.unique(history[pair], return_counts=True))
-            held[3].append(np.unique(((t * TRIPLES + u) * TRIPLES + v)[pair & top(v)], return_counts=True))
-            size += sum(len(p[-1][0]) for p in held.values())
+            both = [runs_of(tokens(t), words.value) for t in texts(batch, "t")]
+            for parts, grams in zip(held, zip(*both)):
+                parts.append(shrunk([(*g, np.ones(len(g[0]))) for g in grams]))
+                size += len(parts[-1][0])
             if size > HELD:
                 yield from out()
-                held, size = {1: [], 2: [], 3: []}, 0
+                held, size = [[], []], 0
         yield from out()
 
-    return train.mapInArrow(run, "order int, code long, n long").groupBy("order", "code").agg(F.sum("n").alias("n"))
+    rows = train.mapInArrow(run, "h long, order byte, a long, b long, s byte, n long")
+    return rows.groupBy("h").agg(F.min("order").alias("order"), *[F.min(c).alias(c) for c in ("a", "b", "s")], F.sum("n").alias("n"))
+
+
+def discount_of(once: int, twice: int) -> float:
+    return once / (once + 2 * twice) if once and twice else 0.5
 
 
 @dataclass
@@ -198,47 +212,100 @@ class Automaton:
         return total
 
 
-def build(words: Words, grams) -> Automaton:
-    """The automaton of the short list; states: 0 none, 1.. one word, then the beginning, then two words."""
-    code = {o: (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for o, g in grams.groupby("order")}
-    listed = words.number >= 0
-    single = np.zeros(PAIRS)
+def build(words: Words, grams, discounts: dict | None = None, backoffs: dict | None = None) -> Automaton:
+    """The automaton of the short list; states: 0 none, 1.. one word, then the beginning, then two words.
+
+    ``grams`` holds at least the n-grams between listed words. Discounts by order, and the
+    (total, backoff weight) of histories by hash, come from all n-grams; without them ``grams`` are all.
+    """
+    if discounts is None:
+        few = {o: (int((g["n"] == 1).sum()), int((g["n"] == 2).sum())) for o, g in grams.groupby("order")}
+        discounts = {o: discount_of(*few.get(o, (0, 0))) for o in (2, 3)}
+        met = grams.groupby(["order", "a"])["n"].agg(["sum", "count"])
+        backoffs = {a: (n, discounts[o] * k / n) for (o, a), n, k in zip(met.index, met["sum"], met["count"])}
+    listed = np.flatnonzero(words.number >= 0)
+    single, name = np.zeros(PAIRS), np.zeros(PAIRS + 1, np.uint64)
     single[words.number[listed]] = (words.n[listed] - words.discount) / max(1, words.total)
+    name[words.number[listed]], name[BEGIN] = words.h[listed], START
     arcs = {v: float(p) for v, p in enumerate(np.log10(np.maximum(single, 1e-300))) if single[v] > 0}
     n_states = PAIRS + 2 + TRIPLES * TRIPLES
-    fail, backoff = np.zeros(n_states, np.int64), np.ones(n_states)
+    fail, backoff, totals = np.zeros(n_states, np.int64), np.ones(n_states), np.ones(n_states)
     # two-word histories fail to their second word
     fail[PAIRS + 2 :] = np.tile(np.arange(TRIPLES), TRIPLES) + 1
-    totals = np.zeros(n_states)
-    key, n = code.get(1, (np.empty(0, np.int64), np.empty(0)))
-    np.add.at(totals, np.where(key >= 0, key + 1, PAIRS + 2 - 1 - key), n)
-
-    def discounted(key, n, state):
-        """Kept n-grams, their share of the history's mass, and what stays for shorter histories."""
-        once, twice = (n == 1).sum(), (n == 2).sum()
-        d = once / (once + 2 * twice) if once and twice else 0.5
-        keep = n >= LEAST
-        key, state = key[keep], state[keep]
-        share = (n[keep] - d) / totals[state]
-        np.subtract.at(backoff, state, share)
-        return key, state, share
-
-    pairs: dict[int, float] = {}
-    if 2 in code:
-        key, n = code[2]
-        key, state, share = discounted(key, n, key // PAIRS + 1)
-        p = share + backoff[state] * single[key % PAIRS]
-        pairs = dict(zip((state * PAIRS + key % PAIRS).tolist(), p.tolist()))
-    if 3 in code:
-        key, n = code[3]
-        key, state, share = discounted(key, n, key // TRIPLES + PAIRS + 2)
-        v = key % TRIPLES
-        shorter = fail[state] * PAIRS + v
-        lower = np.array([pairs.get(k, -1.0) for k in shorter.tolist()])
-        lower = np.where(lower >= 0, lower, backoff[fail[state]] * single[v])
-        arcs.update(zip((state * PAIRS + v).tolist(), np.log10(share + backoff[state] * lower).tolist()))
+    top = min(TRIPLES, len(listed))
+    two = {int(signed(joint(name[u : u + 1], name[v : v + 1]))[0]): PAIRS + 2 + u * TRIPLES + v for u in range(top) for v in range(top)}
+    one = {int(h): i + 1 for i, h in enumerate(signed(name)) if i == BEGIN or i < len(listed)}
+    for h, state in (one | two).items():
+        totals[state], backoff[state] = backoffs.get(h, (1, 1.0))
+
+    def known(order):
+        g = grams[(grams["order"] == order) & (grams["s"] > 0)]
+        return g["a"].tolist(), g["b"].tolist(), g["n"].to_numpy(np.float64) - discounts[order]
+
+    a, b, n = known(2)
+    state, v = np.array([one[x] for x in a], np.int64), np.array([one[x] - 1 for x in b], np.int64)
+    p = n / totals[state] + backoff[state] * single[v]
+    pairs = dict(zip((state * PAIRS + v).tolist(), p.tolist()))
+    a, b, n = known(3)
+    state, v = np.array([two[x] for x in a], np.int64), np.array([(two[x] - PAIRS - 2) % TRIPLES for x in b], np.int64)
+    lower = np.array([pairs[k] for k in (fail[state] * PAIRS + v).tolist()])
+    arcs.update(zip((state * PAIRS + v).tolist(), np.log10(n / totals[state] + backoff[state] * lower).tolist()))
     arcs.update((k, float(np.log10(p))) for k, p in pairs.items())
-    return Automaton(arcs, fail.tolist(), np.log10(np.maximum(backoff, 1e-12)).tolist())
+    return Automaton(arcs, fail.tolist(), np.log10(backoff).tolist())
+
+
+def weigh(grams: DataFrame, counts: DataFrame, words: Words) -> tuple[DataFrame, DataFrame, dict]:
+    """(arcs, histories, discounts): what each word and n-gram adds to a score, (a, total, w) of every history.
+
+    ``arcs`` are (h, n, c, v): count of an n-gram, count of a word, and the value that is not in the automaton.
+    """
+    few = {(r["order"], r["n"]): r["count"] for r in grams.filter("n <= 2").groupBy("order", "n").count().collect()}
+    discounts = {o: discount_of(few.get((o, 1), 0), few.get((o, 2), 0)) for o in (2, 3)}
+    discount = F.when(F.col("order") == 2, discounts[2]).otherwise(discounts[3])
+    histories = grams.groupBy("order", "a").agg(F.sum("n").alias("total"), F.count("*").alias("k"))
+    histories = settle(histories.select("a", "total", (discount * F.col("k") / F.col("total")).alias("w")), "histories")
+
+    def gains(order: int, shorter: DataFrame) -> DataFrame:
+        """Smoothed probability ``p`` of the n-grams, and ``g``: log10 of it over that of failing to the shorter one."""
+        rows = grams.filter(F.col("order") == order).join(histories, "a").join(shorter, "b")
+        rows = rows.withColumn("p", (F.col("n") - discounts[order]) / F.col("total") + F.col("w") * F.col("q"))
+        return rows.select("h", "n", "s", "p", (F.log10("p") - F.log10("q") - F.log10("w")).alias("g"))
+
+    single = counts.select(F.col("h").alias("b"), ((F.col("n") - words.discount) / max(1, words.total)).alias("q"))
+    pairs = settle(gains(2, single), "pairs")
+    triples = gains(3, pairs.select(F.col("h").alias("b"), F.col("p").alias("q"))).filter("s = 0")
+    after = histories.select(F.col("a").alias("h"), F.log10("w").alias("after"))
+    zero, none = F.lit(0.0), F.lit(None).cast("long")
+    fails = F.coalesce("after", zero)
+    arcs = (
+        counts.filter(F.col("n") < words.least).join(after, "h", "left").select("h", F.lit(0).cast("long").alias("n"), F.col("n").alias("c"), fails.alias("v"))
+        .union(pairs.filter("s < 2").join(after, "h", "left").select("h", "n", none, F.when(F.col("s") == 0, F.col("g")).otherwise(zero) + fails))
+        .union(triples.select("h", "n", none, "g"))
+    )
+    return settle(arcs, "arcs"), histories, discounts
+
+
+def lay_out(words: Words, grams: DataFrame, counts: DataFrame, histories: DataFrame, discounts: dict) -> tuple[Automaton, np.ndarray]:
+    """The automaton, and the failure weights (log10) of the frequent words outside of it."""
+    often = counts.filter(F.col("n") >= words.least).select(F.col("h").alias("a"))
+    listed = grams.filter("s > 0")
+    start = int(START.astype(np.int64))
+    wanted = often.union(listed.filter("order = 2 AND s = 2").select("h"))
+    pulled = histories.join(wanted, "a", "left_semi").union(histories.filter(F.col("a") == start)).toPandas()
+    backoffs = dict(zip(pulled["a"].tolist(), zip(pulled["total"].tolist(), pulled["w"].tolist())))
+    after = np.array([np.log10(backoffs.get(h, (1, 1.0))[1]) for h in signed(words.h).tolist()])
+    after[words.number >= 0] = 0.0
+    return build(words, listed.select("order", "a", "b", "s", "n").toPandas(), discounts, backoffs), after
+
+
+def frequent_arcs(arcs: DataFrame, frequent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hashes, values, bound): n-grams whose values are at hand, those with at least ``bound`` as count."""
+    grams = arcs.filter("c IS NULL")
+    least = frequent_bound(grams, "n", frequent)
+    pulled = grams.filter(F.col("n") >= least).select("h", "v").toPandas()
+    h, v = pulled["h"].to_numpy(np.int64).view(np.uint64), pulled["v"].to_numpy(np.float64)
+    order = np.argsort(h)
+    return h[order], v[order], least
 
 
 def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
@@ -253,10 +320,14 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
     counts = settle(count_words(learned), "word-counts")
     words = learn_words(counts, frequent)
     sent_words = context.broadcast(words)
-    automaton = context.broadcast(build(words, count_grams(learned, sent_words).toPandas()))
+    grams = settle(count_grams(learned, sent_words), "grams")
+    arcs, histories, discounts = weigh(grams, counts, words)
+    automaton = context.broadcast(lay_out(words, grams, counts, histories, discounts))
+    *at_hand, least = frequent_arcs(arcs, frequent)
+    sent_arcs = context.broadcast(at_hand)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, graph, ids = sent_words.value, automaton.value, row_ids()
+        words, (graph, after), (arc, gain), ids = sent_words.value, automaton.value, sent_arcs.value, row_ids()
         n_all = words.total + 0.5 * (words.distinct + 1)
         base = np.log10((words.n + 0.5) / n_all)
         own = np.log10((words.n - words.discount) / max(1, words.total))
@@ -269,10 +340,19 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
                 numbers = np.full(len(h), -1, np.int64)
                 numbers[known] = words.number[place]
                 total = graph.walk(numbers.tolist())
+                total += float(own[place[words.number[place] < 0]].sum() + after[place].sum())
                 rare, often = np.unique(h[~known], return_counts=True)
+                pairs, triples = runs_of(h, words)
+                run, times = np.unique(np.concatenate([pairs[0][pairs[3] < 2], triples[0][triples[3] == 0]]), return_counts=True)
+                if len(arc):
+                    where = np.minimum(np.searchsorted(arc, run), len(arc) - 1)
+                    near = arc[where] == run
+                    total += float((gain[where[near]] * times[near]).sum())
+                    run, times = run[~near], times[~near]
+                # words count above zero, n-grams below
                 got.append((
-                    next(ids), len(h), len(place), float(base[place].sum()),
-                    total + float(own[place[words.number[place] < 0]].sum()), signed(rare), often.astype(np.int64),
+                    next(ids), len(h), len(place), float(base[place].sum()), total,
+                    signed(np.concatenate([rare, run])), np.concatenate([often, -times]).astype(np.int64),
                 ))
             columns = list(zip(*got))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -282,23 +362,26 @@ def score(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id
     kind = docs.schema[key].dataType.simpleString()
     fields = f"k {kind}, row long, n long, known long, base double, own double, h array<long>, m array<long>"
     per = rows.mapInArrow(walk, fields)
-    one = ["k", "row", "n", "known", "base", "own"]
-    rare = per.select(*one, F.explode_outer(F.arrays_zip("h", "m")).alias("z")).select(*one, F.col("z.h").alias("h"), F.col("z.m").alias("m"))
+    one = ["k", "n", "known", "base", "own"]
+    # what a text has once rides with its first entry only
+    rare = per.select("row", *one, F.posexplode_outer(F.arrays_zip("h", "m")).alias("i", "z"))
+    rare = rare.select("row", *[F.when(F.coalesce("i", F.lit(0)) == 0, F.col(c)).alias(c) for c in one], F.col("z.h").alias("h"), F.col("z.m").alias("m"))
     # rows without a rare word need no partner: their own number spreads them over the partitions
     rare = rare.withColumn("h", F.coalesce("h", F.xxhash64("row")))
     c = F.coalesce(F.col("c"), F.lit(0))
     n_all = words.total + 0.5 * (words.distinct + 1)
     own = F.when(c > 0, F.log10((c - words.discount) / max(1, words.total))).otherwise(F.lit(float(np.log10(words.unknown))))
-    zero = F.lit(0)
+    zero, word = F.lit(0), F.col("m") > 0
+    adds = F.coalesce("v", F.lit(0.0)) + F.when(word, own).otherwise(0.0)
     return (
-        rare.join(counts.filter(F.col("n") < words.least).select("h", F.col("n").alias("c")), "h", "left")
+        rare.join(arcs.filter(F.col("c").isNotNull() | (F.col("n") < least)).select("h", "c", "v"), "h", "left")
         .groupBy("row")
         .agg(
-            F.first("k").alias(key),
-            F.first("n").alias("n_tokens"),
-            (F.first("known") + F.coalesce(F.sum(F.when(c > 0, F.col("m"))), zero)).cast("long").alias("n_known"),
-            (F.first("base") + F.coalesce(F.sum(F.col("m") * F.log10((c + 0.5) / n_all)), zero)).alias("base_score"),
-            (F.first("own") + F.coalesce(F.sum(F.col("m") * own), zero)).alias("score"),
+            F.first("k", ignorenulls=True).alias(key),
+            F.max("n").alias("n_tokens"),
+            (F.max("known") + F.coalesce(F.sum(F.when(word & (c > 0), F.col("m"))), zero)).cast("long").alias("n_known"),
+            (F.max("base") + F.coalesce(F.sum(F.when(word, F.col("m") * F.log10((c + 0.5) / n_all))), zero)).alias("base_score"),
+            (F.max("own") + F.coalesce(F.sum(F.abs("m") * adds), zero)).alias("score"),
         )
         .select(key, "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score")
     )
