@@ -17,6 +17,8 @@ from tradeq.llm import bpe, decontaminate, language_id, near_dedup, suffix_dedup
 from tradeq.session import settle
 
 TOKENIZER = "word_bpe_49k.json"
+#: Similarity in hundredths from which documents are near-duplicates here; op7 alone asks for 85.
+SIMILAR = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id."""
-    return near_dedup.without_copies(docs)
+    return near_dedup.without_copies(docs, threshold=SIMILAR)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

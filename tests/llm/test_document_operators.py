@@ -1,5 +1,6 @@
 """Near-duplicates, repeated passages, benchmark items and the pipeline against brute force."""
 
+import math
 import random
 from itertools import combinations
 
@@ -101,6 +102,31 @@ def test_sketches_merge_and_estimate():
     assert not near_dedup.may_link(np.array([10]), np.array([20]), near_dedup.sketch(short)[None], near_dedup.sketch(long)[None], 0.85)[0]
 
 
+def test_near_duplicate_stage_links_from_four_fifths(spark):
+    draw = random.Random(14)
+    rows, linked = [], set()
+    for i in range(40):
+        base = [f"w{draw.randrange(10**9)}" for _ in range(120)]
+        last = i % 4  # 106, 105, 104, 103 of 126, 127, 128, 129 shingles: 0.841, 0.827, 0.812, 0.798
+        other = [f"x{i}" if k in (40, 80) or k >= 120 - last else w for k, w in enumerate(base)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        if last < 3:
+            linked.add(2 * i + 1)
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "")
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - linked
+    assert {r["doc_id"] for r in near_dedup.without_copies(frame(spark, rows)).collect()} == {i for i, _ in rows}
+
+
+def test_first_looks_follow_the_threshold():
+    assert (near_dedup.banding(85), near_dedup.least_agreeing(85)) == ((42, 6), 82)
+    for threshold in (30, 50, 70, 80, 85, 95):
+        j = threshold / 100
+        n, rows = near_dedup.banding(threshold)
+        assert n * rows <= near_dedup.REGISTERS and n <= near_dedup.NUMBER + 1 and (1 - j**rows) ** n < 1e-8
+        chance = [math.comb(near_dedup.RIDING, k) * j**k * (1 - j) ** (near_dedup.RIDING - k) for k in range(near_dedup.least_agreeing(threshold))]
+        assert sum(chance) < 1e-7
+
+
 def brute_spans(rows, n=50):
     least, words = {}, {}
     for i, t in rows:

@@ -14,8 +14,8 @@ has been compared with all others. Members of buckets that stay crowded (similar
 below the threshold) are compared in blocks: a task holds two blocks of bounded size,
 counts all intersections at once and returns links only. No cap, and no pairs of a
 whole group are made as rows; the work in a crowd is quadratic in its size, spread
-over its blocks. A link is missed only if no band agrees: below one in a million at
-the threshold, less above.
+over its blocks. Bands and all first looks follow the threshold; a link is missed only
+if no band agrees: below one in a million at the threshold, less above.
 
 Texts without words, and null texts, have an empty set and are linked with nothing.
 Null ids are linked with nothing. Rows that repeat an id are handled row by row.
@@ -37,9 +37,8 @@ from tradeq.session import settle
 WORDS = 5
 #: Link at 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
-#: Registers: bands x rows. A pair at the threshold misses all bands with (1 - 0.85 ** 6) ** 42 < 1e-8.
-BANDS, ROWS = 42, 6
-REGISTERS = BANDS * ROWS
+#: Registers of a sketch; a pair at the threshold misses all bands with less than this chance.
+REGISTERS, MISS = 252, 1e-8
 #: Base of the register values, rate of the exponential, largest value.
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 #: A pair is dropped unverified if its sketches are less likely than this factor (log) at the threshold.
@@ -47,8 +46,10 @@ UNLIKELY = 15.0
 #: Bands of the first round; members outside the main component with which a bucket is no longer crowded;
 #: sets in a block of a crowd, and shingles counted at once.
 FIRST_BANDS, FEW, BLOCK, SHINGLES = 4, 16, 512, 4096
-#: Registers whose low bytes ride along with bucket members, and how many must agree: 6 deviations below the mean.
-RIDING, AGREE = 126, 82
+#: Registers whose low bytes ride along with bucket members; deviations below the mean down to which they must agree.
+RIDING, DEVIATIONS = 126, 6.25
+#: Low bits of a band's key that hold its number.
+NUMBER = 255
 
 _draw = np.random.Generator(np.random.PCG64(20))
 MULTIPLY = _draw.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,13 +90,28 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    """A key per band; its low 6 bits are the band's number."""
-    r = registers.reshape(BANDS, ROWS).astype(np.uint64)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
+def banding(threshold: int) -> tuple[int, int]:
+    """Bands, and rows of a band: the longest that still find pairs at the threshold; 42 of 6 at 85, 50 of 5 at 80."""
+    for rows in range(REGISTERS, 0, -1):
+        if (1 - (threshold / 100) ** rows) ** (REGISTERS // rows) < MISS:
+            return REGISTERS // rows, rows
+    raise ValueError(f"{REGISTERS} registers cannot find pairs at {threshold} of 100")
+
+
+def least_agreeing(threshold: int) -> int:
+    """Riding registers that agree in any pair at the threshold: 82 at 85, 72 at 80."""
+    j = threshold / 100
+    return int(max(0.0, RIDING * j - DEVIATIONS * (RIDING * j * (1 - j)) ** 0.5))
+
+
+def band_keys(registers: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
+    """A key per band; its low 8 bits are the band's number."""
+    n, rows = banding(threshold)
+    r = registers[: n * rows].reshape(n, rows).astype(np.uint64)
+    h = np.arange(1, n + 1, dtype=np.uint64)
+    for i in range(rows):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + r[:, i])
-    return (h & ~np.uint64(63)) | np.arange(BANDS, dtype=np.uint64)
+    return (h & ~np.uint64(NUMBER)) | np.arange(n, dtype=np.uint64)
 
 
 def log_likelihood(j: np.ndarray, u: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
@@ -147,15 +163,15 @@ def sketched(docs: DataFrame, text: str, key: str) -> DataFrame:
     return rows.mapInArrow(run, f"k {kind}, n long, v long, s binary")
 
 
-def _bands(nodes: DataFrame) -> DataFrame:
+def _bands(nodes: DataFrame, threshold: int) -> DataFrame:
     """(bucket, node) of every band of every node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 registers = [np.frombuffer(s, np.uint16) for s in batch.column("s").to_pylist()]
-                keys = np.concatenate([band_keys(r) for r in registers])
-                v = np.repeat(np.asarray(batch.column("v")), BANDS)
+                keys = np.concatenate([band_keys(r, threshold) for r in registers])
+                v = np.repeat(np.asarray(batch.column("v")), banding(threshold)[0])
                 yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(v)], names=["bucket", "v"])
 
     return nodes.select("v", "s").mapInArrow(run, "bucket long, v long")
@@ -210,7 +226,7 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
         F.min("k").alias("k"), F.min("n").alias("n"), F.min_by("s", "k").alias("s")
     )
     nodes = settle(nodes, "nodes")
-    bands = _bands(nodes)
+    bands = _bands(nodes, threshold)
     shared = bands.groupBy("bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi")
     members = settle(bands.join(shared.select("bucket"), "bucket"), "members")
     links = _links(docs, text, key, nodes, members, threshold)
@@ -243,7 +259,7 @@ def _links(docs, text, key, nodes, members, threshold) -> DataFrame | None:
     for turn in range(3):
         live = state.join(comp, "v")
         if turn == 0:
-            live = live.filter(F.col("bucket").bitwiseAND(63) < FIRST_BANDS)
+            live = live.filter(F.col("bucket").bitwiseAND(NUMBER) < FIRST_BANDS)
         inside = live.groupBy("bucket", "c").agg(F.count("*").alias("n_c"))
         mixed = inside.groupBy("bucket").agg(
             F.sum("n_c").alias("size"), F.max("n_c").alias("most"), F.max_by("c", F.struct("n_c", "c")).alias("main"), F.min("c").alias("lo"), F.max("c").alias("hi")
@@ -294,6 +310,8 @@ def _in_blocks(crowd: DataFrame, sets: DataFrame, near: DataFrame, threshold: in
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     rows = rows.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "c", "set", "r")
 
+    agree = least_agreeing(threshold)
+
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         i, own, v, c = (table.column(x).to_numpy() for x in ("i", "own", "v", "c"))
@@ -302,7 +320,7 @@ def _in_blocks(crowd: DataFrame, sets: DataFrame, near: DataFrame, threshold: in
         second = first if table.column("j")[0].as_py() == i[0] else np.flatnonzero(own != i[0])
         allowed = np.zeros((len(first), len(second)), bool)
         for row, at in enumerate(first):
-            allowed[row] = ((r[second] == r[at]).sum(1) >= AGREE) & (c[second] != c[at])
+            allowed[row] = ((r[second] == r[at]).sum(1) >= agree) & (c[second] != c[at])
         a = b = np.empty(0, np.int64)
         if allowed.any():
             sizes, both = _intersections(table.column("set"), first, second)
@@ -347,6 +365,7 @@ def _riding(nodes: DataFrame) -> DataFrame:
 
 def _agreeing(met: DataFrame, threshold: int) -> DataFrame:
     """Pairs (v, w), smaller first, of bucket members whose sizes and riding registers agree well enough."""
+    agree = least_agreeing(threshold)
     met = met.filter(F.least("m", "mw") * 100 >= F.greatest("m", "mw") * threshold).select("v", "w", "r", "rw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +373,7 @@ def _agreeing(met: DataFrame, threshold: int) -> DataFrame:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RIDING) for c in ("r", "rw"))
                 v, w = (np.asarray(batch.column(c)) for c in ("v", "w"))
-                ok = (a == b).sum(1) >= AGREE
+                ok = (a == b).sum(1) >= agree
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.minimum(v, w)[ok]), pa.array(np.maximum(v, w)[ok])], names=["v", "w"]
                 )
