@@ -109,6 +109,22 @@ def test_main_text():
     assert html_text.main_text("only text") == "only text"
 
 
+def test_main_text_without_landmarks():
+    long = " ".join(["Some words, and more of them, stand in here."] * 9)
+    items = [f"Item {i} of the list that has some words, here" for i in range(6)]
+    cells = [f"{i}" for i in range(6)]
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Go {i}</a></li>" for i in range(6)) + "</ul>"
+    page = (
+        f"<html><body>{menu}<div><h1>A title of the page without any mark at its end</h1><p>{long}</p><ul><li>" + "<li>".join(items)
+        + f"</ul><p>{long}</p><h2>Next</h2><p>{long}</p><table><tr><td>" + "<td>".join(cells) + f"</table><p>{long}</p><pre>x = 1</pre></div><div><div>{menu}</div></div></body></html>"
+    )
+    want = ["A title of the page without any mark at its end", long, *items, long, "Next", long, *cells, long, "x = 1"]
+    assert html_text.main_text(page) == "\n".join(want)
+    huge = " ".join([long] * 100)
+    page = f"<div><p>{long}</p><blockquote>{huge}</blockquote><p>{long}</p><pre>{huge}</pre><p>{long}</p></div><div>Go</div>"
+    assert html_text.main_text(page) == "\n".join([long, huge, long, huge, long])
+
+
 def test_pages_keep_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "t"), (1, None, None, "t"), (2, "v", "", None)], "page_id long, url string, html string, t string")
     rows = html_text.extract(pages).collect()

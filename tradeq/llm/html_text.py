@@ -3,7 +3,9 @@
 A page becomes a row of text blocks, each with its path of block tags from the root.
 Text length and punctuation are summed per path and divided by the path's blocks;
 the two ratios are smoothed along the page and fused, and paths below a threshold
-go. Blocks in page furniture (navigation, adverts, forms, comments and the like)
+go. Outside landmarks the ratios are taken of logarithms, so one huge block does not push
+ordinary paragraphs out, and headings, lists, tables and the like that lie between or
+next to kept blocks, under the same element, stay. Blocks in page furniture (navigation, adverts, forms, comments and the like)
 count as no content whatever their ratio; an ``article`` or ``main`` element, where
 there is one, bounds the content and asks less of its paths.
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,9 @@ from tradeq.llm.common import slices, texts
 
 #: Share of the best block's fused ratio that a path needs, inside and outside an article element.
 INSIDE, OUTSIDE = 0.005, 0.4
+#: Elements that are judged by the blocks around them on pages without landmarks, and what may stand inside of them.
+STRUCTURE = frozenset("h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote figure figcaption".split())
+WITHIN = STRUCTURE | {"p", "div"}
 #: Weights of a block and its neighbours.
 SMOOTH = np.array([0.25, 0.5, 0.25])
 
@@ -79,27 +85,35 @@ def furniture(tag: str, attributes: str, in_landmark: bool) -> bool:
     return False
 
 
-def blocks(html: str) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, in furniture, in an article element) of every block with text, in page order."""
+def blocks(html: str) -> list[tuple[str, str, bool, bool, bool]]:
+    """(path, text, in furniture, in an article element, mostly links) of every block with text, in page order."""
     stack: list[tuple[str, bool, bool]] = []  # tag, furniture, landmark: each holds for what is inside
     out, parts = [], []
     at, end = 0, len(html)
+    in_link, linked = False, 0
 
     def flush():
+        nonlocal linked
+        links, linked = linked, 0
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
                 _, skip, inside = stack[-1] if stack else ("", False, False)
-                out.append(("/".join([s[0] for s in stack]), text, skip, inside))
+                out.append(("/".join([s[0] for s in stack]), text, skip, inside, 2 * links > len(text)))
+
+    def add(text: str):
+        nonlocal linked
+        parts.append(text)
+        linked += len(text) if in_link else 0
 
     while at < end:
         m = TOKEN.search(html, at)
         if m is None:
-            parts.append(html[at:])
+            add(html[at:])
             break
         if m.start() > at:
-            parts.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
@@ -111,6 +125,7 @@ def blocks(html: str) -> list[tuple[str, str, bool, bool]]:
                 at = close.end() if close else end
             continue
         if tag in INLINE:
+            in_link = not closing if tag == "a" else in_link
             if tag in ("br", "wbr", "img"):
                 parts.append(" " if tag == "br" else "")
             elif not closing and (m[3] or m[6]) and furniture(tag, m[3] or m[6], True):
@@ -140,21 +155,60 @@ def blocks(html: str) -> list[tuple[str, str, bool, bool]]:
 def main_text(html: str) -> str:
     """The blocks of content of a page, one per line."""
     found = [b for b in blocks(html) if not b[2]]
-    if any(b[3] for b in found):
+    landmark = any(b[3] for b in found)
+    if landmark:
         found = [b for b in found if b[3]]
     if not found:
         return ""
     paths: dict[str, int] = {}
     of = np.array([paths.setdefault(b[0], len(paths)) for b in found])
     nodes = np.bincount(of)
-    size = np.bincount(of, [len(b[1]) for b in found]) / nodes
-    marks = np.bincount(of, [len(PUNCTUATION.findall(b[1])) for b in found]) / nodes
-    fused = (size / size.max() + marks / max(marks.max(), 1)) / 2
+    lengths, points = [len(b[1]) for b in found], [len(PUNCTUATION.findall(b[1])) for b in found]
+    scaled = (lambda x: x) if landmark else np.log1p
+    size = scaled(np.bincount(of, lengths) / nodes)
+    marks = scaled(np.bincount(of, points) / nodes)
+    fused = (size / size.max() + marks / max(marks.max(), scaled(1))) / 2
     around = np.convolve(np.pad(fused[of], 1, mode="edge"), SMOOTH, "valid")
-    share = np.where([b[3] for b in found], INSIDE, OUTSIDE)
     # a path is content or not as a whole: its blocks' smoothed ratios count together
     score = np.bincount(of, around) / nodes
-    return "\n".join(b[1] for b, ok in zip(found, score[of] >= share * around.max()) if ok)
+    kept = score[of] >= (INSIDE if landmark else OUTSIDE) * around.max()
+    if not landmark:
+        kept = with_structure(found, kept.tolist())
+    return "\n".join(b[1] for b, ok in zip(found, kept) if ok)
+
+
+def with_structure(found: list[tuple], kept: list[bool]) -> list[bool]:
+    """``kept``, and runs of headings, lists, tables and the like that belong to kept blocks.
+
+    They belong there if they lie under the parent of a kept block, and between kept blocks or,
+    unless they are links, next to one.
+    """
+    parents = {b[0].rpartition("/")[0] for b, ok in zip(found, kept) if ok}
+
+    def belongs(path: str) -> bool:
+        tags = path.split("/")
+        for k in range(len(tags)):
+            if tags[k] in STRUCTURE and WITHIN.issuperset(tags[k:]) and "/".join(tags[:k]) in parents:
+                return True
+        return False
+
+    state = ["kept" if ok else "near" if belongs(b[0]) else "out" for b, ok in zip(found, kept)]
+    out, at = list(kept), 0
+    for kind, run in groupby(state):
+        n = len(list(run))
+        if kind == "near":
+            before, after = at > 0 and kept[at - 1], at + n < len(kept) and kept[at + n]
+            if before and after:
+                out[at : at + n] = [True] * n
+            elif before or after:
+                # from the kept block on, up to the first links
+                order = range(at, at + n) if before else range(at + n - 1, at - 1, -1)
+                for i in order:
+                    if found[i][4]:
+                        break
+                    out[i] = True
+        at += n
+    return out
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
