@@ -125,6 +125,22 @@ def test_main_text_without_landmarks():
     assert html_text.main_text(page) == "\n".join([long, huge, long, huge, long])
 
 
+def test_hints_do_not_outweigh_content():
+    p = "<p>A long sentence, with commas, stands here.</p><p>And, another one.</p>"
+    want = "A long sentence, with commas, stands here.\nAnd, another one."
+    comments = "<div class='comments'><div class='comment'><article><p>Nice, very.</p></article></div></div>"
+    for page in (
+        f"<div class='content has-sidebar'><article>{p}</article>{comments}</div>",
+        f"<div id='page-header-wrap'><div>{p}</div><div class='menu'>Go, on.</div></div>",
+        f"<article><div class='post share'>{p}<div class='share'>Send, it.</div></div></article>",
+        f"<main><div class='social'>Follow, us.</div><div class='has-sidebar'><div id='header-x'>{p}</div></div></main>",
+        f"<div>{p}</div>{comments}",
+    ):
+        assert html_text.main_text(page) == want, page
+    page = "<article><figure><figcaption>A figure, shown.</figcaption></figure><map name=m><p>Mapped text.</p></map><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.</p></article>"
+    assert html_text.main_text(page) == "A figure, shown.\nMapped text.\nSo x=1 holds."
+
+
 def test_pages_keep_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "t"), (1, None, None, "t"), (2, "v", "", None)], "page_id long, url string, html string, t string")
     rows = html_text.extract(pages).collect()

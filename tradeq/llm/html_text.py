@@ -3,10 +3,11 @@
 A page becomes a row of text blocks, each with its path of block tags from the root.
 Text length and punctuation are summed per path and divided by the path's blocks;
 the two ratios are smoothed along the page and fused, and paths below a threshold
-go. Outside landmarks the ratios are taken of logarithms, so one huge block does not push
-ordinary paragraphs out, and headings, lists, tables and the like that lie between or
-next to kept blocks, under the same element, stay. Blocks in page furniture (navigation, adverts, forms, comments and the like)
-count as no content whatever their ratio; an ``article`` or ``main`` element, where
+go. Outside landmarks the ratios are taken of logarithms, so one huge block does not
+push ordinary paragraphs out, and headings, lists, tables and the like that lie
+between or next to kept blocks, under the same element, stay. Blocks in page
+furniture (navigation, adverts, forms, comments and the like) count as no content whatever their ratio, but a class or id alone does not outweigh
+the landmark or most of the text inside; an ``article`` or ``main`` element, where
 there is one, bounds the content and asks less of its paths.
 
 Null and empty html give an empty text. Nothing is cut off or capped. Equal pages
@@ -38,11 +39,13 @@ SMOOTH = np.array([0.25, 0.5, 0.25])
 # Fixed values of the markup language and of page furniture.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt rtc s samp small "
-    "span strike strong sub sup time tt u var wbr br".split()
+    "span strike strong sub sup time tt u var wbr br "
+    "math mi mn mo ms mtext mspace mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mmultiscripts mtable mtr mtd "
+    "mstyle mpadded mphantom menclose merror semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select noframes xmp".split())
-FURNITURE = frozenset("head nav footer aside form button fieldset dialog menu map figcaption legend audio video canvas".split())
+RAW = frozenset("script style textarea title noscript template iframe svg annotation annotation-xml object select noframes xmp".split())
+FURNITURE = frozenset("head nav footer aside form button fieldset dialog menu audio video canvas".split())
 LANDMARK = frozenset(("article", "main"))
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|side-?bar|menu|nav|navbar|navigation|"
@@ -67,28 +70,60 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
-def furniture(tag: str, attributes: str, in_landmark: bool) -> bool:
-    """Whether an element holds page furniture."""
+def furniture(tag: str, attributes: str, in_landmark: bool) -> str:
+    """Whether an element holds page furniture: "" for no, "hint" if only a class or id says so."""
     if tag in FURNITURE or (tag == "header" and not in_landmark):
-        return True
+        return "yes"
     if not attributes or tag in LANDMARK or tag in ("html", "body"):
-        return False
+        return ""
     if HIDDEN.search(attributes):
-        return True
+        return "yes"
+    hinted = ""
     for m in ATTRIBUTE.finditer(attributes):
         value = unescape(m[2] or m[3] or m[4] or "")
         if m[1].lower() == "role":
             if value.lower() in ROLES:
-                return True
+                return "yes"
         elif HINT.search(value):
-            return True
-    return False
+            hinted = "hint"
+    return hinted
+
+
+def outweighed(marked: list[tuple], hints: list[tuple], landmarks: list[tuple]) -> set[int]:
+    """Hints that the content speaks against.
+
+    ``marked`` are (length, punctuation, hints, landmarks) of the blocks outside certain furniture,
+    ``hints`` the hints and landmarks that each hinted element lies in, ``landmarks`` the hints of each landmark.
+    """
+    freed: set[int] = set()
+    held, own = np.zeros((len(landmarks) + 1, 2)), np.zeros((len(hints), 2))  # held: of the page in the last place
+    for length, points, under, within in marked:
+        held[[*within, -1]] += length, points
+        if under:
+            own[under[-1]] += length, points
+    if landmarks:
+        # elements around the largest landmark, unless more text stands outside of it without a hint
+        main = int(held[:-1, 0].argmax())
+        if held[main, 0] >= sum(b[0] for b in marked if not b[2] and main not in b[3]):
+            freed.update(landmarks[main])
+    for e in reversed(range(len(hints))):
+        # most of the landmark or page it lies in, without what hinted elements inside of it hold
+        around, within = hints[e]
+        scope = held[within[-1] if within else -1]
+        if own[e, 0] and (2 * own[e] > scope)[scope > 0].all():
+            freed.add(e)
+        if e in freed and around:
+            own[around[-1]] += own[e]
+    return freed
 
 
 def blocks(html: str) -> list[tuple[str, str, bool, bool, bool]]:
     """(path, text, in furniture, in an article element, mostly links) of every block with text, in page order."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, landmark: each holds for what is inside
+    # tag, furniture, hinted elements, landmarks: each holds for what is inside
+    stack: list[tuple[str, bool, tuple, tuple]] = []
     out, parts = [], []
+    hints: list[tuple] = []  # hinted elements and landmarks that each hinted element lies in
+    landmarks: list[tuple] = []  # hinted elements that each landmark lies in
     at, end = 0, len(html)
     in_link, linked = False, 0
 
@@ -99,8 +134,8 @@ def blocks(html: str) -> list[tuple[str, str, bool, bool, bool]]:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                _, skip, inside = stack[-1] if stack else ("", False, False)
-                out.append(("/".join([s[0] for s in stack]), text, skip, inside, 2 * links > len(text)))
+                _, skip, under, within = stack[-1] if stack else ("", False, (), ())
+                out.append(("/".join([s[0] for s in stack]), text, skip, under, within, 2 * links > len(text)))
 
     def add(text: str):
         nonlocal linked
@@ -145,11 +180,20 @@ def blocks(html: str) -> list[tuple[str, str, bool, bool, bool]]:
         enders = [k for k in range(len(stack)) if tag in ENDED_BY.get(stack[k][0], ())]
         if enders and not any(s[0] in ("ul", "ol", "dl", "table") for s in stack[enders[-1] + 1 :]):
             del stack[enders[-1] :]
-        _, skip, inside = stack[-1] if stack else ("", False, False)
-        inside = inside or tag in LANDMARK
-        stack.append((tag, skip or furniture(tag, m[3] or m[6] or "", inside), inside))
+        _, skip, under, within = stack[-1] if stack else ("", False, (), ())
+        if tag in LANDMARK:
+            within = (*within, len(landmarks))
+            landmarks.append(under)
+        kind = furniture(tag, m[3] or m[6] or "", bool(within))
+        if kind == "hint":
+            hints.append((under, within))
+            under = (*under, len(hints) - 1)
+        stack.append((tag, skip or kind == "yes", under, within))
     flush()
-    return out
+    freed: set[int] = set()
+    if any(b[3] for b in out):
+        freed = outweighed([(len(b[1]), len(PUNCTUATION.findall(b[1])), b[3], b[4]) for b in out if not b[2]], hints, landmarks)
+    return [(path, text, skip or any(e not in freed for e in under), bool(within), links) for path, text, skip, under, within, links in out]
 
 
 def main_text(html: str) -> str:
