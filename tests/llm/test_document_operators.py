@@ -249,6 +249,25 @@ def test_items_equal_brute_force(spark, monkeypatch):
     assert decontaminate.find(docs.limit(0), bench).count() == 0
 
 
+def test_items_are_found_in_parts_and_without_rare_words(spark):
+    draw = random.Random(21)
+    text = lambda k, p="w": " ".join(f"{p}{draw.randrange(10**6)}" for _ in range(k))
+    question, answer, rest = text(30), text(30), text(9000, "x")
+    common = [f"c{i}" for i in range(70)]
+    rare = text(8)
+    # one item's rare words stand together; the others share its common words, which weigh little
+    items = [(1, f"{question}.\n{answer}"), (2, " ".join([*common[:35], rare, *common[35:]]) + ".\n" + " ".join(common[:20]))]
+    items += [(10 + i, " ".join(draw.sample(common, 60)) + ".\nyes") for i in range(60)]
+    rows = [(1, f"{question}. {rest} {answer}"), (2, f"{answer} {rest} {question}."), (3, f"{question}. {rest}")]
+    rows += [(4, " ".join([*common[:35], "other", *common[35:]]) + ".\n" + " ".join(common[:20]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_items(items, rows)
+    assert {(d, i) for d, i, *_ in want} == {("1", "1"), ("2", "1"), ("4", "2")}
+    got = decontaminate.find(frame(spark, rows), bench).collect()
+    assert sorted((str(r["doc_id"]), str(r["item_id"]), r["n_shared"], r["n_runs"]) for r in got) == want
+    assert [r["doc_id"] for r in decontaminate.without(frame(spark, rows), bench).collect()] == [3]
+
+
 def test_wand_equals_exhaustive_scores():
     draw = random.Random(1)
     weights = []

@@ -1,13 +1,13 @@
 """Benchmark decontamination: a BM25 index of test items, searched with block-max WAND.
 
-Every passage of every document is a query. A posting's weight is its BM25 weight
-divided by the item's own score, so an item whose words all stand in a passage scores
-1 and one threshold holds for items of any length. Items are kept by length class;
-passages of a class are twice its length and overlap by half, so that each occurrence
-of an item lies within one passage. Bounds of blocks of items, first with the terms
-of the whole document, then with those of a passage, skip nearly everything; what is
-left is scored by WAND, and items above the threshold are verified: shares of the
-item's 5-word runs, and of those of its question and its answer, in the document.
+Every document is a query, as a whole: an item's parts may stand far apart in it. A
+posting's weight is its BM25 weight divided by the item's own score, so an item whose
+words all stand in a document scores 1. A document that holds the asked share of an
+item's 5-word runs lacks few of its words; what these can weigh at most is known per
+item, and the item's threshold is low enough for that. Bounds of blocks of items skip
+nearly everything; what is left is scored by WAND, and items above their threshold
+are verified: shares of the item's 5-word runs, and of those of its question and its
+answer, in the document.
 
 The index is split into shards of bounded size; each shard is sent to the tasks and
 all documents pass by it. Items without words match nothing, nor do null and empty
@@ -18,6 +18,7 @@ are searched like others.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -33,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tradeq.llm.common import slices, texts
 
 K1, B = 1.2, 0.75
-#: Share of an item's own score from which a passage retrieves it.
+#: Share of an item's own score from which a document retrieves it; less where its runs allow less.
 RETRIEVE = 0.6
 #: Share of an item's 5-word runs that must stand in the document, and of its question's and answer's.
 OVERLAP, PART = 0.8, 0.5
@@ -79,6 +80,7 @@ class Item:
     question: set
     answer: set
     runs: set
+    raised: float = 1.0
 
     def shares(self, runs: set) -> tuple[int, float, float]:
         part = lambda p: len(p & runs) / len(p) if p else 1.0
@@ -111,32 +113,15 @@ class Segment:
         self.local = np.full(len(vocabulary) + 1, -1, np.int32)
         self.local[[vocabulary[w] for w in self.terms]] = list(self.terms.values())
 
-    def search(self, places: np.ndarray, numbers: np.ndarray, n_words: int, threshold: float) -> dict[int, float]:
-        """Items that some passage of a document retrieves, with their best scores.
-
-        ``places`` are the word positions that hold a term of the shard, ``numbers`` those terms.
-        """
-        found: dict[int, float] = {}
-        terms = self.local[numbers]
-        own = terms >= 0
-        at, terms = places[own], terms[own]
-        if len(at) == 0:
-            return found
-        whole = np.zeros(len(self.postings), bool)
-        whole[terms] = True
-        near = np.flatnonzero(self.most[whole].sum(0) >= threshold - 1e-3)
-        if len(near) == 0:
-            return found
-        for start in range(0, max(1, n_words - self.length), self.length):
-            a, b = at.searchsorted((start, start + 2 * self.length))
-            if a == b:
-                continue
-            query = np.unique(terms[a:b])
-            bounds = self.most[np.ix_(query, near)].sum(0)
-            for k in near[bounds >= threshold - 1e-3].tolist():
-                for i, s in self.wand(query.tolist(), k, threshold):
-                    found[i] = max(s, found.get(i, 0.0))
-        return found
+    def search(self, numbers: np.ndarray, threshold: float) -> dict[int, float]:
+        """Items that a document retrieves, with their scores; ``numbers`` are its terms in the shard."""
+        query = self.local[numbers]
+        query = query[query >= 0]
+        if len(query) == 0:
+            return {}
+        near = np.flatnonzero(self.most[query].sum(0) >= threshold - 1e-3)
+        query = query.tolist()
+        return {i: s for k in near.tolist() for i, s in self.wand(query, k, threshold)}
 
     def wand(self, query: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
         """Items of a block whose score reaches the threshold, in order of items."""
@@ -173,6 +158,24 @@ class Segment:
         return out
 
 
+def least_score(words: list[bytes], weights: dict[bytes, float]) -> float:
+    """The least share of an item's score in a document that holds ``OVERLAP`` of its runs; weights add up to 1.
+
+    A word is only missing if all runs with it are, and a run has at most ``RUN`` words, so the
+    missing words' numbers of runs add up to at most that many times the missing runs.
+    """
+    runs = word_runs(words)
+    room = RUN * math.floor((1 - OVERLAP) * len(runs) + 1e-9)
+    within = Counter(w for r in runs for w in set(r))
+    missing = 0.0
+    for word, weight in sorted(weights.items(), key=lambda x: -x[1] / within[x[0]]):
+        if room <= 0:
+            break
+        missing += weight * min(1.0, room / within[word])
+        room -= within[word]
+    return 1 - missing
+
+
 class Shard:
     """Part of the items, by length class."""
 
@@ -191,7 +194,11 @@ class Shard:
                 items.append(Item(r["item"], words, word_runs(first), word_runs(last), word_runs(words)))
                 raw = {w.encode(): weight for w, weight in zip(r["terms"], r["weights"])}
                 own_score = sum(raw.values())
-                weights.append({w: x / own_score for w, x in raw.items()})
+                share = {w: x / own_score for w, x in raw.items()}
+                # raised where the item must be found from a lower score, so that one threshold holds for all
+                raised = RETRIEVE / max(1e-6, min(RETRIEVE, least_score(words, share)))
+                items[-1].raised = raised
+                weights.append({w: x * raised for w, x in share.items()})
             self.segments.append(Segment(length, items, weights))
         self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in self.segments for w in s.terms))}
         for segment in self.segments:
@@ -200,18 +207,17 @@ class Shard:
     def matches(self, text: str, threshold: float = RETRIEVE) -> list[tuple[object, float, int, int, float, float]]:
         """(item, score, shared runs, runs of the item, question's share, answer's share) of what is verified."""
         words = split_words(text)
-        numbers = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, len(words))
-        places = np.flatnonzero(numbers >= 0)
-        numbers = numbers[places]
+        numbers = np.unique(np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, len(words)))
+        numbers = numbers[numbers >= 0]
         out, runs = [], None
         for segment in self.segments:
-            for i, score in segment.search(places, numbers, len(words), threshold).items():
+            for i, score in segment.search(numbers, threshold).items():
                 if runs is None:
                     runs = word_runs(words)
                 item = segment.items[i]
                 shared, question, answer = item.shares(runs)
                 if shared >= OVERLAP * len(item.runs) - 1e-9 and question >= PART and answer >= PART:
-                    out.append((item.key, min(1.0, score), shared, len(item.runs), question, answer))
+                    out.append((item.key, min(1.0, score / item.raised), shared, len(item.runs), question, answer))
         return out
 
 
