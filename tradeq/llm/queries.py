@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeq.llm import bpe, check_sql, decontaminate, html_text, language_id, lm_score, near_dedup, quality_rules, suffix_dedup, token_counts, toxicity
+from tradeq.llm import bpe, check_sql, decontaminate, html_text, language_id, lm_score, near_dedup, quality_rules, suffix_dedup, token_counts, token_shards, toxicity
 from tradeq.llm.common import held_out
 
 
@@ -90,6 +90,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Follows every document in the files of op13.
+END_ID = 2
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written to wavelet-matrix files and read back from them."""
+    shards = token_shards.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return token_shards.read(spark, shards)
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_contamination": op2_contamination,
@@ -101,6 +111,7 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
