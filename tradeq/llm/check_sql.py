@@ -135,3 +135,41 @@ FROM islands GROUP BY doc_id, removed, island
 UNION ALL
 SELECT doc_id, CAST(0 AS BIGINT), CAST(n AS BIGINT), doc_id <> lo FROM same WHERE lo <> hi AND n >= 50
 """
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+worded AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+words AS (SELECT piece, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM worded),
+suffixes AS (
+  SELECT lang, w AS w1, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY piece ORDER BY i)
+),
+runs AS (
+  SELECT lang, 1 AS m, [w1] AS p FROM suffixes UNION ALL
+  SELECT lang, 2, [w1, w2] FROM suffixes WHERE w2 IS NOT NULL UNION ALL
+  SELECT lang, 3, [w1, w2, w3] FROM suffixes WHERE w3 IS NOT NULL
+),
+f AS (SELECT lang, m, p, count(*) AS c FROM runs GROUP BY ALL HAVING count(*) >= 10),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+cuts AS (
+  SELECT f.lang, f.p, f.m, f.c AS a, k, x.c AS l, y.c AS r,
+    (1000000::HUGEINT * f.c * f.c // (x.c::HUGEINT * y.c))::BIGINT AS score
+  FROM f JOIN (SELECT unnest([1, 2]) AS k) ON k < f.m
+  JOIN f x ON x.lang = f.lang AND x.p = f.p[1 : k] JOIN f y ON y.lang = f.lang AND y.p = f.p[k + 1 : f.m]
+),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, p, max(c) AS c FROM (
+    SELECT lang, p[1 : 2] AS p, c FROM f WHERE m = 3 UNION ALL SELECT lang, p[2 : 3], c FROM f WHERE m = 3
+  ) GROUP BY ALL
+),
+kept AS (
+  SELECT s.lang, array_to_string(s.p, ' ') AS phrase, a, l, r, score FROM scored s
+  LEFT JOIN inside i ON i.lang = s.lang AND i.p = s.p WHERE i.c IS NULL OR 100 * i.c < 50 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeq.llm import bpe, check_sql, decontaminate, html_text, language_id, lm_score, near_dedup, quality_rules, suffix_dedup, token_counts, token_shards, toxicity
+from tradeq.llm import bpe, check_sql, decontaminate, html_text, language_id, lm_score, near_dedup, phrases, quality_rules, suffix_dedup, token_counts, token_shards, toxicity
 from tradeq.llm.common import held_out
 
 
@@ -90,6 +90,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 #: Follows every document in the files of op13.
 END_ID = 2
 
@@ -111,6 +116,7 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op12_phrases": op12_phrases,
     "op13_token_files": op13_token_files,
 }
 
@@ -119,4 +125,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_repeats": check_sql.OP4_SQL.strip(),
     "op6_quality": check_sql.OP6_SQL.strip(),
     "op7_near_dedup": check_sql.OP7_SQL.strip(),
+    "op12_phrases": check_sql.OP12_SQL.strip(),
 }
