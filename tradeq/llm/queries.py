@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeq.llm import bpe, check_sql, decontaminate, html_text, language_id, lm_score, near_dedup, phrases, quality_rules, suffix_dedup, token_counts, token_shards, toxicity
+from tradeq.llm import bpe, check_sql, decontaminate, hard_negatives, html_text, language_id, lm_score, near_dedup, phrases, quality_rules, suffix_dedup, token_counts, token_shards, toxicity
 from tradeq.llm.common import held_out
 
 
@@ -90,6 +90,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, after some labels are made wrong on purpose."""
+    return hard_negatives.mine(
+        table(spark, sf_dir, "embeddings"),
+        anchors=lambda i: i % 100 == 0,
+        new_label=lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label),
+    )
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of two and three words of every language."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
@@ -116,6 +125,7 @@ QUERIES = {
     "op8_lm": op8_lm,
     "op9_token_counts": op9_token_counts,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_phrases": op12_phrases,
     "op13_token_files": op13_token_files,
 }
@@ -125,5 +135,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_repeats": check_sql.OP4_SQL.strip(),
     "op6_quality": check_sql.OP6_SQL.strip(),
     "op7_near_dedup": check_sql.OP7_SQL.strip(),
+    "op11_hard_negatives": check_sql.OP11_SQL.strip(),
     "op12_phrases": check_sql.OP12_SQL.strip(),
 }
