@@ -47,9 +47,9 @@ def test_encoder_equals_the_library(name):
     with open(public_tokenizers.path(name), "rb") as f:
         raw = f.read()
     library, encode = Tokenizer.from_str(raw.decode()), token_shards.Encoder(raw)
-    texts = ["", " ", "Hello  World", "a\x1cb\x85c　d", "x<|endoftext|>y <|endoftext|>", "ẞ İ Σας é ́x", "tab\tline\nend\r", "12 $%&'ll don't"]
+    texts = ["", " ", "Hello  World", "a\x1cb\x85c　d", "x<|endoftext|>y <|endoftext|>", "ẞ İ Σας é ́x", "tab\tline\nend\r", "12 $%&'ll don't", "Ça—où «Größe» ÿÀ×÷ª²µ", "İıſK", "a" + "\U00010d50" + "B 1", "\u1c89 \ua7cb"]
     for _ in range(2):  # the second time from memory
-        ids, n = encode(texts)
+        ids, n = encode(pa.array(texts))
         want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
         assert ids.tolist() == [i for w in want for i in w] and n.tolist() == [len(w) for w in want]
 

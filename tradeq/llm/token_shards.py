@@ -15,22 +15,25 @@ ignored. A table without rows gives a folder without files.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tradeq.llm import shared_files
 from tradeq.llm.bpe import share
-from tradeq.llm.common import slices, texts
+from tradeq.llm.common import slices
 from tradeq.llm.wavelet import Matrix, pack
 from tradeq.session import settle, shared_dir
 
@@ -39,41 +42,64 @@ SHARD_TOKENS = 1 << 21
 REMEMBERED = 300_000
 # Fixed value: the split rule of a vocabulary whose tokens never hold or span white space.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_STEPS = ["NFC", "Replace", "Lowercase"]
+#: Text that normalizing only lowers, one character by one: ASCII, letters of Western languages, common marks.
+PLAIN = re.compile("[\0-\x7fÀ-ÖØ-öø-ÿ¡§«·»¿–—‘’“”„…•]*")
+#: The split rule for such text in lower case.
+PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+", re.ASCII)
 
 
 class Encoder:
     """The tokenizers library over many texts.
 
     Where the file's split rule removes white space, pieces between blanks are encoded
-    alone, once per distinct piece of a slice, and remembered; otherwise whole texts are.
+    alone and remembered; otherwise whole texts are. Plain pieces are lowered and split by
+    the file's rule here, so that the library's model sees each distinct part once; all
+    other pieces, and those that may hold a special string, go through the library whole.
     """
 
     def __init__(self, raw: bytes):
         self.library = Tokenizer.from_str(raw.decode())
         self.library.no_truncation()
         self.library.no_padding()
-        rules = json.loads(raw).get("pre_tokenizer") or {}
+        spec = json.loads(raw)
+        rules = spec.get("pre_tokenizer") or {}
         first = rules.get("pretokenizers", [rules])[0]
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
         self.by_piece = (
             first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
-            and first["pattern"].get("Regex") == WORD_SPLIT
+            and first["pattern"].get("Regex") == WORD_SPLIT and [s["type"] for s in steps] == WORD_STEPS
         )
-        self.young: dict[str, bytes] = {}
+        model = spec["model"]
+        if self.by_piece:
+            suffix = model["end_of_word_suffix"]
+            self.parts_only = Tokenizer.from_str(raw.decode())
+            self.parts_only.normalizer = None
+            self.parts_only.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
+            self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)  # tokens that end a part
+            self.ends[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+        self.marked = any("<|" not in t["content"] for t in spec["added_tokens"])
+        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
-    def __call__(self, whole: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, whole: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
+        whole = whole.fill_null("")
         if not self.by_piece:
-            found = [e.ids for e in self.library.encode_batch_fast(whole, add_special_tokens=False)]
-            return np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64)
-        pieces: list[str] = []
-        sizes = []
-        for t in whole:
-            mine = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            pieces += mine
-            sizes.append(len(mine))
-        coded = pa.array(pieces, pa.string()).dictionary_encode()
-        packed = self._packed(coded.dictionary.to_pylist())
+            found = [e.ids for e in self.library.encode_batch_fast(whole.to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
+        for blank in "\n\t\r":
+            whole = pc.replace_substring(whole, blank, " ")
+        split = pc.split_pattern(whole, " ")
+        sizes = split.value_lengths().to_numpy(zero_copy_only=False)
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        packed = list(map(self.young.get, distinct))
+        if None in packed:
+            fresh = self._missing([p for p, f in zip(distinct, packed) if f is None])
+            packed = [fresh[p] if f is None else f for p, f in zip(distinct, packed)]
         code = coded.indices.to_numpy(zero_copy_only=False)
         length = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
         flat = np.frombuffer(b"".join(packed), np.int32)
@@ -81,22 +107,40 @@ class Encoder:
         ends = np.cumsum(n)
         first = (np.cumsum(length) - length)[code]
         ids = flat[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        before = np.concatenate([[0], ends])[np.cumsum([0, *sizes])]
-        return ids.astype(np.int64), np.diff(before)
-
-    def _packed(self, pieces: list[str]) -> list[bytes]:
-        found = list(map(self.young.get, pieces))
-        older = {p: self.old.get(p) for p, f in zip(pieces, found) if f is None}
-        missing = [p for p, f in older.items() if f is None]
-        if missing:
-            done = self.library.encode(missing, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(done.ids, np.int32).tobytes()
-            edges = np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(missing) + 1)) * 4
-            older.update({p: ids[a:b] for p, a, b in zip(missing, edges.tolist(), edges[1:].tolist())})
+        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])])
+
+    def _missing(self, wanted: list[str]) -> dict[str, bytes]:
+        """Packed ids of pieces that the young generation does not know; they enter it."""
+        out = {p: self.old[p] for p in wanted if p in self.old}
+        new = [p for p in wanted if p not in out]
+        plain = [p for p in new if PLAIN.fullmatch(p) and "<|" not in p] if not self.marked else []
+        split = [PLAIN_SPLIT.findall(p.lower()) for p in plain]
+        out.update(zip(plain, self._joined(split)))
+        rest = [p for p in new if p not in out]
+        out.update(zip(rest, self._encoded(self.library, rest)))
         if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young.update(older)
-        return [older[p] if f is None else f for p, f in zip(pieces, found)]
+            self.old, self.young = self.young, {"": b""}
+        self.young.update(out)
+        return out
+
+    def _joined(self, split: list[list[str]]) -> list[bytes]:
+        distinct = list(dict.fromkeys(chain.from_iterable(split)))
+        if not distinct:
+            return [b"" for _ in split]
+        ids = np.array(self.parts_only.encode_batch_fast([" ".join(distinct)], add_special_tokens=False)[0].ids, np.int32)
+        edges = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+        data = ids.tobytes()
+        known = {w: data[a:b] for w, a, b in zip(distinct, edges, edges[1:])}
+        return [known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w]) for w in split]
+
+    @staticmethod
+    def _encoded(library: Tokenizer, pieces: list[str]) -> list[bytes]:
+        if not pieces:
+            return []
+        done = library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(done.ids, np.int32).tobytes()
+        edges = (np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(pieces) + 1)) * 4).tolist()
+        return [ids[a:b] for a, b in zip(edges, edges[1:])]
 
 
 _ENCODERS: dict[int, Encoder] = {}
@@ -150,8 +194,8 @@ def write(docs: DataFrame, path: str, end_id: int, text: str = "text", key: str
             return row
 
         for batch in slices(batches, "t"):
-            ids, counts = encode(texts(batch, "t"))
-            ids = np.insert(ids, np.cumsum(counts), end_id)
+            ids, counts = encode(batch.column("t"))
+            ids = np.insert(ids, np.cumsum(counts), end_id)  # after the last id of each
             counts = counts + 1
             ends = np.cumsum(counts)
             at = 0

@@ -56,7 +56,6 @@ def ids_of(planes: list[np.ndarray], n: int) -> np.ndarray:
 
 def pack(ids: np.ndarray, documents: pa.RecordBatch) -> bytes:
     """The file of one shard. ``documents`` has ``doc_id`` and ``n_tokens`` in the order of ``ids``."""
-    ids = np.asarray(ids, np.int64)
     if len(ids) and int(ids.min()) < 0:
         raise ValueError("token ids are not negative")
     levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
