@@ -98,6 +98,70 @@ def build_routes(
     )
 
 
+def _two_best(sell: DataFrame, keys: list[str], highest: bool, name: str) -> DataFrame:
+    """Best sell price per key, where it is, and the best price elsewhere; pruned before the shuffle."""
+    price = F.col("price").desc() if highest else F.col("price").asc()
+    w = W.partitionBy(*keys).orderBy(price, "id_terminal")
+    two = sell.withColumn("place", F.row_number().over(w)).filter("place <= 2")
+    first, second = F.col("place") == 1, F.col("place") == 2
+    return two.groupBy(*keys).agg(
+        F.max(F.when(first, F.col("price"))).alias(f"{name}_price"),
+        F.max(F.when(first, F.col("id_terminal"))).alias(f"{name}_at"),
+        F.max(F.when(second, F.col("price"))).alias(f"{name}_else"),
+    )
+
+
+def pair_sums(
+    buy: DataFrame, sell: DataFrame, sums: tuple[str, ...] = (), keys: tuple[str, ...] = ("id_commodity",), least: bool = False
+) -> DataFrame:
+    """What the routes of every buy row add up to, without making a route.
+
+    A buy row meets all sell rows of its key but that of its own terminal. So number, sums and
+    best price follow from one row per key, less the own sell row; one key may hold any share
+    of the rows, as all of it is aggregated before the shuffle. Adds to the columns of ``buy``
+    (id_commodity, id_terminal, price ...): ``n_routes`` (more than 0; buy rows without a route
+    go), ``sum_price``, ``best_price``, with ``least`` also ``least_price``, and ``sum_<name>``
+    of the ``sums`` of the sell rows. A terminal has at most one sell row per key.
+    """
+    keys = list(keys)
+    totals = sell.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_all"), F.sum("price").alias("price_all"), *[F.sum(c).alias(f"{c}_all") for c in sums]
+    )
+    per_key = totals.join(_two_best(sell, keys, True, "best"), keys)
+    if least:
+        per_key = per_key.join(_two_best(sell, keys, False, "least"), keys)
+    own = sell.select(*keys, "id_terminal", F.lit(1).alias("n_own"), F.col("price").alias("price_own"), *[F.col(c).alias(f"{c}_own") for c in sums])
+    met = buy.join(per_key, keys).join(own, [*keys, "id_terminal"], "left")
+    less = lambda c: F.col(f"{c}_all") - F.coalesce(F.col(f"{c}_own"), F.lit(0))
+    elsewhere = lambda name: F.when(F.col(f"{name}_at") == F.col("id_terminal"), F.col(f"{name}_else")).otherwise(F.col(f"{name}_price"))
+    added = [less("n").alias("n_routes"), less("price").alias("sum_price"), elsewhere("best").alias("best_price")]
+    if least:
+        added.append(elsewhere("least").alias("least_price"))
+    added += [less(c).alias(f"sum_{c}") for c in sums]
+    return met.select(*buy.columns, *added).filter("n_routes > 0")
+
+
+def sides(latest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Buy and sell rows of a price table that can be part of a route."""
+    priced = latest.filter("price > 0")
+    return priced.filter("side = 'BUY'").drop("side"), priced.filter("side = 'SELL'").drop("side")
+
+
+def origin_economics(sums: DataFrame, budget: Column, vehicle: Column | None = None) -> DataFrame:
+    """Affordable routes per origin from ``pair_sums``: n, scu, investment, profit, best_profit."""
+    price, n = F.col("price"), F.col("n_routes")
+    units = effective_scu(F.col("stock"), price, budget, vehicle)
+    affordable = sums.filter(effective_scu(F.col("stock"), price, budget) > 0).withColumn("units", units)
+    u = F.col("units")
+    return affordable.groupBy(F.col("id_terminal").alias("id_origin")).agg(
+        F.sum("n_routes").alias("n"),
+        F.sum(u * n).alias("scu"),
+        F.sum(u * n * price).alias("investment"),
+        F.sum(u * (F.col("sum_price") - n * price)).alias("profit"),
+        F.max(u * (F.col("best_price") - price)).alias("best_profit"),
+    )
+
+
 def with_places(routes: DataFrame, terminals: DataFrame, columns: list[str]) -> DataFrame:
     """Copy terminal columns to both ends as ``<name>_o`` and ``<name>_d``."""
     for key, end in (("id_origin", "o"), ("id_destination", "d")):
@@ -127,36 +191,15 @@ def with_eta(routes: DataFrame) -> DataFrame:
     )
 
 
-def overlay(routes: DataFrame, targets: DataFrame, recent: DataFrame) -> DataFrame:
-    """Add terminal-wide and route-specific staleness; anything missing is 0.
-
-    Targets are reduced to one row per terminal, and one per (terminal,
-    commodity) and side, before they meet the routes.
-    """
-    per_terminal = terminal_staleness(targets, recent)
-    for key, end in (("id_origin", "o"), ("id_destination", "d")):
-        side = per_terminal.select(
-            F.col("id_terminal").alias(key),
-            F.col("max_days").alias(f"max_days_{end}"),
-            F.col("stale_count").alias(f"stale_{end}"),
-            F.col("excluded_count").alias(f"excluded_{end}"),
-        )
-        routes = routes.join(side, key, "left")
-    for key, side, end in (("id_origin", "BUY", "o"), ("id_destination", "SELL", "d")):
-        ages = first_target_age(targets, recent, side, f"this_days_{end}").withColumnRenamed("id_terminal", key)
-        routes = routes.join(ages, [key, "id_commodity"], "left")
-    zero = ["max_days_o", "max_days_d", "stale_o", "stale_d", "excluded_o", "excluded_d", "this_days_o", "this_days_d"]
-    return route_ages(routes.fillna(0, subset=zero))
-
-
 STALE_COLUMNS = ("max_days", "stale", "excluded", "this_days")
 
 
 def stale_sides(latest: DataFrame, targets: DataFrame, recent: DataFrame) -> DataFrame:
-    """The overlay of ``overlay``, joined to price rows instead of to routes.
+    """Terminal-wide and route-specific staleness of every price row; anything missing is 0.
 
-    Routes built with ``carry=STALE_COLUMNS`` then need no join at all; there are
-    far fewer price rows than routes.
+    Targets are reduced to one row per terminal, and one per (terminal, commodity, side),
+    before they meet the prices. Routes built with ``carry=STALE_COLUMNS`` then need no
+    join at all; there are far fewer price rows than routes.
     """
     per_terminal = terminal_staleness(targets, recent).select(
         "id_terminal", "max_days", F.col("stale_count").alias("stale"), F.col("excluded_count").alias("excluded")
@@ -196,11 +239,19 @@ def filter_pills(routes: DataFrame, pills: list[str]) -> DataFrame:
 
 
 def filter_legal(routes: DataFrame, commodities: DataFrame) -> DataFrame:
-    """Drop routes of known illegal commodities; unknown commodities stay."""
+    """Drop routes, or price rows, of known illegal commodities; unknown commodities stay."""
     illegal = commodities.filter("is_illegal = 1").select(F.col("id").alias("id_commodity"))
     return routes.join(illegal, "id_commodity", "left_anti")
 
 
+def with_pills(prices: DataFrame, terminals: DataFrame, pills: list[str]) -> DataFrame:
+    """Price rows at terminals that have every active pill: what ``filter_pills`` keeps, before routes are made."""
+    if not pills:
+        return prices
+    fit = terminals.filter(reduce(lambda a, b: a & b, [F.col(PILLS[p]) == 1 for p in pills]))
+    return prices.join(fit.select(F.col("id").alias("id_terminal")), "id_terminal", "left_semi")
+
+
 def filter_predicted(routes: DataFrame) -> DataFrame:
     return routes.filter(~((F.col("user_rows_o") > 0) & (F.col("user_rows_d") > 0)))
 
@@ -252,30 +303,83 @@ def scoped_terminals(terminals: DataFrame) -> DataFrame:
     return terminals.select(F.col("id").alias("id_terminal"), F.inline(scopes)).filter("scope_id > 0 or scope = 'TERMINAL'")
 
 
+def _starts(terminals: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, origin terminal): a query's origin scope resolved."""
+    scoped = scoped_terminals(terminals)
+    places = scoped.select(F.col("scope").alias("origin_scope"), F.col("scope_id").alias("origin_id"), F.col("id_terminal").alias("id_origin"))
+    return queries.join(places, ["origin_scope", "origin_id"])
+
+
+def _scoped_sell(sell: DataFrame, terminals: DataFrame) -> DataFrame:
+    """Sell rows under every scope of their terminal."""
+    return sell.join(scoped_terminals(terminals), "id_terminal").withColumnsRenamed({"scope": "destination_scope", "scope_id": "destination_id"})
+
+
 def routes_for_query(latest: DataFrame, terminals: DataFrame, queries: DataFrame) -> DataFrame:
     """Routes of each query (origin scope, optional commodity, optional destination scope).
 
-    The buy side is cut down to the queries' origins before any pair is made.
+    Buy rows are cut down to origins and wanted commodities first. A query with a destination
+    meets sell rows on (commodity, destination scope), so no route outside its scope is made.
     """
-    scoped = scoped_terminals(terminals)
-    start = queries.join(
-        scoped.select(F.col("scope").alias("origin_scope"), F.col("scope_id").alias("origin_id"), F.col("id_terminal").alias("id_origin")),
-        ["origin_scope", "origin_id"],
+    start = _starts(terminals, queries)
+    buy, sell = sides(latest)
+    here = buy.withColumnsRenamed({"id_terminal": "id_origin", "price": "price_origin", "stock": "scu_origin", "status": "status_origin"}).drop("ts")
+    there = sell.withColumnsRenamed(
+        {"id_terminal": "id_destination", "price": "price_destination", "stock": "scu_destination", "status": "status_destination"}
+    ).drop("ts")
+    wanted = start.filter("want_commodity is not null").withColumn("id_commodity", F.col("want_commodity").cast(buy.schema["id_commodity"].dataType))
+    hits = here.join(start.filter("want_commodity is null"), "id_origin").unionByName(here.join(wanted, ["id_origin", "id_commodity"]))
+    bound_to = _scoped_sell(sell, terminals).withColumnsRenamed(
+        {"id_terminal": "id_destination", "price": "price_destination", "stock": "scu_destination", "status": "status_destination"}
+    ).drop("ts")
+    bound = hits.join(bound_to, ["id_commodity", "destination_scope", "destination_id"])
+    free = hits.filter("destination_scope is null").join(there, "id_commodity")
+    po, pd = F.col("price_origin"), F.col("price_destination")
+    return (
+        free.unionByName(bound)
+        .filter("id_origin <> id_destination")
+        .withColumn("price_margin", margin_percent(po, pd))
+        .withColumn("price_roi", roi_percent(po, pd))
+        .withColumn("full_investment", F.col("scu_origin") * po)
     )
-    routes = build_routes(latest, start.select(F.col("id_origin").alias("id_terminal")))
-    hits = routes.join(start, "id_origin").filter(
-        F.col("want_commodity").isNull() | (F.col("want_commodity") == F.col("id_commodity"))
+
+
+def scope_summary(latest: DataFrame, terminals: DataFrame, queries: DataFrame) -> DataFrame:
+    """Per query with routes: n, n_origins and best_roi of ``routes_for_query``, without making a route.
+
+    Sums are made once per origin, wanted commodity and destination scope that any query asks
+    for, however many queries ask; queries then add up their origins.
+    """
+    start = _starts(terminals, queries)
+    ask = ["id_origin", "want_commodity", "destination_scope", "destination_id"]
+    asked = start.select(*ask).distinct()
+    buy, sell = sides(latest)
+    price = F.col("price")
+    free = pair_sums(buy, sell).select(
+        F.col("id_terminal").alias("id_origin"), "id_commodity", "n_routes", roi_percent(price, F.col("best_price")).alias("roi")
     )
-    ends = scoped.select(
-        F.col("scope").alias("destination_scope"),
-        F.col("scope_id").alias("destination_id"),
-        F.col("id_terminal").alias("id_destination"),
+    whole = free.groupBy("id_origin").agg(F.sum("n_routes").alias("n"), F.max("roi").alias("roi"))
+    one = free.select("id_origin", F.col("id_commodity").alias("want_commodity"), F.col("n_routes").alias("n"), "roi")
+    open_ended = asked.filter("destination_scope is null")
+    parts = [
+        open_ended.filter("want_commodity is null").join(whole, "id_origin").select(*ask, "n", "roi"),
+        open_ended.join(one, ["id_origin", "want_commodity"]).select(*ask, "n", "roi"),
+    ]
+    ends = asked.filter("destination_scope is not null").withColumnRenamed("id_origin", "id_terminal")
+    wanted = ends.filter("want_commodity is not null").withColumn("id_commodity", F.col("want_commodity").cast(buy.schema["id_commodity"].dataType))
+    rows = buy.join(ends.filter("want_commodity is null"), "id_terminal").unionByName(buy.join(wanted, ["id_terminal", "id_commodity"]))
+    scope = ("id_commodity", "destination_scope", "destination_id")
+    bound = pair_sums(rows, _scoped_sell(sell, terminals).select(*scope, "id_terminal", "price"), keys=scope)
+    parts.append(
+        bound.withColumnRenamed("id_terminal", "id_origin").groupBy(*ask).agg(
+            F.sum("n_routes").alias("n"), F.max(roi_percent(price, F.col("best_price"))).alias("roi")
+        )
     )
-    free = hits.filter("destination_scope is null")
-    bound = hits.filter("destination_scope is not null").join(
-        ends, ["destination_scope", "destination_id", "id_destination"], "left_semi"
+    found = reduce(DataFrame.unionByName, parts).withColumnsRenamed({c: f"{c}_" for c in ask})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ask])
+    return start.join(found, same).groupBy("query_id").agg(
+        F.sum("n").alias("n"), F.count_distinct("id_origin").alias("n_origins"), F.max("roi").alias("best_roi")
     )
-    return free.unionByName(bound)
 
 
 def rank_routes(routes: DataFrame, column: str = "score", ascending: bool = False) -> DataFrame:
@@ -291,6 +395,70 @@ def top_routes(routes: DataFrame, k: int, column: str = "score") -> DataFrame:
     return routes.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Price steps of sell rows per doubling of the price, for bounds on what a group of them can score.
+STEPS = 8
+
+
+def _scored_end(price_o: Column, units: Column, days_o: Column, stale_o: Column, end: Column, slider: Column) -> Column:
+    """Score of a route, or a bound on the scores of several if ``end`` holds the greatest values of their ends."""
+    profit = units * (end["price"] - price_o)
+    return blended_score(profit, F.greatest(days_o, end["max_days"]), stale_o + end["stale"], slider)
+
+
+def contenders(ends: DataFrame, k: int, budget: Column, vehicle: Column | None, slider: Column, slack: float = 1e-6) -> DataFrame:
+    """Routes among which are the best ``k`` gainful ones of every origin by blended score, and few others.
+
+    ``ends`` are latest prices with ``STALE_COLUMNS``. The score grows with sell price, age and
+    stale count of the destination. First every buy row is tried with one or a few of the best
+    sell prices of its commodity, which gives each origin a score that k of its routes reach.
+    Then sell rows are told in groups by commodity and price step, with the greatest values
+    of each: a buy row meets only the rows of groups that can reach its origin's score (less
+    ``slack``, for scores compared after rounding) and can gain. Both rounds pass by price rows; no
+    commodity is paired with itself as a whole. Columns are those of ``build_routes``.
+    """
+    buy, sell = sides(ends)
+    price = F.col("price")
+    units = effective_scu(F.col("stock"), price, budget, vehicle)
+    buy = buy.filter(effective_scu(F.col("stock"), price, budget) > 0).withColumn("units", units)
+    per_origin = buy.groupBy("id_terminal").agg(F.count(F.lit(1)).alias("n_buy"))
+    one = F.struct("price", "max_days", "stale", "id_terminal")
+    w = W.partitionBy("id_commodity").orderBy(F.col("price").desc(), "id_terminal")
+    top = sell.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k + 1)
+    best = top.groupBy("id_commodity").agg(F.array_sort(F.collect_list(F.struct("place", one.alias("end")))).alias("best"))
+    step = F.floor(F.log2("price") * STEPS)
+    groups = sell.withColumn("step", step).groupBy("id_commodity", "step").agg(
+        F.max("price").alias("price"), F.max("max_days").alias("max_days"), F.max("stale").alias("stale")
+    )
+    # as many groups as price steps at most, whatever the number of rows
+    known = groups.groupBy("id_commodity").agg(F.collect_list(F.struct("step", "price", "max_days", "stale")).alias("groups")).join(best, "id_commodity")
+    tried = buy.join(per_origin, "id_terminal").join(known, "id_commodity")
+    score = lambda end: _scored_end(price, F.col("units"), F.col("max_days"), F.col("stale"), end, slider)
+    gains = lambda end: (F.col("units") > 0) & (end["price"] > price)
+    others = F.filter("best", lambda b: (b["end"]["id_terminal"] != F.col("id_terminal")) & gains(b["end"]))
+    first = F.slice(others, F.lit(1), F.ceil(F.lit(k) / F.col("n_buy")).cast("int"))
+    reached = tried.select("id_terminal", F.explode(F.transform(first, lambda b: score(b["end"]))).alias("reached"))
+    rank = W.partitionBy("id_terminal").orderBy(F.desc("reached"))
+    bar = reached.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).groupBy("id_terminal").agg(
+        F.max(F.when(F.col("rank") == k, F.col("reached"))).alias("bar")
+    )
+    enough = lambda g: gains(g) & (F.col("bar").isNull() | (score(g) >= F.col("bar") - slack))
+    asked = tried.drop("best", "n_buy").join(bar, "id_terminal", "left")
+    asked = asked.withColumn("step", F.explode(F.transform(F.filter("groups", enough), lambda g: g["step"]))).drop("groups", "bar")
+    carried = [c for c in sell.columns if c not in ("id_commodity", "id_terminal", "price", "stock", "status", "ts")]
+    names = lambda end, tag: {
+        "id_terminal": f"id_{end}", "price": f"price_{end}", "stock": f"scu_{end}", "status": f"status_{end}", **{c: f"{c}_{tag}" for c in carried}
+    }
+    there = sell.withColumn("step", step).drop("ts").withColumnsRenamed(names("destination", "d"))
+    routes = asked.drop("ts", "units").withColumnsRenamed(names("origin", "o")).join(there, ["id_commodity", "step"])
+    po, pd = F.col("price_origin"), F.col("price_destination")
+    return (
+        routes.filter("id_origin <> id_destination").drop("step")
+        .withColumn("price_margin", margin_percent(po, pd))
+        .withColumn("price_roi", roi_percent(po, pd))
+        .withColumn("full_investment", F.col("scu_origin") * po)
+    )
+
+
 def best_destinations(latest: DataFrame, k: int = 1) -> DataFrame:
     """Routes with the k best sell prices for every (origin, commodity), without all pairs.
 

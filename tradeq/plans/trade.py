@@ -91,14 +91,17 @@ def timed_routes(m: Market) -> DataFrame:
     return R.with_eta(with_distance(R.with_places(money_routes(m), m.terminals(), ["place"])))
 
 
-def aged_routes(m: Market) -> DataFrame:
-    """Timed routes with ages; places and staleness are joined to the prices, before pairs are made."""
+def route_ends(m: Market) -> DataFrame:
+    """Latest prices with places and staleness; both ends of routes read this table, so it is worked out once."""
     places = m.terminals().select(F.col("id").alias("id_terminal"), "place")
     targets = settle(enriched_targets(m), "targets")
     latest = R.stale_sides(R.latest_prices(m.observations()), targets, S.recent_pairs(m.submissions(), LOG_NOW))
-    # both ends of the routes read this table, so it is worked out once
-    ends = settle(latest.join(places, "id_terminal", "left"), "route-ends")
-    routes = R.build_routes(ends, carry=(*R.STALE_COLUMNS, "place"))
+    return settle(latest.join(places, "id_terminal", "left"), "route-ends")
+
+
+def aged_routes(m: Market, ends: DataFrame | None = None) -> DataFrame:
+    """Timed routes with ages; places and staleness are joined to the prices, before pairs are made."""
+    routes = R.build_routes(route_ends(m) if ends is None else ends, carry=(*R.STALE_COLUMNS, "place"))
     budget, vehicle = F.lit(BUDGET), F.lit(VEHICLE)
     money = R.effective(R.drop_unaffordable(routes, budget), budget, vehicle)
     return R.route_ages(R.with_eta(with_distance(money)))
@@ -119,12 +122,15 @@ def latest_prices(m: Market):
            round(max(price_roi),6) AS best_roi, round(min(price_margin),6) AS worst_margin,
            round(sum(full_investment),2) AS full_investment FROM routes GROUP BY 1""", ROUTE_VIEWS))
 def route_pairs(m: Market):
-    return routes_of(m).groupBy("id_commodity").agg(
-        F.count(F.lit(1)).alias("n_routes"),
-        F.round(F.max("price_margin"), 6).alias("best_margin"),
-        F.round(F.max("price_roi"), 6).alias("best_roi"),
-        F.round(F.min("price_margin"), 6).alias("worst_margin"),
-        F.round(F.sum("full_investment"), 2).alias("full_investment"),
+    """All routes of a commodity in numbers; no route is made for it."""
+    sums = R.pair_sums(*R.sides(R.latest_prices(m.observations())), least=True)
+    price = F.col("price")
+    return sums.groupBy("id_commodity").agg(
+        F.sum("n_routes").alias("n_routes"),
+        F.round(F.max(R.margin_percent(price, F.col("best_price"))), 6).alias("best_margin"),
+        F.round(F.max(R.roi_percent(price, F.col("best_price"))), 6).alias("best_roi"),
+        F.round(F.min(R.margin_percent(price, F.col("least_price"))), 6).alias("worst_margin"),
+        F.round(F.sum(F.col("n_routes") * F.col("stock") * price), 2).alias("full_investment"),
     )
 
 
@@ -152,20 +158,32 @@ def _by_origin(df: DataFrame) -> DataFrame:
     )
 
 
+def _summed(economics: DataFrame) -> DataFrame:
+    """``origin_economics`` in the rounding of ``_BY_ORIGIN``."""
+    return economics.select(
+        "id_origin", "n", "scu", F.round("investment", 2).alias("investment"), F.round("profit", 2).alias("profit"),
+        F.round("best_profit", 4).alias("best_profit"),
+    )
+
+
+def economics_of(prices: DataFrame) -> DataFrame:
+    return _summed(R.origin_economics(R.pair_sums(*R.sides(prices)), F.lit(BUDGET), F.lit(VEHICLE)))
+
+
 @query("effective_economics", using(_TRADE, f"{_BY_ORIGIN} FROM money GROUP BY 1", MONEY_VIEWS))
 def effective_economics(m: Market):
     """Stock, budget and vehicle caps on every route, summed per origin."""
-    return _by_origin(money_routes(m))
+    return economics_of(R.latest_prices(m.observations()))
 
 
 @query("unaffordable_dropped", using("ranked_obs terminals", f"""
     SELECT id_origin, count(*) AS n_routes, count(*) FILTER (WHERE {_cap('price_origin').replace(str(BUDGET), '2500')}>0) AS n_affordable
     FROM routes GROUP BY 1""", ROUTE_VIEWS))
 def unaffordable_dropped(m: Market):
-    routes = routes_of(m)
-    units = R.effective_scu(F.col("scu_origin"), F.col("price_origin"), F.lit(2500))
-    return routes.groupBy("id_origin").agg(
-        F.count(F.lit(1)).alias("n_routes"), F.count_if(units > 0).alias("n_affordable")
+    sums = R.pair_sums(*R.sides(R.latest_prices(m.observations())))
+    units = R.effective_scu(F.col("stock"), F.col("price"), F.lit(2500))
+    return sums.groupBy(F.col("id_terminal").alias("id_origin")).agg(
+        F.sum("n_routes").alias("n_routes"), F.sum(F.when(units > 0, F.col("n_routes")).otherwise(0)).alias("n_affordable")
     )
 
 
@@ -185,15 +203,19 @@ def route_eta(m: Market):
            sum(stale_d) AS stale_d, sum(excluded_recent) AS excluded, sum(this_days_o) AS this_o,
            sum(this_days_d) AS this_d FROM aged GROUP BY 1""", OVERLAY_VIEWS))
 def route_overlay(m: Market):
-    laid = R.overlay(timed_routes(m), enriched_targets(m), S.recent_pairs(m.submissions(), LOG_NOW))
-    return laid.groupBy("id_origin").agg(
-        F.sum("max_days_o").alias("max_days_o"),
-        F.sum("max_days_d").alias("max_days_d"),
-        F.sum("stale_o").alias("stale_o"),
-        F.sum("stale_d").alias("stale_d"),
-        F.sum("excluded_recent").alias("excluded"),
-        F.sum("this_days_o").alias("this_o"),
-        F.sum("this_days_d").alias("this_d"),
+    """Staleness at both ends of all affordable routes, added up per origin from price rows."""
+    buy, sell = R.sides(route_ends(m))
+    sums = R.pair_sums(buy, sell, R.STALE_COLUMNS)
+    affordable = sums.filter(R.effective_scu(F.col("stock"), F.col("price"), F.lit(BUDGET)) > 0)
+    own = lambda c: F.sum(F.col("n_routes") * F.col(c))
+    return affordable.groupBy(F.col("id_terminal").alias("id_origin")).agg(
+        own("max_days").alias("max_days_o"),
+        F.sum("sum_max_days").alias("max_days_d"),
+        own("stale").alias("stale_o"),
+        F.sum("sum_stale").alias("stale_d"),
+        (own("excluded") + F.sum("sum_excluded")).alias("excluded"),
+        own("this_days").alias("this_o"),
+        F.sum("sum_this_days").alias("this_d"),
     )
 
 
@@ -235,26 +257,35 @@ def score_by_slider(m: Market):
     WHERE o.has_loading_dock=1 AND d.has_loading_dock=1 AND o.has_refuel=1 AND d.has_refuel=1
       AND o.is_monitored=1 AND d.is_monitored=1 GROUP BY 1""", MONEY_VIEWS))
 def pill_filter(m: Market):
-    pills = ["loading_dock", "refuel", "monitored"]
-    placed = R.with_places(money_routes(m), m.terminals(), [R.PILLS[p] for p in pills])
-    return _by_origin(R.filter_pills(placed, pills))
+    """Pills hold at both ends, so price rows at other terminals go before anything else."""
+    return economics_of(R.with_pills(R.latest_prices(m.observations()), m.terminals(), ["loading_dock", "refuel", "monitored"]))
 
 
 @query("legal_filter", using("ranked_obs terminals commodities", f"""{_BY_ORIGIN} FROM money m
     WHERE NOT EXISTS (SELECT 1 FROM commodities c WHERE c.id=m.id_commodity AND is_illegal=1) GROUP BY 1""", MONEY_VIEWS))
 def legal_filter(m: Market):
-    return _by_origin(R.filter_legal(money_routes(m), m.commodities()))
+    return economics_of(R.filter_legal(R.latest_prices(m.observations()), m.commodities()))
 
 
 @query("predicted_filter", using(_TRADE, f"""{_BY_ORIGIN} FROM money
     WHERE NOT (status_origin>2 AND status_destination>3) GROUP BY 1""", MONEY_VIEWS))
 def predicted_filter(m: Market):
     """User rows stand in as status minus 2 and 3, so that zeros occur on both sides."""
+    buy, sell = R.sides(R.latest_prices(m.observations()))
+    # a route stays if its origin has no user rows, or else its destination has none
+    sums = R.pair_sums(buy.filter("status <= 2"), sell).unionByName(R.pair_sums(buy.filter("status > 2"), sell.filter("status <= 3")))
+    return _summed(R.origin_economics(sums, F.lit(BUDGET), F.lit(VEHICLE)))
+
+
+@query("predicted_routes", using(_TRADE, """
+    SELECT id_commodity, count(*) AS n FROM money WHERE NOT (status_origin>2 AND status_destination>3) GROUP BY 1""", MONEY_VIEWS))
+def predicted_routes(m: Market):
+    """The same filter on routes themselves."""
     known = money_routes(m).withColumns(
         {"user_rows_o": F.greatest(F.lit(0), F.col("status_origin") - 2),
          "user_rows_d": F.greatest(F.lit(0), F.col("status_destination") - 3)}
     )
-    return _by_origin(R.filter_predicted(known))
+    return R.filter_predicted(known).groupBy("id_commodity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("profit_filter", using(_TRADE, f"""{_BY_ORIGIN} FROM rated
@@ -282,7 +313,8 @@ def container_fit(m: Market):
     vehicles product is ever made.
     """
     sets = m.commodities().select(F.col("id").alias("id_commodity"), csv_ints(F.col("container_sizes")).alias("set"))
-    per_set = routes_of(m).join(sets, "id_commodity").groupBy("set").agg(F.count(F.lit(1)).alias("n"))
+    sums = R.pair_sums(*R.sides(R.latest_prices(m.observations())))
+    per_set = sums.join(sets, "id_commodity").groupBy("set").agg(F.sum("n_routes").alias("n"))
     vehicles = C.cargo_vehicles(m.vehicles()).select(
         F.col("id").alias("id_vehicle"), csv_ints(F.col("container_sizes")).alias("allowed")
     )
@@ -307,8 +339,8 @@ def container_fit(m: Market):
 def container_filter(m: Market):
     """One chosen vehicle, as in the interactive filter."""
     sets = m.commodities().select(F.col("id").alias("id_commodity"), csv_ints(F.col("container_sizes")).alias("container_set"))
-    fitting = R.filter_container_fit(money_routes(m).join(sets, "id_commodity"), F.array(F.lit(1), F.lit(2)))
-    return _by_origin(fitting)
+    fitting = R.filter_container_fit(R.latest_prices(m.observations()).join(sets, "id_commodity"), F.array(F.lit(1), F.lit(2)))
+    return economics_of(fitting.drop("container_set"))
 
 
 _SCOPED = {
@@ -323,14 +355,8 @@ _SCOPED = {
 }
 
 
-@query("scoped_routes", using("ranked_obs terminals", """
-    SELECT query_id, count(*) AS n, count(DISTINCT id_origin) AS n_origins, round(max(price_roi),6) AS best_roi
-    FROM asked JOIN scoped o ON o.scope=origin_scope AND o.scope_id=origin_id
-    JOIN routes r ON r.id_origin=o.id_terminal AND (want_commodity IS NULL OR want_commodity=r.id_commodity)
-    WHERE destination_scope IS NULL OR EXISTS (SELECT 1 FROM scoped d WHERE d.scope=destination_scope
-        AND d.scope_id=destination_id AND d.id_terminal=r.id_destination)
-    GROUP BY 1""", ROUTE_VIEWS | _SCOPED))
-def scoped_routes(m: Market):
+def scope_queries(m: Market) -> DataFrame:
+    """One query per supplier, over all scopes, with and without commodity and destination."""
     k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("long")
     asked = m.table("supplier").select(
         k.alias("query_id"),
@@ -340,12 +366,32 @@ def scoped_routes(m: Market):
         F.when(k % 4 == 1, "PLANET").when(k % 4 == 3, "ORBIT").alias("destination_scope"),
         F.when(k % 4 == 1, (n + 3) % 25).when(k % 4 == 3, F.lit(2)).alias("destination_id"),
     )
-    hits = R.routes_for_query(R.latest_prices(m.observations()), m.terminals(), asked)
-    return hits.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct("id_origin").alias("n_origins"),
-        F.round(F.max("price_roi"), 6).alias("best_roi"),
-    )
+    return asked
+
+
+@query("scoped_routes", using("ranked_obs terminals", """
+    SELECT query_id, count(*) AS n, count(DISTINCT id_origin) AS n_origins, round(max(price_roi),6) AS best_roi
+    FROM asked JOIN scoped o ON o.scope=origin_scope AND o.scope_id=origin_id
+    JOIN routes r ON r.id_origin=o.id_terminal AND (want_commodity IS NULL OR want_commodity=r.id_commodity)
+    WHERE destination_scope IS NULL OR EXISTS (SELECT 1 FROM scoped d WHERE d.scope=destination_scope
+        AND d.scope_id=destination_id AND d.id_terminal=r.id_destination)
+    GROUP BY 1""", ROUTE_VIEWS | _SCOPED))
+def scoped_routes(m: Market):
+    found = R.scope_summary(R.latest_prices(m.observations()), m.terminals(), scope_queries(m))
+    return found.select("query_id", "n", "n_origins", F.round("best_roi", 6).alias("best_roi"))
+
+
+@query("bound_routes", using("ranked_obs terminals", """
+    SELECT query_id, id_origin, id_destination, r.id_commodity, round(price_roi,6) AS price_roi
+    FROM (SELECT * FROM asked WHERE destination_scope IS NOT NULL) JOIN scoped o ON o.scope=origin_scope AND o.scope_id=origin_id
+    JOIN routes r ON r.id_origin=o.id_terminal AND (want_commodity IS NULL OR want_commodity=r.id_commodity)
+    JOIN scoped d ON d.scope=destination_scope AND d.scope_id=destination_id AND d.id_terminal=r.id_destination
+    WHERE price_roi>0""", ROUTE_VIEWS | _SCOPED))
+def bound_routes(m: Market):
+    """Gainful routes of the queries that name a destination."""
+    asked = scope_queries(m).filter("destination_scope is not null")
+    hits = R.routes_for_query(R.latest_prices(m.observations()), m.terminals(), asked).filter("price_roi > 0")
+    return hits.select("query_id", "id_origin", "id_destination", "id_commodity", F.round("price_roi", 6).alias("price_roi"))
 
 
 _ROUTE_OUT = ["id_origin", "id_destination", "id_commodity", "scu", "this_route_days"]
@@ -368,5 +414,8 @@ def ranked_routes(m: Market):
     WHERE rank<=10""", OVERLAY_VIEWS))
 def top_routes(m: Market):
     """Flagship: ten best legal routes of every origin under budget, vehicle and staleness."""
-    kept = R.filter_legal(R.filter_profit(scored_routes(m)), m.commodities()).withColumn("score", F.round("score", 6))
+    budget, vehicle, slider = F.lit(BUDGET), F.lit(VEHICLE), F.lit(SLIDER)
+    ends = R.filter_legal(route_ends(m), m.commodities())
+    routes = R.effective(R.contenders(ends, 10, budget, vehicle, slider), budget, vehicle)
+    kept = R.filter_profit(R.with_score(R.route_ages(routes), slider)).withColumn("score", F.round("score", 6))
     return R.top_routes(kept, 10).select("rank", *_ROUTE_OUT, "score", F.round("profit", 4).alias("profit"))
