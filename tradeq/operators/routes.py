@@ -10,13 +10,15 @@ from pyspark.sql import Window as W
 
 from tradeq.functions.economics import (
     blended_score,
+    days_stale,
     effective_scu,
     eta_seconds,
     margin_percent,
     profit_per_minute,
     roi_percent,
 )
-from tradeq.operators.staleness import exclude_recent, first_target_age, terminal_staleness
+from tradeq.operators.staleness import enrich_targets, mark_recent, staleness_by_terminal
+from tradeq.session import settle
 
 PILLS = {
     "loading_dock": "has_loading_dock",
@@ -194,26 +196,33 @@ def with_eta(routes: DataFrame) -> DataFrame:
 STALE_COLUMNS = ("max_days", "stale", "excluded", "this_days")
 
 
-def stale_sides(latest: DataFrame, targets: DataFrame, recent: DataFrame) -> DataFrame:
-    """Terminal-wide and route-specific staleness of every price row; anything missing is 0.
+def stale_sides(prices: DataFrame, terminals: DataFrame, recent: DataFrame, now: int) -> DataFrame:
+    """Price rows of both sides with their own and their terminal's staleness; anything missing is 0.
 
-    Targets are reduced to one row per terminal, and one per (terminal, commodity, side),
-    before they meet the prices. Routes built with ``carry=STALE_COLUMNS`` then need no
-    join at all; there are far fewer price rows than routes.
+    ``prices`` has one row per (terminal, commodity), so each side is a target at most once and
+    its own age needs no join. Routes built with ``carry=STALE_COLUMNS`` then need no join
+    at all; there are far fewer price rows than routes.
     """
-    per_terminal = terminal_staleness(targets, recent).select(
-        "id_terminal", "max_days", F.col("stale_count").alias("stale"), F.col("excluded_count").alias("excluded")
+    side = lambda name, suffix, stock: F.struct(
+        F.lit(name).alias("side"), F.col(f"price_{suffix}").alias("price"), F.col(stock).alias("stock"), F.col(f"status_{suffix}").alias("status")
+    )
+    rows = mark_recent(enrich_targets(prices, terminals), recent).select(
+        "id_terminal", "id_commodity", "date_modified", "is_reachable", "is_recent",
+        F.inline(F.array(side("BUY", "buy", "scu_buy"), side("SELL", "sell", "scu_sell_stock"))),
     )
-    keys = ["id_terminal", "id_commodity", "side"]
-    ages = (
-        exclude_recent(targets.filter("is_reachable"), recent)
-        .groupBy(*keys)
-        .agg(F.max_by("days_stale", F.struct("priority", "days_stale")).alias("this_days"))
+    target = F.col("is_reachable") & (F.col("date_modified") > 0)
+    aged = rows.filter("price > 0").withColumn("days_stale", days_stale(F.col("date_modified"), F.lit(now)))
+    # read for the terminals' sums and again for the rows themselves
+    known = settle(aged.withColumn("is_target", target).drop("is_reachable"), "stale-sides")
+    per_terminal = staleness_by_terminal(known.filter("is_target")).select(
+        "id_terminal", "max_days", F.col("stale_count").alias("stale"), F.col("excluded_count").alias("excluded")
     )
+    own = F.when(F.col("is_target") & ~F.col("is_recent"), F.col("days_stale")).otherwise(0)
     return (
-        latest.join(ages, keys, "left")
+        known.withColumn("this_days", own)
         .join(per_terminal, "id_terminal", "left")
         .fillna(0, subset=list(STALE_COLUMNS))
+        .select("id_terminal", "id_commodity", "side", F.col("date_modified").alias("ts"), "price", "stock", "status", *STALE_COLUMNS)
     )
 
 
@@ -396,7 +405,7 @@ def top_routes(routes: DataFrame, k: int, column: str = "score") -> DataFrame:
 
 
 #: Price steps of sell rows per doubling of the price, for bounds on what a group of them can score.
-STEPS = 8
+STEPS = 2
 
 
 def _scored_end(price_o: Column, units: Column, days_o: Column, stale_o: Column, end: Column, slider: Column) -> Column:

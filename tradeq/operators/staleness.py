@@ -95,13 +95,12 @@ def mark_recent(targets: DataFrame, recent: DataFrame) -> DataFrame:
     )
 
 
-def terminal_staleness(targets: DataFrame, recent: DataFrame) -> DataFrame:
-    """Per terminal over reachable targets: oldest age, 30-day count, excluded count."""
+def staleness_by_terminal(flagged: DataFrame) -> DataFrame:
+    """Per terminal over reachable targets marked ``is_recent``: oldest age, 30-day count, excluded count."""
     old = F.col("days_stale") >= STALE_DAYS
     usable = ~F.col("is_recent")
     return (
-        mark_recent(targets.filter("is_reachable"), recent)
-        .groupBy("id_terminal")
+        flagged.groupBy("id_terminal")
         .agg(
             F.coalesce(F.max(F.when(usable, F.col("days_stale"))), F.lit(0)).alias("max_days"),
             F.count_if(old & usable).alias("stale_count"),
@@ -111,13 +110,9 @@ def terminal_staleness(targets: DataFrame, recent: DataFrame) -> DataFrame:
     )
 
 
-def first_target_age(targets: DataFrame, recent: DataFrame, side: str, out: str) -> DataFrame:
-    """Age of the first target in priority order per (terminal, commodity) of one side."""
-    return (
-        exclude_recent(targets.filter(F.col("is_reachable") & (F.col("side") == side)), recent)
-        .groupBy("id_terminal", "id_commodity")
-        .agg(F.max_by("days_stale", F.struct("priority", "days_stale")).alias(out))
-    )
+def terminal_staleness(targets: DataFrame, recent: DataFrame) -> DataFrame:
+    """``staleness_by_terminal`` of targets and what was submitted lately."""
+    return staleness_by_terminal(mark_recent(targets.filter("is_reachable"), recent))
 
 
 def rank_targets(targets: DataFrame) -> DataFrame:

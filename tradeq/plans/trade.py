@@ -9,7 +9,7 @@ from tradeq.functions.values import csv_ints
 from tradeq.operators import catalog as C
 from tradeq.operators import routes as R
 from tradeq.operators import staleness as S
-from tradeq.plans.prices import STALENESS_VIEWS, enriched_targets
+from tradeq.plans.prices import NOW, STALENESS_VIEWS
 from tradeq.plans.registry import query
 from tradeq.plans.views import using
 from tradeq.session import settle
@@ -94,9 +94,8 @@ def timed_routes(m: Market) -> DataFrame:
 def route_ends(m: Market) -> DataFrame:
     """Latest prices with places and staleness; both ends of routes read this table, so it is worked out once."""
     places = m.terminals().select(F.col("id").alias("id_terminal"), "place")
-    targets = settle(enriched_targets(m), "targets")
-    latest = R.stale_sides(R.latest_prices(m.observations()), targets, S.recent_pairs(m.submissions(), LOG_NOW))
-    return settle(latest.join(places, "id_terminal", "left"), "route-ends")
+    known = R.stale_sides(m.prices_all(), m.terminals(), S.recent_pairs(m.submissions(), LOG_NOW), NOW)
+    return settle(known.join(places, "id_terminal", "left"), "route-ends")
 
 
 def aged_routes(m: Market, ends: DataFrame | None = None) -> DataFrame:
