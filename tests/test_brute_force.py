@@ -164,3 +164,21 @@ def test_terminal_over_lines(rows):
     got = {r.capture_id: (r.matched_id, r.window, r.score) for r in S.resolve_across_lines(lines, terminals).collect()}
     # the single line already scores 100 by partial, and the best score wins
     assert got == {1: (1, "EVERUS", 100), 2: (2, "BAIJINI POINT", 100)}
+
+
+def test_edit_distance_of_sequences():
+    from tradeq.operators.metrics import edit_distance
+
+    rng = random.Random(9)
+    for size in (0, 1, 3, 20, 130):
+        for _ in range(40):
+            a = [rng.choice("abc") for _ in range(rng.randint(0, size))]
+            b = [rng.choice("abcd") for _ in range(rng.randint(0, size))] if rng.random() < 0.5 else [x for x in a if rng.random() < 0.8]
+            row = list(range(len(b) + 1))
+            for i, x in enumerate(a, 1):
+                row, old = [i], row
+                for j, y in enumerate(b, 1):
+                    row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+            assert edit_distance(a, b) == row[-1]
+    many = [str(i) for i in range(30_000)]
+    assert edit_distance(many, ["x", *many[:10_000], *many[10_001:], "y"]) == 3

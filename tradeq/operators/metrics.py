@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradeq.functions.text import strip
 
-FIRST_CODE, LAST_CODE = 0x10000, 0x10FFFF  # word codes: about a million distinct words per pair
-
-
 def plain_text(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\r\n?", "\n"))
 
@@ -28,26 +27,52 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(F.upper(plain_text(c)), r"[ \t\n]+"), lambda w: w != "")
 
 
-def word_error(df: DataFrame, reference: str, hypothesis: str, out: str) -> DataFrame:
-    """Word edits per reference word, ignoring case.
+def edit_distance(a: list, b: list) -> int:
+    """Edits between two sequences of any length, by bit vectors.
 
-    Every distinct word of the pair becomes one character, so the built-in edit
-    distance over those strings is the distance over words.
+    Bit i of the vectors tells whether the distance grows or shrinks from place i of ``a`` to
+    the next; one item of ``b`` moves all places at once, so the work is len(b) operations on
+    numbers of len(a) bits, and the memory is a few such numbers.
     """
-    coded = df.withColumns({"_r": _words(F.col(reference)), "_h": _words(F.col(hypothesis))}).withColumn(
-        "_all", F.array_distinct(F.concat("_r", "_h"))
-    )
-    code = F.transform(
-        "_all",
-        lambda w, i: F.decode(F.unhex(F.lpad(F.hex(i + FIRST_CODE), 8, "0")), "UTF-32"),
-    )
-    # a pair with more distinct words than there are codes must not get a wrong distance
-    too_many = F.size("_all") > LAST_CODE - FIRST_CODE + 1
-    code = F.when(too_many, F.raise_error(F.lit("more distinct words in a pair than codes")).cast("array<string>")).otherwise(code)
-    coded = coded.withColumn("_codes", F.map_from_arrays("_all", code))
-    spell = lambda c: F.array_join(F.transform(c, lambda w: F.element_at("_codes", w)), "")
-    rate = _rate(F.levenshtein(spell("_r"), spell("_h")), F.size("_r"), F.size("_h"))
-    return coded.withColumn(out, rate).drop("_r", "_h", "_all", "_codes")
+    start = 0
+    while start < len(a) and start < len(b) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < len(a) - start and end < len(b) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not len(a) or not len(b):
+        return len(a) + len(b)
+    at: dict = {}
+    for i, item in enumerate(a):
+        at[item] = at.get(item, 0) | 1 << i
+    whole, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = whole, 0, len(a)
+    for item in b:
+        same = at.get(item, 0)
+        diagonal = ((((same & up) + up) ^ up) | same | down) & whole
+        grows = down | (whole & ~(diagonal | up))
+        shrinks = up & diagonal
+        if grows & last:
+            distance += 1
+        elif shrinks & last:
+            distance -= 1
+        grows = (grows << 1 | 1) & whole
+        up = (shrinks << 1 & whole) | (whole & ~(diagonal | grows))
+        down = grows & diagonal
+    return distance
+
+
+def word_error(df: DataFrame, reference: str, hypothesis: str, out: str) -> DataFrame:
+    """Word edits per reference word, ignoring case; a text may have any number of words."""
+    worded = df.withColumns({"_r": _words(F.col(reference)), "_h": _words(F.col(hypothesis))})
+    distance = F.pandas_udf(_distances, T.LongType())("_r", "_h")
+    return worded.withColumn(out, _rate(distance, F.size("_r"), F.size("_h"))).drop("_r", "_h")
+
+
+def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    known = [None if x is None or y is None else edit_distance(x.tolist(), y.tolist()) for x, y in zip(a, b)]
+    return pd.Series(known, dtype="Int64")
 
 
 def error_rates(pairs: DataFrame) -> DataFrame:

@@ -331,7 +331,7 @@ def routes_for_query(latest: DataFrame, terminals: DataFrame, queries: DataFrame
     meets sell rows on (commodity, destination scope), so no route outside its scope is made.
     """
     start = _starts(terminals, queries)
-    buy, sell = sides(latest)
+    buy, sell = sides(latest.select("id_terminal", "id_commodity", "side", "ts", "price", "stock", "status"))
     here = buy.withColumnsRenamed({"id_terminal": "id_origin", "price": "price_origin", "stock": "scu_origin", "status": "status_origin"}).drop("ts")
     there = sell.withColumnsRenamed(
         {"id_terminal": "id_destination", "price": "price_destination", "stock": "scu_destination", "status": "status_destination"}
