@@ -182,3 +182,36 @@ def test_edit_distance_of_sequences():
             assert edit_distance(a, b) == row[-1]
     many = [str(i) for i in range(30_000)]
     assert edit_distance(many, ["x", *many[:10_000], *many[10_001:], "y"]) == 3
+
+
+def test_price_as_of_with_one_hot_key(rows):
+    from tradeq.operators import quality as Q
+
+    rng = random.Random(10)
+    prices = [(0 if rng.random() < 0.5 else rng.randint(1, 6), rng.randint(0, 400), round(rng.random(), 3)) for _ in range(600)]
+    events = [(i, 0 if rng.random() < 0.5 else rng.randint(1, 8), rng.randint(0, 420)) for i in range(500)]
+    events += [(1000 + i, 0, 77) for i in range(50)] + [(2000, None, 5), (2001, 3, None)]
+    found = Q.asof_last_price(rows("id int, k int, ts long", *events), rows("k int, ts long, price double", *prices), ["k"], 60)
+    got = {r.id: (r.last_ts, r.last_price) for r in found.collect()}
+    for i, k, ts in events:
+        before = [(t, p) for c, t, p in prices if c == k and ts is not None and t <= ts]
+        assert got[i] == (max(before) if before else (None, None))
+    assert len(got) == len(events)
+
+
+def test_search_by_the_rarest_piece(rows):
+    fields = ", ".join(f"{c} string" for c in S.SEARCH_FIELDS)
+    names = [f"{_word(random.Random(i), 4)} DEPOT {i}" for i in range(80)] + ["LONE HUB", "A.B (C)"]
+    terminals = rows(f"id int, {fields}, outpost string", *[(i, n, n, None, f"C{i}", None, None, None, "PLANET", "SYSTEM", None) for i, n in enumerate(names)])
+    asked = ["depot 7", "lone", "Depot", "zz depot", "x", "", "hub/lone", "planet depot 12", "a.b", None]
+    queries = rows("query_id int, query string", *enumerate(asked), (50, "depot 7"))
+    got = {}
+    for r in S.search_terminals(queries, terminals, 1000).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+        assert r.n_candidates >= 1
+    for q, text in [*enumerate(asked), (50, "depot 7")]:
+        if text is None:
+            continue
+        parts = [p for p in text.upper().replace("/", " ").split() if len(p) >= 2]
+        want = {i for i, n in enumerate(names) if all(p in f"{n}\1{n}\1C{i}\1PLANET\1SYSTEM" for p in parts)}
+        assert got.get(q, set()) == want, text

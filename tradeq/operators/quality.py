@@ -252,29 +252,27 @@ def dup_guard(rows: DataFrame, submissions: DataFrame, window: int = DUPLICATE_S
     )
 
 
-def _row_type(df: DataFrame):
-    return df.select(F.struct(*df.columns).alias("row")).schema["row"].dataType
-
-
-def asof_last_price(events: DataFrame, prices: DataFrame, keys: list[str], bucket_seconds: int = 30 * 86400) -> DataFrame:
-    """Last price at or before each event. Both need ``ts``; prices carry ``price``.
-
-    Inside one (key, time bucket) a union and a running ``last`` find it. Events
-    older than the bucket's first price take the last price of an earlier bucket,
-    from a table with one row per (key, bucket). No range join, and a hot key is
-    spread over its buckets. Equal times: the highest price counts as last.
+def asof_last_price(events: DataFrame, prices: DataFrame, keys: list[str], bucket_seconds: int = 7 * 86400) -> DataFrame:
+    """Last price at or before each event. Both need ``ts`` in whole seconds; prices carry ``price``.
+
+    Prices of one second become the highest of them, and events of one second are looked up
+    once, both combined before the shuffle. So one (key, bucket) has two rows a second at
+    most, however hot the key is: a bounded sort, in which a union and a running ``last``
+    find the price. Times before the bucket's first price take the last one of an earlier
+    bucket, from a table with one row per (key, bucket). The answers go back to the events by
+    an equi-join. No range join.
     """
     bucket = F.floor(F.col("ts") / bucket_seconds).alias("bucket")
     seen = F.struct("ts", "price")
-    p = prices.select(*keys, bucket, "ts", F.lit(0).alias("kind"), seen.alias("seen"),
-                      F.lit(None).cast(_row_type(events)).alias("row"))
-    seen_type = p.schema["seen"].dataType
-    e = events.select(*keys, bucket, "ts", F.lit(1).alias("kind"), F.lit(None).cast(seen_type).alias("seen"),
-                      F.struct(*events.columns).alias("row"))
-    w = W.partitionBy(*keys, "bucket").orderBy("ts", "kind", "seen").rowsBetween(W.unboundedPreceding, 0)
-    inside = p.unionByName(e).withColumn("inside", F.last("seen", ignorenulls=True).over(w)).filter("row is not null")
+    p = prices.groupBy(*keys, "ts").agg(F.max("price").alias("price")).select(
+        *keys, bucket, "ts", F.lit(0).alias("kind"), seen.alias("seen")
+    )
+    none = F.lit(None).cast(p.schema["seen"].dataType)
+    e = events.select(*keys, "ts").distinct().select(*keys, bucket, "ts", F.lit(1).alias("kind"), none.alias("seen"))
+    w = W.partitionBy(*keys, "bucket").orderBy("ts", "kind").rowsBetween(W.unboundedPreceding, 0)
+    inside = p.unionByName(e).withColumn("inside", F.last("seen", ignorenulls=True).over(w)).filter("kind = 1")
     lasts = prices.groupBy(*keys, bucket).agg(F.max(seen).alias("seen"))
-    asked = events.select(*keys, bucket, F.lit(None).cast(seen_type).alias("seen")).distinct()
+    asked = events.select(*keys, bucket, none.alias("seen")).distinct()
     back = W.partitionBy(*keys).orderBy("bucket").rangeBetween(W.unboundedPreceding, -1)
     carried = (
         lasts.unionByName(asked)
@@ -283,9 +281,10 @@ def asof_last_price(events: DataFrame, prices: DataFrame, keys: list[str], bucke
         .agg(F.max("carried").alias("carried"))
     )
     found = F.coalesce("inside", "carried")
-    return inside.join(carried, [*keys, "bucket"], "left").select(
-        "row.*", found["price"].alias("last_price"), found["ts"].alias("last_ts")
+    answers = inside.join(carried, [*keys, "bucket"], "left").select(
+        *keys, "ts", found["price"].alias("last_price"), found["ts"].alias("last_ts")
     )
+    return events.join(answers, [*keys, "ts"], "left").select(*events.columns, "last_price", "last_ts")
 
 
 def drift_findings(rows: DataFrame, live: DataFrame, now: int) -> DataFrame:

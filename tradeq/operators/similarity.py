@@ -261,33 +261,41 @@ FIELD_BREAK = "\u0001"
 RESOLVING_LENGTH = 3
 
 
+def _grams(c: Column, n: int) -> Column:
+    """All substrings of ``n`` characters."""
+    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
 def search_terminals(queries: DataFrame, terminals: DataFrame, limit: int = 50) -> DataFrame:
     """Every query word must occur in some field; first ``limit`` hits by label.
 
-    ``queries`` holds (query_id, query). The longest word's first characters are
-    looked up among the substrings of the fields, then all words are tested, so
-    only terminals sharing that key are touched. A query without words lists all;
-    that list is the same for each, so it is cut to ``limit`` before the join.
+    ``queries`` holds (query_id, query). Every pair or triple of characters of every word
+    must occur in the fields, so a query is looked up by the one that the fewest terminals
+    have: "depot hub 7" touches the terminals with a rare piece, not all depots. Then all
+    words are tested. Terminals are counted by piece once; a query with a piece that no
+    terminal has goes at once. A query without words lists all; that list is the same for
+    each, so it is cut to ``limit`` before the join.
     """
     hay = F.upper(F.concat_ws(FIELD_BREAK, *[F.col(f) for f in SEARCH_FIELDS]))
     entries = terminals.select(F.col("id"), rich_label().alias("label"), hay.alias("hay"))
-    grams = lambda n: F.when(
-        F.char_length("hay") >= n,
-        F.transform(F.sequence(F.lit(1), F.char_length("hay") - (n - 1)), lambda i: F.substring("hay", i, F.lit(n))),
-    ).otherwise(F.array().cast("array<string>"))
-    keyed = entries.select(
-        "id", "label", "hay", F.explode(F.array_distinct(F.concat(grams(2), grams(3)))).alias("key")
-    )
+    keyed = entries.select("id", F.explode(F.array_distinct(F.concat(_grams(F.col("hay"), 2), _grams(F.col("hay"), 3)))).alias("key"))
+    had = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n_with"))
     parts = F.filter(F.split(F.upper(T.strip(F.col("query"))), SEPARATORS), lambda p: F.char_length(p) >= 2)
     long_enough = F.char_length(T.strip(F.col("query"))) >= RESOLVING_LENGTH
     asked = queries.select("query_id", parts.alias("parts"), F.coalesce(long_enough, F.lit(False)).alias("long_enough"))
-    longest = F.array_max(F.transform("parts", lambda p: F.struct(F.char_length(p).alias("n"), p.alias("p"))))["p"]
-    worded = asked.filter(F.size("parts") > 0).withColumn("key", F.substring(longest, 1, 3))
-    hits = worded.join(keyed, "key").filter(F.forall("parts", lambda p: F.contains(F.col("hay"), p)))
-    counts = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"))
-    w = W.partitionBy("query_id").orderBy("label", "id")
-    ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-    found = ranked.join(counts, "query_id")
+    worded = asked.filter(F.size("parts") > 0)
+    # queries with the same words are looked up once
+    wanted = worded.select("parts").distinct()
+    pieces = F.array_distinct(F.flatten(F.transform("parts", lambda p: F.when(F.char_length(p) == 2, F.array(p)).otherwise(_grams(p, 3)))))
+    met = wanted.select("parts", F.explode(pieces).alias("key")).join(had, "key", "left")
+    rarest = met.groupBy("parts").agg(
+        F.min(F.struct(F.coalesce("n_with", F.lit(0)).alias("n_with"), "key")).alias("r")
+    ).filter("r.n_with > 0").select("parts", "r.key")
+    found_by = rarest.join(keyed, "key").join(entries, "id").filter(F.forall("parts", lambda p: F.contains(F.col("hay"), p)))
+    counts = found_by.groupBy("parts").agg(F.count(F.lit(1)).alias("n_candidates"))
+    w = W.partitionBy("parts").orderBy("label", "id")
+    ranked = found_by.select("parts", "id", "label").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    found = worded.join(ranked.join(counts, "parts"), "parts")
     first = entries.orderBy("label", "id").limit(limit)
     total = terminals.agg(F.count(F.lit(1))).scalar()
     everything = first.select(
