@@ -34,13 +34,50 @@ def test_late_older_price_never_wins(spark, rows, tmp_path):
     assert [(r.ts, r.price) for r in got] == [(30, 3.0)]
 
 
-def test_quota_window(spark, rows, tmp_path):
-    start = dt.datetime(2024, 1, 1, 0, 0)
-    rows("user_id long, ts timestamp", *[(1, start + dt.timedelta(minutes=m)) for m in (0, 10, 29, 31)]).coalesce(1).write.parquet(str(tmp_path / "e"))
-    stream = spark.readStream.schema("user_id long, ts timestamp").parquet(str(tmp_path / "e"))
-    got = J.run_updates(J.stream_quota(stream, "user_id", limit=2), ["window_start", "user_id"], "quota")
-    over = {r.window_start.strftime("%H:%M") for r in got.filter("over_limit").collect()}
-    assert over == {"00:00", "00:05", "00:10"} & over and "00:00" in over
+EVENTS = "user_id long, id long, sent_at long, ts timestamp"
+
+
+def _feed(rows, folder, name, *events):
+    """One more file of events (user, id, second)."""
+    data = [(u, i, t, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=t)) for u, i, t in events]
+    shifted = rows(EVENTS, *data).withColumn("sent_at", F.unix_seconds("ts"))
+    shifted.coalesce(1).write.parquet(str(folder / "in" / name))
+
+
+def _stream(spark, folder):
+    return spark.readStream.schema(EVENTS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+
+
+def _base(spark):
+    return spark.sql("SELECT unix_seconds(timestamp'2024-01-01 00:00:00') AS s").first().s
+
+
+def test_quota_counts_the_half_hour_before_each_report(spark, rows, tmp_path):
+    base = _base(spark)
+    first = [(1, i, 180 + i % 60) for i in range(4)] + [(2, 50, 10)]
+    _feed(rows, tmp_path, "a", *first)
+    # three at the far end of 33 minutes: they fit no window that starts every five minutes together with the first
+    second = [(1, 10 + i, 180 + 1799 - i) for i in range(3)] + [(1, 20, 182 + 1800)]
+    target = str(tmp_path / "out")
+    told = J.run_updates(J.stream_quota(_stream(spark, tmp_path), "user_id", limit=6), ["user_id", "sent_at"], "q", target=target)
+    assert {(r.user_id, r.sent_at - base, r.n_reports) for r in told.collect()} == {(1, 180, 1), (1, 181, 2), (1, 182, 3), (1, 183, 4), (2, 10, 1)}
+    _feed(rows, tmp_path, "b", *second)
+    _feed(rows, tmp_path, "c", (1, 30, 190))  # late, but not too late: it counts for all after it
+    told = J.run_updates(J.stream_quota(_stream(spark, tmp_path), "user_id", limit=6), ["user_id", "sent_at"], "q", target=target)
+    every = first + second + [(1, 30, 190)]
+    want = {(u, t, sum(v == u and t - 1800 < x <= t for v, _, x in every)) for u, _, t in every}
+    got = {(r.user_id, r.sent_at - base, r.n_reports): r.over_limit for r in told.collect()}
+    assert set(got) == want and {k for k, over in got.items() if over} == {k for k in want if k[2] > 6} != set()
+
+
+def test_guard_goes_on_where_it_stopped(spark, rows, tmp_path):
+    base, target = _base(spark), str(tmp_path / "out")
+    run = lambda: J.run_appends(J.stream_accept(_stream(spark, tmp_path), ["user_id"]), "g", target=target)
+    _feed(rows, tmp_path, "a", (1, 1, 0), (1, 2, 240), (2, 9, 5), (2, 8, 5), (2, 7, 5))
+    assert sorted((r.id, r.sent_at - base) for r in run().collect()) == [(1, 0), (7, 5)]
+    _feed(rows, tmp_path, "b", (1, 3, 290), (1, 4, 480))
+    _feed(rows, tmp_path, "c", (1, 5, 700), (1, 6, 781), (2, 10, 305), (2, 11, 306))
+    assert sorted(r.id for r in run().collect()) == [1, 4, 6, 7, 11]
 
 
 def test_envelopes(spark, tmp_path):

@@ -274,11 +274,12 @@ def streamed_first_seen(m: Market):
 
 
 @query("streamed_quota", """
-    SELECT window_start, user_id, count(*) AS n_reports, count(*)>3 AS over_limit FROM (
-      SELECT user_id, (CAST(floor(epoch(ts)) AS BIGINT)//300 - unnest([0,1,2,3,4,5]))*300 AS window_start FROM events) GROUP BY 1,2""")
+    SELECT user_id, sent_at, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY sent_at RANGE BETWEEN 1799 PRECEDING AND CURRENT ROW) AS BIGINT) AS n_reports,
+      n_reports > 3 AS over_limit
+    FROM (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS sent_at, count(*) AS n FROM events GROUP BY 1,2)""")
 def streamed_quota(m: Market):
-    counts = J.run_updates(J.stream_quota(_stream_events(m), "user_id", limit=3), ["window_start", "user_id"], "quota")
-    return counts.withColumn("window_start", F.unix_seconds("window_start"))
+    """Reports of each user in the half hour up to every report."""
+    return J.run_updates(J.stream_quota(_stream_events(m), "user_id", limit=3), ["user_id", "sent_at"], "quota")
 
 
 def _stream_observations(m: Market) -> DataFrame:

@@ -16,7 +16,7 @@ from tradeq.session import shared_dir
 from tradeq.sources.files import IMAGE_PATTERN
 
 DUPLICATE_SECONDS = 300
-QUOTA = 1000
+QUOTA, QUOTA_SECONDS = 1000, 1800
 
 
 def stream_captures(spark: SparkSession, folders: dict[str, str], accepted: DataFrame) -> DataFrame:
@@ -105,7 +105,14 @@ def stream_accept(events: DataFrame, keys: list[str]) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["sent_at", "id"])
+        # only the first event of a second can be accepted, so one row a second is held
+        first: dict[int, tuple] = {}
+        for batch in batches:
+            heads = batch.sort_values(["sent_at", "id"]).drop_duplicates("sent_at")
+            for row in heads[[*keys, "id", "sent_at"]].itertuples(index=False, name=None):
+                if row[-1] not in first or row[-2] < first[row[-1]][-2]:
+                    first[row[-1]] = row
+        rows = pd.DataFrame([first[t] for t in sorted(first)], columns=[*keys, "id", "sent_at"])
         last = state.get[0] if state.exists else None
         flags, last = _spaced(rows["sent_at"], last)
         if last is not None:
@@ -120,13 +127,47 @@ def stream_accept(events: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def stream_quota(events: DataFrame, user: str, limit: int = QUOTA) -> DataFrame:
-    """Reports per user in sliding half-hour windows, flagged above the limit."""
+def stream_quota(events: DataFrame, user: str, limit: int = QUOTA, window: int = QUOTA_SECONDS, late: int = QUOTA_SECONDS) -> DataFrame:
+    """Reports of a user in the ``window`` seconds up to and including each second with a report. Use update mode.
+
+    A true sliding count: no burst hides at the edge of a window. ``sent_at`` is in seconds,
+    ``ts`` the same as timestamp. State is one count per second with a report, as far back
+    as an event may still look, so its size is bounded by time however many reports a user
+    sends. A report that comes up to ``late`` seconds late corrects the seconds after it,
+    which are told again; later ones are dropped by the watermark.
+    """
+    kind = events.schema[user].dataType.simpleString()
+
+    def count(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = dict(zip(*state.get)) if state.exists else {}
+        fresh: set[int] = set()
+        for batch in batches:
+            for second, n in zip(*np.unique(batch["sent_at"].to_numpy(), return_counts=True)):
+                held[int(second)] = held.get(int(second), 0) + int(n)
+                fresh.add(int(second))
+        seconds = np.array(sorted(held), np.int64)
+        counts = np.array([held[x] for x in seconds.tolist()], np.int64)
+        total = np.concatenate([[0], np.cumsum(counts)])
+        n = total[1:] - total[np.searchsorted(seconds, seconds - window, "right")]
+        new = np.array(sorted(fresh), np.int64)
+        # a second changes if a fresh one lies in its window
+        changed = np.searchsorted(new, seconds, "right") > np.searchsorted(new, seconds - window, "right")
+        yield pd.DataFrame({user: key[0], "sent_at": seconds[changed], "n_reports": n[changed], "over_limit": n[changed] > limit})
+        mark = state.getCurrentWatermarkMs() // 1000
+        keep = seconds > mark - window
+        state.update((seconds[keep].tolist(), counts[keep].tolist()))
+        state.setTimeoutTimestamp((max(int(seconds[-1]) + window, mark) + 1) * 1000)
+
     return (
-        events.withWatermark("ts", "30 minutes")
-        .groupBy(F.window("ts", "30 minutes", "5 minutes").alias("w"), user)
-        .agg(F.count(F.lit(1)).alias("n_reports"))
-        .select(F.col("w.start").alias("window_start"), user, "n_reports", (F.col("n_reports") > limit).alias("over_limit"))
+        events.withWatermark("ts", f"{late} seconds")
+        .groupBy(user)
+        .applyInPandasWithState(
+            count, f"{user} {kind}, sent_at bigint, n_reports bigint, over_limit boolean",
+            "seconds array<bigint>, counts array<bigint>", "update", GroupStateTimeout.EventTimeTimeout,
+        )
     )
 
 
@@ -137,44 +178,51 @@ def stream_latest(observations: DataFrame) -> DataFrame:
     ).select("id_terminal", "id_commodity", "side", "n.*")
 
 
-def run_updates(stream: DataFrame, keys: list[str], purpose: str, batch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Drain a stream in update mode into a table and return the last update per key."""
+def run_updates(
+    stream: DataFrame,
+    keys: list[str],
+    purpose: str,
+    batch: Callable[[DataFrame], DataFrame] | None = None,
+    target: str | None = None,
+    trigger: dict | None = None,
+) -> DataFrame:
+    """Run a stream in update mode into a table and return the last update per key.
+
+    ``target`` is the caller's folder for updates and checkpoint: a later run with the same
+    folder goes on where the last one stopped. Without it the job has a folder of its own.
+    ``trigger`` is what ``DataStreamWriter.trigger`` takes; the default drains what is there.
+    """
     spark = stream.sparkSession
-    target = shared_dir(spark, purpose)
+    target = target or shared_dir(spark, purpose)
 
     def write(df: DataFrame, batch_id: int) -> None:
         out = batch(df) if batch else df
+        # a repeated batch overwrites itself
         out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/updates/batch={batch_id}")
 
-    q = (
-        stream.writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{target}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    writer = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{target}/checkpoint")
+    writer.trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
     updates = spark.read.parquet(f"{target}/updates").drop("batch")
     rest = [c for c in updates.columns if c not in (*keys, "batch_id")]
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("u")).select(*keys, "u.*")
 
 
-def run_appends(stream: DataFrame, purpose: str) -> DataFrame:
-    """Drain a stream in append mode into Parquet files and read them."""
+def run_appends(stream: DataFrame, purpose: str, target: str | None = None, trigger: dict | None = None) -> DataFrame:
+    """Run a stream in append mode into Parquet files and read them; ``target`` and ``trigger`` as in ``run_updates``."""
     spark = stream.sparkSession
-    target = shared_dir(spark, purpose)
-    q = (
-        stream.writeStream.outputMode("append")
-        .format("parquet")
-        .option("checkpointLocation", f"{target}/checkpoint")
-        .trigger(availableNow=True)
-        .start(f"{target}/rows")
-    )
-    q.awaitTermination()
+    target = target or shared_dir(spark, purpose)
+    writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{target}/checkpoint")
+    writer.trigger(**(trigger or {"availableNow": True})).start(f"{target}/rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{target}/rows")
 
 
-def stream_overlay(observations: DataFrame, overlay_of: Callable[[DataFrame], DataFrame], purpose: str = "overlay") -> DataFrame:
+def stream_overlay(
+    observations: DataFrame,
+    overlay_of: Callable[[DataFrame], DataFrame],
+    purpose: str = "overlay",
+    target: str | None = None,
+    trigger: dict | None = None,
+) -> DataFrame:
     """Refresh the terminal overlay as prices arrive, for the touched terminals only.
 
     Each micro-batch is appended to the price log; the overlay is worked out again
@@ -182,7 +230,7 @@ def stream_overlay(observations: DataFrame, overlay_of: Callable[[DataFrame], Da
     maps observations to one row per ``id_terminal``.
     """
     spark = observations.sparkSession
-    target = shared_dir(spark, purpose)
+    target = target or shared_dir(spark, purpose)
     log, schema = f"{target}/log", observations.schema
 
     def refresh(df: DataFrame, batch_id: int) -> None:
@@ -193,13 +241,8 @@ def stream_overlay(observations: DataFrame, overlay_of: Callable[[DataFrame], Da
         fresh = overlay_of(seen.join(touched, "id_terminal", "left_semi"))
         fresh.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/overlay/batch={batch_id}")
 
-    q = (
-        observations.writeStream.foreachBatch(refresh)
-        .option("checkpointLocation", f"{target}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    writer = observations.writeStream.foreachBatch(refresh).option("checkpointLocation", f"{target}/checkpoint")
+    writer.trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
     updates = spark.read.parquet(f"{target}/overlay").drop("batch")
     newest = W.partitionBy("id_terminal").orderBy(F.col("batch_id").desc())
     return updates.withColumn("rn", F.row_number().over(newest)).filter("rn = 1").drop("rn", "batch_id")
