@@ -160,11 +160,17 @@ def payload_lines(captures: DataFrame, rows: DataFrame, mode: str = "draft") ->
 def build_payloads(captures: DataFrame, rows: DataFrame, mode: str = "draft", default_production: bool = False) -> DataFrame:
     """Payloads with their rows nested in input order.
 
+    Version, details and what was read about the terminal come from columns of ``captures``
+    where it has them (game_version, draft_details, terminal_name, terminal_matched_field,
+    terminal_matched_from, needs_review). ``_meta`` is for review and never on the wire.
     A capture above the service's row limit is split into several payloads
     (``part`` 0, 1, ...), so no row is lost and no nested list grows without bound.
     """
-    price = F.struct("row_index", "id_commodity", "price_buy", "scu_buy", "status_buy", "price_sell", "scu_sell", "status_sell")
-    nested = payload_lines(captures, rows, mode).groupBy(
+    price = F.struct("row_index", "id_commodity", "price_buy", "scu_buy", "status_buy", "price_sell", "scu_sell", "status_sell", "match_score")
+    lines = payload_lines(captures, rows, mode)
+    told = rows.select("capture_id", "row_index", "match_score") if "match_score" in rows.columns else None
+    lines = lines.withColumn("match_score", F.lit(None).cast("double")) if told is None else lines.join(told, ["capture_id", "row_index"])
+    nested = lines.groupBy(
         "capture_id", F.floor(F.col("row_index") / MAX_PAYLOAD_ROWS).alias("part")
     ).agg(F.array_sort(F.collect_list(price)).alias("prices"))
     heads = captures.filter("tab <> 'UNKNOWN'") if mode == "batch" else captures
@@ -179,6 +185,9 @@ def build_payloads(captures: DataFrame, rows: DataFrame, mode: str = "draft", de
             F.when(F.size("prices") == 0, F.lit("no_price_rows")),
         )
     )
+    has = lambda c, kind="string": F.col(c) if c in captures.columns else F.lit(None).cast(kind)
+    flags = F.coalesce(has("needs_review", "array<string>"), F.array().cast("array<string>"))
+    review = F.when((F.col("tab") == "UNKNOWN") & ~F.array_contains(flags, "tab_unknown"), F.array_append(flags, F.lit("tab_unknown"))).otherwise(flags)
     return (
         heads.join(nested, "capture_id", "left")
         .withColumn("prices", prices)
@@ -189,8 +198,21 @@ def build_payloads(captures: DataFrame, rows: DataFrame, mode: str = "draft", de
             F.lit("commodity").alias("type"),
             production.alias("is_production"),
             blank_to_null(F.col("container_sizes")).alias("container_sizes"),
-            "prices",
-            F.struct(F.col("source_image"), F.lower("tab").alias("tab_detected"), warnings.alias("warnings")).alias("_meta"),
+            has("game_version").alias("game_version"),
+            blank_to_null(has("draft_details")).alias("details"),
+            F.transform("prices", lambda p: p.dropFields("match_score")).alias("prices"),
+            F.struct(
+                F.lit(mode == "draft").alias("draft"),
+                F.col("source_image"),
+                has("terminal_name").alias("terminal_display_name"),
+                F.coalesce(has("terminal_match_score", "double"), F.lit(0.0)).alias("terminal_match_score"),
+                has("terminal_matched_from").alias("terminal_matched_from"),
+                has("terminal_matched_field").alias("terminal_matched_field"),
+                F.lower("tab").alias("tab_detected"),
+                F.transform("prices", lambda p: F.bround(p["match_score"]).cast("int")).alias("commodity_match_scores"),
+                review.alias("needs_review"),
+                warnings.alias("warnings"),
+            ).alias("_meta"),
         )
     )
 
@@ -203,7 +225,7 @@ def rejected_captures(captures: DataFrame) -> DataFrame:
 def to_wire_json(payloads: DataFrame) -> DataFrame:
     """(capture_id, part, body): compact JSON without ``_meta``; null fields are left out."""
     prices = F.transform("prices", lambda p: p.dropFields("row_index"))
-    body = F.to_json(F.struct("id_terminal", "type", "is_production", "container_sizes", prices.alias("prices")))
+    body = F.to_json(F.struct("id_terminal", "type", "is_production", "container_sizes", prices.alias("prices"), "game_version", "details"))
     return payloads.select("capture_id", "part", body.alias("body"))
 
 

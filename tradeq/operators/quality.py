@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tradeq.functions.text import blank_to_null
 from tradeq.operators.ordered import with_winner
 
 OK, INFO, WARNING, ERROR = 0, 1, 2, 3
@@ -130,7 +131,8 @@ def rollup_issues(payloads: DataFrame, issues: DataFrame) -> DataFrame:
 
 def review_rules() -> list[Rule]:
     return [
-        Rule("terminal_missing", ERROR, "id_terminal is null"),
+        Rule("terminal_missing", ERROR, "id_terminal is null and terminal_text is null"),
+        Rule("terminal_unresolved", ERROR, "id_terminal is null and terminal_text is not null"),
         Rule("terminal_ambiguous_unconfirmed", ERROR, "id_terminal is not null and is_ambiguous and not terminal_confirmed"),
         Rule("terminal_low_match", WARNING, "id_terminal is not null and terminal_match_score > 0 and terminal_match_score < 80"),
         Rule(
@@ -154,7 +156,10 @@ REVIEW_ROW_RULES = [
 
 
 def review_issues(captures: DataFrame, rows: DataFrame, terminals: DataFrame, ambiguous: DataFrame) -> DataFrame:
-    """First gate, before a payload exists. ``ambiguous`` holds upper-cased names."""
+    """First gate, before a payload exists. ``ambiguous`` holds upper-cased names.
+
+    ``terminal_text``, where captures have it, is what was typed for a terminal not yet picked.
+    """
     from tradeq.operators.catalog import name_key
 
     counts = rows.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -171,6 +176,7 @@ def review_issues(captures: DataFrame, rows: DataFrame, terminals: DataFrame, am
                 "n_rows": F.coalesce("n_rows", F.lit(0)),
                 "is_ambiguous": F.coalesce("is_ambiguous", F.lit(False)),
                 "row_index": F.lit(None).cast("int"),
+                "terminal_text": blank_to_null(F.col("terminal_text")) if "terminal_text" in captures.columns else F.lit(None).cast("string"),
             }
         )
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["prices", "trade", "gates", "resolve", "screens", "flows"]
+MODULES = ["prices", "trade", "gates", "resolve", "screens", "settled", "flows"]
 
 
 def load_all():

@@ -12,6 +12,7 @@ from tradeq.operators import quality as Q
 from tradeq.plans.prices import _KEYED
 from tradeq.plans.registry import query
 from tradeq.plans.views import using
+from tradeq.session import shared_dir
 from tradeq.sources.market import LOG_NOW, NOW, Market
 
 # ---- static validation -------------------------------------------------------
@@ -415,11 +416,15 @@ def batch_summary(m: Market):
     FROM captures""".replace("'1998-08-02'", "(SELECT strftime(max(o_orderdate),'%Y-%m-%d') FROM orders)")))
 def game_versions(m: Market):
     """The live version is the latest order day; the test branch has only blanks."""
+    return versioned_captures(m).select("capture_id", "branch", "game_version")
+
+
+def versioned_captures(m: Market) -> DataFrame:
     newest = m.table("orders").agg(F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("v"))
     branches = F.explode(F.array(F.struct(F.lit("LIVE").alias("branch"), F.col("v").alias("version")),
                                  F.struct(F.lit("PTU").alias("branch"), F.lit(" ").alias("version"))))
     versions = newest.select(branches.alias("b")).select("b.*")
-    return B.resolve_version(m.captures(), versions).select("capture_id", "branch", "game_version")
+    return B.resolve_version(m.captures(), versions)
 
 
 def _lines_sql(where: str) -> str:
@@ -468,12 +473,93 @@ _WIRE_ROW = """'{"id_commodity":'||id_commodity
     SELECT c.capture_id, 0 AS part, '{{"id_terminal":'||coalesce(any_value(c.id_terminal),0)||',"type":"commodity","is_production":'
       ||coalesce(CAST(any_value(draft_is_production) AS INT),0)
       ||coalesce(',"container_sizes":"'||nullif(trim(any_value(container_sizes)),'')||'"','')
-      ||',"prices":['||coalesce(string_agg({_WIRE_ROW}, ',' ORDER BY row_index) FILTER (WHERE id_commodity IS NOT NULL),'')||']}}' AS body
+      ||',"prices":['||coalesce(string_agg({_WIRE_ROW}, ',' ORDER BY row_index) FILTER (WHERE id_commodity IS NOT NULL),'')||']'
+      ||coalesce(',"game_version":"'||coalesce(nullif(trim(any_value(draft_version)),''), CASE any_value(branch) WHEN 'LIVE' THEN (SELECT strftime(max(o_orderdate),'%Y-%m-%d') FROM orders) END)||'"','')
+      ||CASE WHEN c.capture_id%7=0 THEN ',"details":"seen twice"' ELSE '' END||'}}' AS body
     FROM captures c LEFT JOIN capture_rows r ON c.capture_id=r.capture_id WHERE tab<>'UNKNOWN' GROUP BY 1"""))
 def wire_payloads(m: Market):
-    """JSON bodies; prices are whole cents."""
+    """JSON bodies with version and details; prices are whole cents."""
+    return B.to_wire_json(_full_payloads(m))
+
+
+def _full_payloads(m: Market) -> DataFrame:
     rows = m.capture_rows().withColumn("price", F.col("price").cast("decimal(18,2)"))
-    return B.to_wire_json(B.build_payloads(m.captures(), rows, "batch"))
+    k = F.col("capture_id")
+    details = F.when(k % 7 == 0, F.lit(" seen twice ")).when(k % 7 == 1, F.lit(" "))
+    return B.build_payloads(versioned_captures(m).withColumn("draft_details", details), rows, "batch")
+
+
+@query("wire_files", using(_BATCH, """
+    SELECT coalesce(id_terminal,0) AS id_terminal, count(*) AS n_payloads, sum((SELECT count(*) FROM capture_rows r
+        WHERE r.capture_id=c.capture_id AND id_commodity IS NOT NULL)) AS n_prices, count(*) FILTER (WHERE capture_id%7=0) AS n_details
+    FROM captures c WHERE tab<>'UNKNOWN' GROUP BY 1"""))
+def wire_files(m: Market):
+    """Bodies written as text files and read back as the service would."""
+    path = shared_dir(m.spark, "wire")
+    B.write_wire(_full_payloads(m), path)
+    sent = m.spark.read.schema("id_terminal bigint, prices array<struct<id_commodity: bigint>>, details string").json(path)
+    return sent.groupBy("id_terminal").agg(
+        F.count(F.lit(1)).alias("n_payloads"), F.sum(F.size("prices").cast("long")).alias("n_prices"), F.count("details").alias("n_details")
+    )
+
+
+@query("payload_meta", using(_BATCH, """
+    SELECT c.capture_id, coalesce(any_value(terminal_match_score),0) AS terminal_match_score, lower(any_value(tab)) AS tab_detected,
+      array_to_string(list(CAST(round_even(match_score,0) AS INT) ORDER BY row_index) FILTER (WHERE id_commodity IS NOT NULL), ',') AS scores,
+      CASE WHEN any_value(tab)='UNKNOWN' THEN 'tab_unknown' ELSE '' END AS needs_review
+    FROM captures c LEFT JOIN capture_rows r ON c.capture_id=r.capture_id GROUP BY 1"""))
+def payload_meta(m: Market):
+    """What drafts keep for review beside the wire fields."""
+    built = B.build_payloads(m.captures(), m.capture_rows(), "draft")
+    scores = F.col("_meta.commodity_match_scores")
+    return built.select(
+        "capture_id", "_meta.terminal_match_score", "_meta.tab_detected",
+        F.when(F.size(scores) > 0, F.array_join(F.transform(scores, lambda x: x.cast("string")), ",")).alias("scores"),
+        F.array_join("_meta.needs_review", ",").alias("needs_review"),
+    )
+
+
+# The planned rows as they would be sent: one side filled by the tab.
+_PLANNED_GATE = BATCH_VIEWS | _KEYED | {
+    "pay": "SELECT capture_id AS payload_id, coalesce(id_terminal,0) AS id_terminal, n_rows, tab, added_at AS sent_at FROM planned WHERE tab<>'UNKNOWN'",
+    "lines": """SELECT c.capture_id AS payload_id, c.row_index, c.id_commodity, i.id_terminal, i.added_at AS sent_at,
+        CASE WHEN i.tab='BUY' THEN price END AS price_buy, CASE WHEN i.tab='SELL' THEN price END AS price_sell,
+        scu, nullif(status,0) AS st, price FROM claims c JOIN captures i USING (capture_id) WHERE claim=1 AND i.tab<>'UNKNOWN'""",
+    "bad": """SELECT payload_id FROM pay WHERE id_terminal<=0 OR id_terminal NOT IN (SELECT id FROM terminals) OR payload_id NOT IN (SELECT payload_id FROM lines)
+        UNION SELECT payload_id FROM lines WHERE id_commodity<=0 OR id_commodity NOT IN (SELECT id FROM commodities) OR price<0 OR scu<0""",
+    "moved": """SELECT payload_id, max(CASE WHEN l IS NULL OR v.id_terminal IS NULL OR r IS NULL OR r<=0 THEN 0 WHEN abs(l-r)/r<0.01 AND fresh THEN 3
+          WHEN abs(l-r)/r>0.3 THEN 3 ELSE 0 END) AS wf FROM (
+        SELECT lines.*, unnest([lines.price_buy, lines.price_sell]) AS l, unnest([p.price_buy, p.price_sell]) AS r, p.id_terminal AS live_terminal,
+          coalesce(NOW_-p.date_modified<300,false) AS fresh FROM lines LEFT JOIN prices_all p ON p.id_terminal=lines.id_terminal AND p.id_commodity=lines.id_commodity) v
+        GROUP BY 1""".replace("NOW_", str(NOW)),
+    "again": """SELECT DISTINCT l.payload_id FROM lines l JOIN submitted_ids s ON s.ok AND s.id_terminal=l.id_terminal AND s.id_commodity=l.id_commodity
+        AND s.sent_at BETWEEN l.sent_at-300 AND l.sent_at WHERE l.id_terminal>0""",
+}
+
+
+@query("gated_batch", using("captures capture_rows terminals commodities prices_all submitted_ids", """
+    SELECT payload_id, n_rows, CASE WHEN n_rows=0 THEN 'skipped' WHEN payload_id IN (SELECT payload_id FROM bad) THEN 'validation_blocked'
+      WHEN payload_id IN (SELECT payload_id FROM again) OR coalesce(wf,0)=3 THEN 'duplicated_report' ELSE 'eligible' END AS outcome
+    FROM pay LEFT JOIN moved USING (payload_id)""", _PLANNED_GATE))
+def gated_batch(m: Market):
+    """From plan to permission: kept rows become payloads, which the gate judges against rules, log and live prices.
+
+    Captures of unknown side are refused before (``rejected_captures``).
+    """
+    items, plan = batch_plan(m)
+    planned = B.planned_submissions(items, plan).filter("tab <> 'UNKNOWN'")
+    kept = B.kept_rows(plan).select(*m.capture_rows().columns)
+    lines = B.payload_lines(m.captures(), kept, "batch").withColumnRenamed("capture_id", "payload_id")
+    lines = lines.withColumn("is_missing", F.lit(None).cast("int"))
+    heads = planned.select(
+        F.col("capture_id").alias("payload_id"), F.coalesce("id_terminal", F.lit(0)).alias("id_terminal"), F.lit("commodity").alias("type"),
+        F.lit(0).alias("is_production"), F.col("added_at").alias("sent_at"), "n_rows",
+    )
+    issues = Q.validate_payloads(heads.drop("n_rows"), lines, m.terminals(), m.commodities())
+    asked = lines.join(heads.select("payload_id", "id_terminal", "sent_at"), "payload_id")
+    again = Q.dup_guard(asked, m.submissions()).select("payload_id", F.lit(Q.BLOCK).alias("severity"))
+    drift = Q.drift_findings(asked.filter("id_terminal > 0"), _live_prices(m), NOW).select("payload_id", "severity")
+    return Q.gate(heads.select("payload_id", "n_rows"), issues, again.unionByName(drift)).select("payload_id", "n_rows", "outcome")
 
 
 # ---- submission log ----------------------------------------------------------

@@ -277,7 +277,7 @@ def detected_tabs(m: Market):
 _SAMPLES = """SELECT o_orderkey AS capture_id, CAST(o_orderkey*7%60 AS DOUBLE) AS buy_saturation, CAST(o_custkey*11%60 AS DOUBLE) AS sell_saturation,
     CAST(o_orderkey*13%180 AS DOUBLE) AS buy_hue, CAST(o_custkey*17%180 AS DOUBLE) AS sell_hue, o_orderkey*3%100/128.0::DOUBLE AS buy_ratio,
     o_custkey*5%100/128.0::DOUBLE AS sell_ratio, CAST(o_orderkey*19%256 AS DOUBLE) AS buy_value, CAST(o_custkey*23%256 AS DOUBLE) AS sell_value FROM orders"""
-_MEASURED = {
+MEASURED_VIEWS = {
     "samples": _SAMPLES,
     "coloured": """SELECT *, CASE WHEN greatest(buy_saturation,sell_saturation)<25 THEN 'UNKNOWN' WHEN h<=10 OR h>=170 THEN 'RED' WHEN h<=25 THEN 'AMBER'
         WHEN h<=40 THEN 'YELLOW' WHEN h<=80 THEN 'GREEN' WHEN h<=100 THEN 'TEAL' WHEN h<=130 THEN 'BLUE' ELSE 'PURPLE' END AS palette
@@ -293,10 +293,15 @@ _MEASURED = {
 
 @query("measured_tabs", using([], """
     SELECT capture_id, palette, tab, CASE WHEN tab='UNKNOWN' THEN CASE WHEN greatest(buy_saturation,sell_saturation)<25 THEN 'both-grey'
-      ELSE 'low-margin' END END AS reason FROM tabbed""", _MEASURED))
+      ELSE 'low-margin' END END AS reason FROM tabbed""", MEASURED_VIEWS))
 def measured_tabs(m: Market):
+    return X.decide_tab(tab_samples(m)).select("capture_id", "palette", "tab", "reason")
+
+
+def tab_samples(m: Market) -> DataFrame:
+    """Two measured labels per capture, by rule."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    samples = m.table("orders").select(
+    return m.table("orders").select(
         k.alias("capture_id"),
         (k * 7 % 60).cast("double").alias("buy_saturation"),
         (c * 11 % 60).cast("double").alias("sell_saturation"),
@@ -307,7 +312,6 @@ def measured_tabs(m: Market):
         (k * 19 % 256).cast("double").alias("buy_value"),
         (c * 23 % 256).cast("double").alias("sell_value"),
     )
-    return X.decide_tab(samples).select("capture_id", "palette", "tab", "reason")
 
 
 def screen_regions(m: Market) -> DataFrame:
