@@ -40,16 +40,22 @@ def cargo_vehicles(m: Market):
 
 @query("snapshot_vintage", using("terminals", """
     SELECT 'terminals' AS snapshot, count(*) AS n_rows,
-           count(*)>0 AND bool_and(id_planet=0 AND id_orbit=0) AS is_legacy FROM terminals
+           count(*)>0 AND bool_and(id_planet=0 AND id_orbit=0 AND id%5=0) AS is_legacy FROM terminals
+    UNION ALL
+    SELECT 'systems only', count(*), count(*)>0 AND bool_and(id%5=0) FROM terminals
     UNION ALL
     SELECT 'nations', count(*), count(*)>0 AND bool_and(n_nationkey*0=0) FROM nation"""))
 def snapshot_vintage(m: Market):
-    kept = C.is_legacy_snapshot(m.terminals(), ["id_planet", "id_orbit"])
-    zeroed = m.table("nation").select(*[(F.col("n_nationkey") * 0).alias(c) for c in ("a", "b", "c")])
-    old = C.is_legacy_snapshot(zeroed, ["a", "b", "c"])
-    return kept.select(F.lit("terminals").alias("snapshot"), "*").unionByName(
-        old.select(F.lit("nations").alias("snapshot"), "*")
-    )
+    """All three ids of the hierarchy count; one that is set anywhere makes a snapshot new enough."""
+    ids = ["id_planet", "id_orbit", "id_star_system"]
+    places = m.terminals().withColumn("id_star_system", (F.col("id") % 5).cast("int"))
+    snapshots = {
+        "terminals": places,
+        "systems only": places.withColumns({"id_planet": F.lit(0), "id_orbit": F.lit(None).cast("int")}),
+        "nations": m.table("nation").select(*[(F.col("n_nationkey") * 0).alias(c) for c in ids]),
+    }
+    parts = [C.is_legacy_snapshot(df, ids).select(F.lit(name).alias("snapshot"), "*") for name, df in snapshots.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _PRIMARY = f"""CASE WHEN {trim('name')}='' OR name IS NULL THEN coalesce({trim('displayname')},'')
