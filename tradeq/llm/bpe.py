@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tradeq.llm.common import slices, texts
 
 #: Entries of one generation of a worker's memory of chunks, and of pre-tokens; two generations are kept.
-REMEMBERED, REMEMBERED_WORDS = 150_000, 40_000
+REMEMBERED, REMEMBERED_WORDS = 150_000, 160_000
 
 # The split rule of byte-level vocabularies whose file names the rule only.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
