@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tradeq.sources.envelope import read_envelope
+from tradeq.sources.files import list_files, pending_files, write_files
 from tradeq.streaming import jobs as J
 
 
@@ -25,6 +26,19 @@ def test_capture_stream_skips_accepted(spark, rows, tmp_path):
     assert got == [("LIVE", "a.PNG"), ("PTU", "c.bmp")]
 
 
+def test_capture_stream_goes_on_where_it_stopped(spark, rows, tmp_path):
+    inbox, target = str(tmp_path / "inbox"), str(tmp_path / "out")
+    name = "name string, content string"
+    accepted = rows("source_key string", ("OLD.PNG",))
+    read = lambda: J.run_appends(J.stream_captures(spark, {"LIVE": inbox}, accepted), "captures", target=target)
+    assert write_files(rows(name, ("a.png", "1"), ("old.png", "2"), ("note.txt", "3")), inbox) == 3
+    assert [r.name for r in read().collect()] == ["a.png"]
+    write_files(rows(name, ("b.JPG", "4"), ("c.bmp", "5")), inbox)
+    assert sorted(r.name for r in read().collect()) == ["a.png", "b.JPG", "c.bmp"]
+    assert sorted(r.name for r in pending_files(list_files(spark, inbox), accepted).collect()) == ["a.png", "b.JPG", "c.bmp"]
+    assert pending_files(list_files(spark, inbox), accepted, since=4_000_000_000).count() == 0
+
+
 def test_late_older_price_never_wins(spark, rows, tmp_path):
     schema = "id_terminal long, id_commodity long, side string, ts long, price double, stock double, status int"
     for i, (ts, price) in enumerate([(10, 1.0), (30, 3.0), (20, 2.0)]):

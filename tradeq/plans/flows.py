@@ -11,10 +11,12 @@ from tradeq.operators import batch as B
 from tradeq.operators import metrics as M
 from tradeq.operators import staleness as S
 from tradeq.operators.ordered import widen
+from tradeq.plans.gates import SOURCE_VIEWS
 from tradeq.plans.registry import query
 from tradeq.plans.views import using
-from tradeq.session import shared_dir
+from tradeq.session import settle, shared_dir
 from tradeq.sources.envelope import load_ground_truth, read_envelope
+from tradeq.sources.files import list_files, pending_files, write_files
 from tradeq.sources.market import LOG_NOW, NOW, Market
 from tradeq.streaming import jobs as J
 
@@ -265,6 +267,32 @@ def streamed_guard(m: Market):
     return J.run_appends(J.stream_accept(e, ["user_id"]), "guard").select("id", "user_id", "sent_at")
 
 
+_FILES = {
+    "shots": """SELECT CASE WHEN s_suppkey%3=0 THEN 'PTU' ELSE 'LIVE' END AS branch, 'Shot-'||(s_suppkey*17)||
+        CASE s_suppkey%4 WHEN 0 THEN '.png' WHEN 1 THEN '.JPG' WHEN 2 THEN '.txt' ELSE '.bmp' END AS name FROM supplier""",
+    "pending": "SELECT * FROM shots WHERE name NOT LIKE '%.txt' AND upper(name) NOT IN (SELECT source_key FROM accepted)",
+}
+
+
+@query("captured_files", using("submissions", """
+    SELECT 'stream' AS origin, branch, name FROM pending UNION ALL SELECT 'listing', branch, name FROM pending""", SOURCE_VIEWS | _FILES))
+def captured_files(m: Market):
+    """Capture files of two folders, minus accepted names: found by a file stream and by its batch twin."""
+    k = F.col("s_suppkey")
+    suffix = F.when(k % 4 == 0, ".png").when(k % 4 == 1, ".JPG").when(k % 4 == 2, ".txt").otherwise(".bmp")
+    branch = F.when(k % 3 == 0, "PTU").otherwise("LIVE")
+    folder = shared_dir(m.spark, "shots")
+    name = F.concat(branch, F.lit("/Shot-"), (k * 17).cast("string"), suffix)
+    write_files(m.table("supplier").select(name.alias("name"), F.lit("x").alias("content")), folder)
+    accepted = settle(A.submitted_sources(m.submissions()), "accepted")
+    folders = {b: f"{folder}/{b}" for b in ("LIVE", "PTU")}
+    streamed = J.run_appends(J.stream_captures(m.spark, folders, accepted), "captures").select(F.lit("stream").alias("origin"), "branch", "name")
+    for b, path in folders.items():
+        found = pending_files(list_files(m.spark, path), accepted)
+        streamed = streamed.unionByName(found.select(F.lit("listing").alias("origin"), F.lit(b).alias("branch"), "name"))
+    return streamed
+
+
 @query("streamed_first_seen", """
     SELECT user_id, k AS id_commodity FROM (SELECT DISTINCT user_id, CAST(json_extract(props,'$.k') AS BIGINT) AS k FROM events)""")
 def streamed_first_seen(m: Market):
