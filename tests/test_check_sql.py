@@ -17,7 +17,8 @@ QUICK = [
     "effective_economics", "container_fit", "top_routes", "payload_issues", "duplicate_guard", "drift_findings",
     "asof_prices", "dropped_rows", "batch_summary", "wire_payloads", "submitted_sources", "pending_files",
     "terminal_search", "detected_tabs", "container_union", "region_lines", "retry_merge", "error_rates", "envelope_scan",
-    "audit_append", "spaced_submissions", "streamed_guard", "streamed_quota", "streamed_overlay",
+    "audit_append", "spaced_submissions", "streamed_guard", "streamed_quota", "streamed_overlay", "gated_batch", "settled_tabs",
+    "merged_terminals", "unresolved_terminals", "wire_files", "bound_routes", "scoped_routes", "captured_files",
 ]
 NAMES = list(queries()) if os.environ.get("TRADEQ_ALL") else QUICK
 
