@@ -15,11 +15,9 @@ ignored. A table without rows gives a folder without files.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +42,17 @@ REMEMBERED = 300_000
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_STEPS = ["NFC", "Replace", "Lowercase"]
 #: Text that normalizing only lowers, one character by one: ASCII, letters of Western languages, common marks.
-PLAIN = re.compile("[\0-\x7fÀ-ÖØ-öø-ÿ¡§«·»¿–—‘’“”„…•]*")
-#: The split rule for such text in lower case.
-PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+", re.ASCII)
+PLAIN = r"^[\x00-\x08\x0e-\x7fÀ-ÖØ-öø-ÿ¡§«·»¿–—‘’“”„…•]*$"
+#: The split rule for such text in lower case and without white space.
+PLAIN_SPLIT = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+)"
+
+
+def _gather(flat: np.ndarray, length: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` (``length`` tells where each ends) in the order of ``code``."""
+    n = length[code]
+    ends = np.cumsum(n)
+    first = (np.cumsum(length) - length)[code]
+    return flat[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Encoder:
@@ -93,45 +99,54 @@ class Encoder:
         for blank in "\n\t\r":
             whole = pc.replace_substring(whole, blank, " ")
         split = pc.split_pattern(whole, " ")
-        sizes = split.value_lengths().to_numpy(zero_copy_only=False)
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        packed = list(map(self.young.get, distinct))
-        if None in packed:
-            fresh = self._missing([p for p, f in zip(distinct, packed) if f is None])
-            packed = [fresh[p] if f is None else f for p, f in zip(distinct, packed)]
+        flat, length = self._pieces(coded.dictionary)
         code = coded.indices.to_numpy(zero_copy_only=False)
-        length = np.fromiter(map(len, packed), np.int64, len(packed)) >> 2
-        flat = np.frombuffer(b"".join(packed), np.int32)
-        n = length[code]
-        ends = np.cumsum(n)
-        first = (np.cumsum(length) - length)[code]
-        ids = flat[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])])
-
-    def _missing(self, wanted: list[str]) -> dict[str, bytes]:
-        """Packed ids of pieces that the young generation does not know; they enter it."""
-        out = {p: self.old[p] for p in wanted if p in self.old}
-        new = [p for p in wanted if p not in out]
-        plain = [p for p in new if PLAIN.fullmatch(p) and "<|" not in p] if not self.marked else []
-        split = [PLAIN_SPLIT.findall(p.lower()) for p in plain]
-        out.update(zip(plain, self._joined(split)))
-        rest = [p for p in new if p not in out]
-        out.update(zip(rest, self._encoded(self.library, rest)))
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {"": b""}
-        self.young.update(out)
-        return out
-
-    def _joined(self, split: list[list[str]]) -> list[bytes]:
-        distinct = list(dict.fromkeys(chain.from_iterable(split)))
-        if not distinct:
-            return [b"" for _ in split]
-        ids = np.array(self.parts_only.encode_batch_fast([" ".join(distinct)], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.concatenate([[0], np.cumsum(length[code])])
+        sizes = split.value_lengths().to_numpy(zero_copy_only=False)
+        return _gather(flat, length, code), np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after another, and how many each has."""
+        plain = pc.match_substring_regex(pieces, PLAIN)
+        if self.marked:
+            plain = pc.and_(plain, pa.scalar(False))
+        plain = pc.and_(plain, pc.invert(pc.match_substring(pieces, "<|")))
+        parts = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(pieces.filter(plain)), PLAIN_SPLIT, r"\1 "), " ")
+        coded = parts.flatten().dictionary_encode()
+        flat, length = self._known(coded.dictionary.to_pylist(), self._parts)
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        ids = _gather(flat, length, code)
+        ends = np.concatenate([[0], np.cumsum(length[code])])
+        mine = np.diff(ends[np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))])])
+        other, n_other = self._known(pieces.filter(pc.invert(plain)).to_pylist(), lambda new: self._encoded(self.library, new))
+        mask = plain.to_numpy(zero_copy_only=False)
+        place = np.empty(len(mask), np.int64)
+        place[mask], place[~mask] = np.arange(len(mine)), len(mine) + np.arange(len(n_other))
+        both = np.concatenate([mine, n_other])
+        return _gather(np.concatenate([ids, other]), both, place), both[place]
+
+    def _known(self, strings: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings, remembered or by ``encode``, and how many each has."""
+        found = list(map(self.young.get, strings))
+        if None in found:
+            late = {p: self.old.get(p) for p, f in zip(strings, found) if f is None}
+            new = [p for p, f in late.items() if f is None]
+            late.update(zip(new, encode(new)))
+            if len(self.young) > REMEMBERED:
+                self.old, self.young = self.young, {"": b""}
+            self.young.update(late)
+            found = [late[p] if f is None else f for p, f in zip(strings, found)]
+        return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) >> 2
+
+    def _parts(self, new: list[str]) -> list[bytes]:
+        """Packed ids of lowered parts by the library's model, all in one string."""
+        if not new:
+            return []
+        ids = np.array(self.parts_only.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.int32)
         edges = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
         data = ids.tobytes()
-        known = {w: data[a:b] for w, a, b in zip(distinct, edges, edges[1:])}
-        return [known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w]) for w in split]
+        return [data[a:b] for a, b in zip(edges, edges[1:])]
 
     @staticmethod
     def _encoded(library: Tokenizer, pieces: list[str]) -> list[bytes]:
