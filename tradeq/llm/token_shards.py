@@ -37,7 +37,7 @@ from tradeq.session import settle, shared_dir
 
 SHARD_TOKENS = 1 << 21
 #: Pieces from which a worker starts a new generation of its memory; the one before is kept, older ones go.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 # Fixed value: the split rule of a vocabulary whose tokens never hold or span white space.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_STEPS = ["NFC", "Replace", "Lowercase"]
