@@ -88,6 +88,22 @@ def test_scopes(rows):
     assert told == {q: (len(x), len({o for o, *_ in x}), max(v[-1] for v in x)) for q, x in want.items()}
 
 
+def test_queries_that_ask_the_same_do_not_multiply_what_is_shuffled(rows, capsys):
+    latest = prices(rows, 9)
+    terminals = rows("id long, id_orbit long, id_planet long", *[(t, t % 4, t % 3) for t in range(25)])
+    same = [(q, "ORBIT", 1, None, "PLANET", 2) for q in range(40)] + [(90, "ORBIT", 1, None, "MOON", 1), (91, "MOON", 1, None, None, None), (92, "ORBIT", 1, None, None, None)]
+    queries = rows("query_id int, origin_scope string, origin_id long, want_commodity long, destination_scope string, destination_id long", *same)
+    found = R.routes_for_query(latest, terminals, queries)
+    found.explain()
+    dealt = [line for line in capsys.readouterr().out.splitlines() if " Exchange hashpartitioning(" in line]
+    assert any("hashpartitioning(id_commodity#" in line for line in dealt)
+    assert not any("destination_scope" in line or "destination_id" in line for line in dealt if "id_commodity" in line)
+    per = {r.query_id: r["count"] for r in found.groupBy("query_id").count().collect()}
+    every = [(r.id_origin, r.id_destination) for r in R.build_routes(latest).collect() if r.id_origin % 4 == 1]
+    bound = sum(d % 3 == 2 for _, d in every)
+    assert per == {q: bound for q in range(40)} | {92: len(every)} and bound > 5
+
+
 def test_pills_before_routes_keep_the_same(rows):
     latest = prices(rows, 8)
     flags = rows("id long, has_refuel int, is_monitored int", *[(t, t % 2, t % 3 % 2) for t in range(25)])
