@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tradeq.functions import text as T
-from tradeq.operators.ordered import costly_filter, spread_distinct
+from tradeq.operators.ordered import costly_filter, dealt, spread_distinct
 from tradeq.operators.similarity import resolve_commodities
 from tradeq.session import settle
 
@@ -187,7 +187,11 @@ def digit_sizes(line: Column) -> Column:
 
 
 def line_features(lines: DataFrame) -> DataFrame:
-    """One row per distinct text with everything that depends on the text alone."""
+    """One row per distinct text, numbered, with everything that depends on the text alone.
+
+    Written, so that Spark knows its size when lines look their text up, and deals lines by
+    text only where it is large; then it also splits texts that very many lines have.
+    """
     texts = spread_distinct(lines, "text").drop("n").withColumn("line", repair_numeric(F.col("text")))
     line, raw = F.col("line"), F.col("text")
     kind = (
@@ -198,32 +202,35 @@ def line_features(lines: DataFrame) -> DataFrame:
         .otherwise("OTHER")
     )
     may_follow = ~raw.rlike(SCU_PATTERN) & ~raw.rlike(PRICE_PATTERN) & name_candidate(raw) & ~ui_label(raw)
-    return texts.withColumns({"kind": kind, "may_follow": may_follow, "status": label_status(line)}).withColumns(
+    known = texts.withColumns({"kind": kind, "may_follow": may_follow, "status": label_status(line)}).withColumns(
         {
             "scu": F.when(F.col("kind") == "SCU", parse_scu(line)).when(F.col("kind") == "ZERO", F.lit(0)),
             "price": F.when(F.col("kind") == "PRICE", parse_price(line)),
         }
     )
+    return settle(known.withColumn("no", F.monotonically_increasing_id()), "line-features")
 
 
-def resolve_line_names(named: DataFrame, commodities: DataFrame) -> DataFrame:
+def resolve_line_names(lines: DataFrame, features: DataFrame, commodities: DataFrame) -> DataFrame:
     """Commodity of each NAME line, alone or joined with the next name-like line.
 
-    Adds ``m`` (id, score), ``used_partner`` and leaves other lines unmatched.
+    ``lines`` and their ``features`` are written tables. Lines are dealt by capture with the
+    number of their text in place of the text, which is looked up again afterwards. Adds ``m``
+    (id, score), ``used_partner`` and leaves other lines unmatched.
     """
+    short = lines.join(features.select("text", "no", "kind", "may_follow"), "text").drop("text")
     order = W.partitionBy("capture_id").orderBy("line_no")
-    follower = F.when(F.col("may_follow"), F.struct("line_no", "text"))
-    ahead = named.withColumn("next", F.coalesce(*[F.lead(follower, i).over(order) for i in range(1, LOOK_AHEAD + 1)]))
+    follower = F.when(F.col("may_follow"), F.struct("line_no", "no"))
+    following = F.coalesce(*[F.lead(follower, i).over(order) for i in range(1, LOOK_AHEAD + 1)])
     is_name = F.col("kind") == "NAME"
-    ahead = ahead.withColumns(
-        {
-            "joined": F.when(is_name & F.col("next").isNotNull(), F.concat_ws(" ", "line", "next.text")),
-            "single_token": F.when(is_name, T.norm(F.col("line"))),
-        }
-    ).withColumn("joined_token", T.norm(F.col("joined")))
-    pairs = spread_distinct(ahead.select(F.col("joined_token").alias("token")), "token")
+    ahead = dealt(short, "capture_id", lines.count()).withColumn("next", F.when(is_name, following)).drop("may_follow")
+    joined = F.concat_ws(" ", "line", "next_text")
+    own = features.filter(is_name).select("no", "line")
+    after = features.filter("may_follow").select(F.col("no").alias("next_no"), F.col("text").alias("next_text"))
+    pairs = ahead.filter("next is not null").select("no", F.col("next.no").alias("next_no")).distinct()
+    pairs = spread_distinct(pairs.join(own, "no").join(after, "next_no").select(T.norm(joined).alias("token")), "token")
     usable = costly_filter(pairs, ~ui_label(F.col("token")))
-    singles = ahead.select(F.col("single_token").alias("token")).filter("token is not null")
+    singles = own.select(T.norm(F.col("line")).alias("token"))
     # read twice below, and small: one row per matched name
     matches = settle(
         resolve_commodities(singles.unionByName(usable), commodities, COMMODITY_SCORE).select(
@@ -233,7 +240,16 @@ def resolve_line_names(named: DataFrame, commodities: DataFrame) -> DataFrame:
     )
     one = matches.select(F.col("token").alias("single_token"), F.col("m").alias("one"))
     two = matches.select(F.col("token").alias("joined_token"), F.col("m").alias("two"))
-    both = ahead.join(one, "single_token", "left").join(two, "joined_token", "left")
+    told = features.select("no", "text", "line", "status", "scu", "price")
+    texts = ahead.withColumn("next_no", F.col("next.no")).join(told, "no").join(after, "next_no", "left").drop("no", "next_no")
+    tokens = {
+        "joined": F.when(F.col("next").isNotNull(), joined),
+        "single_token": F.when(is_name, T.norm(F.col("line"))),
+    }
+    both = (
+        texts.withColumns(tokens).withColumn("joined_token", T.norm(F.col("joined")))
+        .join(one, "single_token", "left").join(two, "joined_token", "left")
+    )
     better = F.col("two").isNotNull() & (
         F.col("one").isNull()
         | (F.col("two.score") >= F.col("one.score") + 5)
@@ -250,8 +266,8 @@ def classify_lines(lines: DataFrame, commodities: DataFrame) -> DataFrame:
     Kinds: COMMODITY, SCU, PRICE, SKIP, OTHER. A partner that classifies as nothing
     itself becomes SKIP with blank text.
     """
-    named = settle(lines.join(line_features(lines), "text"), "named")
-    matched = resolve_line_names(named, commodities)
+    lines = settle(lines, "lines")
+    matched = resolve_line_names(lines, line_features(lines), commodities)
     order = W.partitionBy("capture_id").orderBy("line_no")
     # the partner sits at most LOOK_AHEAD lines ahead, so the lines before it tell
     taken = F.when(F.col("used_partner"), F.col("next.line_no"))
@@ -370,7 +386,7 @@ def infer_out_of_stock(rows: DataFrame) -> DataFrame:
 
 def extract_rows(lines: DataFrame, commodities: DataFrame) -> DataFrame:
     """The whole way from lines to reconciled price rows."""
-    classified = settle(classify_lines(lines, commodities), "classified")
+    classified = dealt(settle(classify_lines(lines, commodities), "classified"), "capture_id")
     rows = dedupe_rows(assemble_rows(classified))
     return infer_out_of_stock(assign_status(rows, classified))
 
@@ -393,15 +409,27 @@ def merge_retry(first: DataFrame, retry: DataFrame) -> DataFrame:
 # ---- sizes and tab ---------------------------------------------------------------
 
 
+def look_up(lines: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+    """Written ``lines`` with the columns of ``texts`` in place of the text, dealt by capture.
+
+    ``texts`` holds only texts that tell something and is written, so Spark sees that it is
+    small and no line is dealt by its text, which very many lines may share. Lines with
+    another text stay, with nulls: windows count them.
+    """
+    known = settle(texts, "told-texts").withColumnRenamed(column, "told")
+    told = lines.filter(F.col(column).isNotNull()).join(known, F.col(column) == F.col("told"), "left").drop("told", column)
+    return dealt(told, "capture_id", lines.count())
+
+
 def extract_sizes(lines: DataFrame) -> DataFrame:
-    """Lines with readable container sizes on a size label or up to three lines below it."""
-    texts = spread_distinct(lines, "text").drop("n").withColumns(
+    """Lines of a written table with readable container sizes on a size label or up to three lines below it."""
+    texts = spread_distinct(lines, "text").withColumns(
         {"is_label": size_label(F.col("text")), "sizes": digit_sizes(F.col("text"))}
     )
+    told = look_up(lines, costly_filter(texts, F.col("is_label") | F.col("sizes").isNotNull()), "text")
     near = W.partitionBy("capture_id").orderBy("line_no").rowsBetween(-3, 0)
     return (
-        lines.join(texts, "text")
-        .withColumn("near_label", F.max("is_label").over(near))
+        told.withColumn("near_label", F.max("is_label").over(near))
         .filter(F.col("near_label") & F.col("sizes").isNotNull())
         .select("capture_id", "line_no", "sizes")
     )
@@ -419,10 +447,10 @@ def container_union(sizes: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 def detect_tab(lines: DataFrame) -> DataFrame:
-    """First line that tells the side decides; BUY if none does."""
+    """First line of a capture that tells the side decides; BUY if none does. ``lines`` is a written table."""
     token = T.norm(F.col("text"))
     buy = T.weighted(token, F.lit("BUY"))
-    texts = spread_distinct(lines, "text").drop("n").withColumns(
+    texts = spread_distinct(lines, "text").withColumns(
         {
             "is_value": T.weighted(token, F.lit("LOCAL MARKET VALUE")) >= 80,
             "is_buy": buy >= 80,
@@ -434,7 +462,8 @@ def detect_tab(lines: DataFrame) -> DataFrame:
     said = (
         F.when(F.col("is_value"), F.when(F.col("after_buy"), "BUY").otherwise("SELL")).when(F.col("is_sure_buy"), "BUY")
     )
-    told = lines.join(texts, "text").withColumn("after_buy", after_buy).withColumn("said", said)
+    saying = look_up(lines, costly_filter(texts, F.col("is_value") | F.col("is_buy")), "text")
+    told = saying.withColumn("after_buy", after_buy).withColumn("said", said)
     return told.groupBy("capture_id").agg(
         F.coalesce(F.min_by("said", F.when(F.col("said").isNotNull(), F.col("line_no"))), F.lit("BUY")).alias("tab")
     )

@@ -61,6 +61,22 @@ def costly_filter(df: DataFrame, condition: Column) -> DataFrame:
     return df.filter(F.when(F.col("n") > 0, condition)).drop("n")
 
 
+#: Rows that one task sorts at most, on average; a row with its text takes some 300 bytes there.
+ROWS_PER_TASK = 1_000_000
+
+
+def dealt(df: DataFrame, column: str, n_rows: int | None = None) -> DataFrame:
+    """Rows of a written table (or ``n_rows`` rows) dealt by ``column`` over as many tasks as their number asks for.
+
+    Adaptive execution measures partitions as they are packed for the shuffle; repeated texts
+    pack to a tenth, so the few tasks it leaves would sort more than they can hold. An explicit
+    count is kept. Counting reads the footers of the files only.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_rows = df.count() if n_rows is None else n_rows
+    return df.repartition(max(parts, -(-n_rows // ROWS_PER_TASK)), column)
+
+
 def widen(df: DataFrame) -> DataFrame:
     """Deal rows of a narrow scan over all cores before costly work per row.
 

@@ -167,9 +167,8 @@ def line_classes(m: Market):
 @query("joined_names", using("screen_lines commodities", """
     SELECT capture_id, line_no, joined, t_id AS id_commodity, t_score AS match_score FROM picked WHERE used""", CLASS_VIEWS))
 def joined_names(m: Market):
-    lines = m.screen_lines()
-    named = settle(lines.join(X.line_features(lines), "text"), "named")
-    return X.resolve_line_names(named, m.commodities()).filter("used_partner").select(
+    lines = settle(m.screen_lines(), "lines")
+    return X.resolve_line_names(lines, X.line_features(lines), m.commodities()).filter("used_partner").select(
         "capture_id", "line_no", "joined", F.col("m.id").alias("id_commodity"), F.col("m.score").alias("match_score")
     )
 
@@ -247,7 +246,7 @@ SIZE_VIEWS = {
 
 @query("size_lines", using("screen_lines", "SELECT capture_id, line_no, array_to_string(sizes,',') AS sizes FROM size_lines", SIZE_VIEWS))
 def size_lines(m: Market):
-    return X.extract_sizes(m.screen_lines()).withColumn(
+    return X.extract_sizes(settle(m.screen_lines(), "lines")).withColumn(
         "sizes", F.array_join(F.transform("sizes", lambda s: s.cast("string")), ",")
     )
 
@@ -256,7 +255,7 @@ def size_lines(m: Market):
     SELECT capture_id, (SELECT array_to_string(list_sort(list_distinct(flatten(list(sizes)))),',') FROM size_lines s WHERE s.capture_id=c.capture_id)
       AS container_sizes FROM (SELECT DISTINCT capture_id FROM screen_lines) c""", SIZE_VIEWS))
 def container_union(m: Market):
-    lines = m.screen_lines()
+    lines = settle(m.screen_lines(), "lines")
     return X.container_union(X.extract_sizes(lines), lines)
 
 
@@ -271,7 +270,7 @@ _TABS = {
 @query("detected_tabs", using("screen_lines", """
     SELECT capture_id, coalesce(arg_min(said,line_no) FILTER (WHERE said IS NOT NULL),'BUY') AS tab FROM tab_lines GROUP BY 1""", _TABS))
 def detected_tabs(m: Market):
-    return X.detect_tab(m.screen_lines())
+    return X.detect_tab(settle(m.screen_lines(), "lines"))
 
 
 _SAMPLES = """SELECT o_orderkey AS capture_id, CAST(o_orderkey*7%60 AS DOUBLE) AS buy_saturation, CAST(o_custkey*11%60 AS DOUBLE) AS sell_saturation,

@@ -290,7 +290,10 @@ class Market:
     def screen_lines(self) -> DataFrame:
         """Noisy price-terminal text, several lines per lineitem, derived by rule."""
         part = self.table("part").select("p_partkey", "p_name")
-        rows = self.order_rows().join(part, F.col("l_partkey") == F.col("p_partkey"))
+        # joined first, so that lines stay dealt by order; rows without a part count for the numbers
+        w = W.partitionBy("l_orderkey").orderBy(*ROW_ORDER)
+        named = self.table("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+        rows = named.withColumn("row_index", F.row_number().over(w) - 1).filter("p_partkey is not null")
         k, pk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
         up = F.upper("p_name")
         first, second = F.split_part(up, F.lit(" "), F.lit(1)), F.split_part(up, F.lit(" "), F.lit(2))
