@@ -47,3 +47,12 @@ def test_only_telling_texts_are_looked_up(rows, monkeypatch):
     lines = lines_of(rows)
     X.detect_tab(lines).collect()
     assert {r.told for r in written["told-texts"].select(F.col("text").alias("told")).collect()} == {"BUY", "LOCAL MARKET VALUE"}
+
+
+def test_costly_rows_are_dealt_by_their_number(spark):
+    table = settle(spark.range(0, 5000, 1, 1), "turns")
+    cores = spark.sparkContext.defaultParallelism
+    assert ordered.widen(table).rdd.getNumPartitions() == cores
+    dealt = ordered.widen(table, 100)
+    assert dealt.rdd.getNumPartitions() == 50 and ordered.widen(table, 10_000).rdd.getNumPartitions() == cores
+    assert dealt.agg(F.sum("id")).first()[0] == sum(range(5000))

@@ -77,11 +77,14 @@ def dealt(df: DataFrame, column: str, n_rows: int | None = None) -> DataFrame:
     return df.repartition(max(parts, -(-n_rows // ROWS_PER_TASK)), column)
 
 
-def widen(df: DataFrame) -> DataFrame:
+def widen(df: DataFrame, rows_per_task: int | None = None) -> DataFrame:
     """Deal rows of a narrow scan over all cores before costly work per row.
 
     A table in many files or row groups already has enough tasks and is returned
-    as it is, so on a cluster this adds no shuffle.
+    as it is, so on a cluster this adds no shuffle. Where a row takes milliseconds,
+    ``rows_per_task`` bounds a task also on a table of many rows.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    if rows_per_task:
+        parts = max(parts, -(-df.count() // rows_per_task))
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)

@@ -81,12 +81,16 @@ def engine_report(m: Market):
     return report.select("engine", *[F.round(c, 6).alias(c) for c in report.columns if c != "engine"])
 
 
+TURNS_PER_TASK = 2_000
+
+
 @query("turn_char_errors", f"""
     SELECT conv_id, turn, round(levenshtein(r,h)/CAST(length(r) AS DOUBLE),6) AS cer FROM (
       SELECT conv_id, turn, trim(t,' '||chr(10)||chr(9)) AS r, trim({_READ.format(k='turn', t='t')},' '||chr(10)||chr(9)) AS h
       FROM (SELECT conv_id, turn, {_ASCII} AS t FROM conversations))""")
 def turn_char_errors(m: Market):
-    t = widen(m.table("conversations")).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
+    # edit distance grows with the square of a text: some milliseconds a row
+    t = widen(m.table("conversations"), TURNS_PER_TASK).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
     cer = M.char_error(F.col("text"), read_aloud(F.col("text"), F.col("turn")))
     return t.select("conv_id", "turn", F.round(cer, 6).alias("cer"))
 
