@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tradeq.llm.common import slices, texts
+from tradeq.llm.common import SMALL, slices, texts
 
 #: Entries of one generation of a worker's memory of chunks, and of pre-tokens; two generations are kept.
 REMEMBERED, REMEMBERED_WORDS = 150_000, 160_000
@@ -72,7 +72,7 @@ class Vocabulary:
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self.blanks_kept = not self.suffix
-        self.words = Memory(self.merge, REMEMBERED_WORDS)
+        self.words = Memory(lambda word: tuple(self.merge(word)), REMEMBERED_WORDS)
         self.chunks_of: dict[tuple[str, ...], Memory] = {}
 
     @staticmethod
@@ -268,19 +268,26 @@ def encode(
     fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
     schema = T.StructType([*fields, T.StructField("n_tokens", T.LongType()), *[T.StructField(o, OUTPUTS[o]) for o in outputs]])
     width = len(keep)
+    # with packed ids at hand a worker remembers these alone: the other forms follow from all ids of a text
+    kinds = ("ids",) if "ids" in outputs else outputs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = loaded(shared)
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SMALL):
             made = {o: [] for o in outputs}
             counts = []
             for t in texts(batch, "t"):
-                columns = list(zip(*vocabulary.encode(t, outputs))) or [()] * len(outputs)
-                for o, pieces in zip(outputs, columns):
+                columns = list(zip(*vocabulary.encode(t, kinds))) or [()] * len(kinds)
+                for o, pieces in zip(kinds, columns):
                     made[o].append((b"" if o == "ids" else " ").join(pieces))
                 # all forms but the packed one have a blank between two ids
-                first = made[outputs[0]][-1]
-                counts.append(len(first) // 4 if outputs[0] == "ids" else first.count(" ") + 1 if first else 0)
+                first = made[kinds[0]][-1]
+                counts.append(len(first) // 4 if kinds[0] == "ids" else first.count(" ") + 1 if first else 0)
+                if len(kinds) < len(outputs):
+                    ids = np.frombuffer(first, np.int32).tolist()
+                    for o in outputs:
+                        if o not in kinds:
+                            made[o].append(vocabulary.decode(ids) if o == "decoded" else " ".join(map(str, ids)))
             columns = [batch.column(i) for i in range(width)] + [pa.array(counts, pa.int64())]
             for o in outputs:
                 if o == "ids":

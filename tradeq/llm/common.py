@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a task; a single longer text is handled alone and whole.
 SLICE_BYTES = 8 << 20
+#: The same where what is made of a text takes several times its memory.
+SMALL = 2 << 20
 
 
 def remainder(column: str, modulus: int) -> Column:
@@ -26,14 +28,14 @@ def held_out(column: str, modulus: int, rest: int) -> Column:
     return F.coalesce(remainder(column, modulus) == rest, F.lit(False))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of a piece have about ``SLICE_BYTES``."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts of a piece have about ``size`` bytes, by default ``SLICE_BYTES``."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
         sizes = batch.column(text)
         lengths = np.asarray(pc.binary_length(sizes).fill_null(0)).astype(np.int64)
-        part = np.cumsum(lengths) // SLICE_BYTES
+        part = np.cumsum(lengths) // (size or SLICE_BYTES)
         starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(starts, starts[1:]):
             if b > a:

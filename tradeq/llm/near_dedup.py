@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeq.llm.common import hashes, lower_words, mix, runs, signed, slices, texts
-from tradeq.session import settle
+from tradeq.llm.common import SMALL, hashes, lower_words, mix, runs, signed, slices, texts
+from tradeq.session import settle, settle_alone
 
 WORDS = 5
 #: Link at 100 * intersection >= THRESHOLD * union.
@@ -148,7 +148,7 @@ def sketched(docs: DataFrame, text: str, key: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SMALL):
             sets = [shingles(t) for t in texts(batch, "t")]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -387,7 +387,7 @@ def _sets(docs: DataFrame, text: str, key: str, near: DataFrame) -> DataFrame:
     rows = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t")).join(wanted, "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SMALL):
             v, out = [], []
             for t, wanted in zip(texts(batch, "t"), batch.column("v").to_pylist()):
                 s = shingles(t)
@@ -410,8 +410,12 @@ def without_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", thr
     """The rows of ``docs`` but for those linked to a smaller id; all columns as they are.
 
     Rows with the same id are one document: they stay or go together, by the smallest
-    component id among them. Rows with a null id stay.
+    component id among them. Rows with a null id stay. Only the ids that go are written for
+    good; the tables on the way to them are dropped.
     """
-    found = groups(docs, text, key, threshold).groupBy(key).agg(F.min("component_id").alias("c"))
-    gone = found.filter(F.col("c") < F.col(key)).select(F.col(key).alias("__gone"))
+    def ids() -> DataFrame:
+        found = groups(docs, text, key, threshold).groupBy(key).agg(F.min("component_id").alias("c"))
+        return found.filter(F.col("c") < F.col(key)).select(F.col(key).alias("__gone"))
+
+    gone = settle_alone(docs.sparkSession, ids, "gone")
     return docs.join(gone, docs[key] == gone["__gone"], "left_anti")

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradeq.llm.common import ODD, hashes, lower_words, mix, runs, signed, slices, texts
-from tradeq.session import settle
+from tradeq.llm.common import ODD, SMALL, hashes, lower_words, mix, runs, signed, slices, texts
+from tradeq.session import settle, settle_alone
 
 #: Words of the shortest passage.
 PASSAGE = 50
@@ -76,7 +76,7 @@ def suffixes(docs: DataFrame, text: str, key: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SMALL):
             v, n, keys, places = [], [], [], []
             for t in texts(batch, "t"):
                 h = hashes(lower_words(t))
@@ -220,7 +220,7 @@ def _windows(docs: DataFrame, text: str, key: str, anchors: DataFrame) -> DataFr
     rows = docs.select(docs[key].alias("k"), docs[text].cast("string").alias("t")).join(anchors, "k").select("k", "t", "v", "p")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "t", SMALL):
             h_all, k_all, p_all = [], [], []
             for k, t, v, p in zip(
                 batch.column("k").to_pylist(), texts(batch, "t"), batch.column("v").to_pylist(), batch.column("p").to_pylist()
@@ -260,9 +260,13 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     """``docs`` with the removed spans cut out of ``text``; every row stays, all other columns as they are.
 
     ``length`` names a column that holds the number of characters and is set anew where a text changes.
+    Only the spans are written for good; the tables on the way to them are dropped.
     """
-    gone = spans(docs, text, key).filter("removed").groupBy(F.col(key).alias("__k"))
-    gone = gone.agg(F.min("v").alias("__v"), F.collect_list(F.struct("start_word", "end_word")).alias("__w"))
+    def cuts() -> DataFrame:
+        removed = spans(docs, text, key).filter("removed").groupBy(F.col(key).alias("__k"))
+        return removed.agg(F.min("v").alias("__v"), F.collect_list(F.struct("start_word", "end_word")).alias("__w"))
+
+    gone = settle_alone(docs.sparkSession, cuts, "cuts")
     names = docs.columns
     joined = docs.join(gone, docs[key] == gone["__k"], "left").drop("__k")
     plain = joined.toDF(*[f"c{i}" for i in range(len(names))], "v", "w")
@@ -271,7 +275,7 @@ def without_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     schema = plain.select(*rest).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, f"c{at}"):
+        for batch in slices(batches, f"c{at}", SMALL):
             out = batch.column(f"c{at}").to_pylist()
             sizes = batch.column(f"c{names.index(length)}").to_pylist() if length else None
             for i, (v, w) in enumerate(zip(batch.column("v").to_pylist(), batch.column("w").to_pylist())):
