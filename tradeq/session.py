@@ -12,6 +12,9 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Shuffle files go as soon as the query that wrote them is done.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Folders written by ``settle`` inside the innermost ``settle_alone``.
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
@@ -53,11 +56,18 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files.
 
     For results read several times: the work before is not repeated, and a lost
-    executor only costs the tasks after this point. The folder belongs to the
-    job; whoever set ``spark.checkpoint.dir`` also expires it.
+    executor only costs the tasks after this point. What was shuffled for ``df`` is
+    dropped when the files are there, as nothing reads it again. The folder belongs
+    to the job; whoever set ``spark.checkpoint.dir`` also expires it.
     """
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
     if (written := _written.get()) is not None:
         written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
