@@ -371,10 +371,8 @@ def commodity_status(classified: DataFrame) -> DataFrame:
     )
 
 
-def assign_status(rows: DataFrame, classified: DataFrame) -> DataFrame:
-    return rows.join(commodity_status(classified), ["capture_id", "id_commodity"], "left").withColumn(
-        "status", F.coalesce("status", F.lit(0))
-    )
+def with_status(rows: DataFrame, status: DataFrame) -> DataFrame:
+    return rows.join(status, ["capture_id", "id_commodity"], "left").withColumn("status", F.coalesce("status", F.lit(0)))
 
 
 def infer_out_of_stock(rows: DataFrame) -> DataFrame:
@@ -384,11 +382,20 @@ def infer_out_of_stock(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in ("scu", "status")], scu.alias("scu"), status.alias("status"))
 
 
+def telling_lines(classified: DataFrame) -> DataFrame:
+    """Lines that rows or their status come from, with no more of their text than a band marker has."""
+    values = F.col("kind").isin("COMMODITY", "SCU", "PRICE") | F.col("status").isNotNull()
+    cut = F.substring("line", 1, len(BAND_MARKER))
+    return classified.filter(values | F.startswith("line", F.lit(BAND_MARKER))).withColumn("line", cut)
+
+
 def extract_rows(lines: DataFrame, commodities: DataFrame) -> DataFrame:
     """The whole way from lines to reconciled price rows."""
-    classified = dealt(settle(classify_lines(lines, commodities), "classified"), "capture_id")
-    rows = dedupe_rows(assemble_rows(classified))
-    return infer_out_of_stock(assign_status(rows, classified))
+    classified = settle(telling_lines(classify_lines(lines, commodities)), "classified")
+    # lines are dealt once for the rows and once for their status: what one has shuffled goes before the other starts
+    rows = settle(dedupe_rows(assemble_rows(dealt(classified, "capture_id"))), "rows")
+    status = settle(commodity_status(dealt(classified, "capture_id")), "commodity-status")
+    return infer_out_of_stock(with_status(rows, status))
 
 
 def merge_retry(first: DataFrame, retry: DataFrame) -> DataFrame:
