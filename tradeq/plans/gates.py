@@ -12,7 +12,7 @@ from tradeq.operators import quality as Q
 from tradeq.plans.prices import _KEYED
 from tradeq.plans.registry import query
 from tradeq.plans.views import using
-from tradeq.session import shared_dir
+from tradeq.session import settle, shared_dir
 from tradeq.sources.market import LOG_NOW, NOW, Market
 
 # ---- static validation -------------------------------------------------------
@@ -546,19 +546,25 @@ def gated_batch(m: Market):
 
     Captures of unknown side are refused before (``rejected_captures``).
     """
-    items, plan = batch_plan(m)
+    # read by every check; once written, what was shuffled to plan and to judge is dropped step by step
+    items = B.queue_position(m.captures(), "batch_id", "capture_id")
+    items = settle(items.select("capture_id", "batch_id", "id_terminal", "tab", "added_at", "position"), "batch-items")
+    plan = settle(B.plan_batch(items, m.capture_rows()).select(*m.capture_rows().columns, "is_kept"), "batch-plan")
     planned = B.planned_submissions(items, plan).filter("tab <> 'UNKNOWN'")
     kept = B.kept_rows(plan).select(*m.capture_rows().columns)
-    lines = B.payload_lines(m.captures(), kept, "batch").withColumnRenamed("capture_id", "payload_id")
+    lines = B.payload_lines(items, kept, "batch").withColumnRenamed("capture_id", "payload_id")
     lines = lines.withColumn("is_missing", F.lit(None).cast("int"))
     heads = planned.select(
         F.col("capture_id").alias("payload_id"), F.coalesce("id_terminal", F.lit(0)).alias("id_terminal"), F.lit("commodity").alias("type"),
         F.lit(0).alias("is_production"), F.col("added_at").alias("sent_at"), "n_rows",
     )
-    issues = Q.validate_payloads(heads.drop("n_rows"), lines, m.terminals(), m.commodities())
-    asked = lines.join(heads.select("payload_id", "id_terminal", "sent_at"), "payload_id")
-    again = Q.dup_guard(asked, m.submissions()).select("payload_id", F.lit(Q.BLOCK).alias("severity"))
-    drift = Q.drift_findings(asked.filter("id_terminal > 0"), _live_prices(m), NOW).select("payload_id", "severity")
+    heads = settle(heads, "batch-heads")
+    asked = settle(lines.join(heads.select("payload_id", "id_terminal", "sent_at"), "payload_id"), "batch-lines")
+    lines = asked.drop("id_terminal", "sent_at")
+    worst = lambda found, step: settle(found.groupBy("payload_id").agg(F.max("severity").alias("severity")), step)
+    issues = worst(Q.validate_payloads(heads.drop("n_rows"), lines, m.terminals(), m.commodities()), "batch-issues")
+    again = worst(Q.dup_guard(asked, m.submissions()).select("payload_id", F.lit(Q.BLOCK).alias("severity")), "batch-again")
+    drift = worst(Q.drift_findings(asked.filter("id_terminal > 0"), _live_prices(m), NOW).select("payload_id", "severity"), "batch-drift")
     return Q.gate(heads.select("payload_id", "n_rows"), issues, again.unionByName(drift)).select("payload_id", "n_rows", "outcome")
 
 
