@@ -12,3 +12,8 @@ def plan_of(df) -> str:
 def test_gated_batch_reads_no_table_while_its_result_is_made(spark):
     plan = plan_of(queries()["gated_batch"](spark, FOLDER))
     assert f"{FOLDER}/" not in plan
+
+
+def test_scoped_routes_reads_no_table_while_its_result_is_made(spark):
+    plan = plan_of(queries()["scoped_routes"](spark, FOLDER))
+    assert f"{FOLDER}/" not in plan

@@ -328,11 +328,6 @@ def _starts(terminals: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.join(places, ["origin_scope", "origin_id"])
 
 
-def _scoped_sell(sell: DataFrame, terminals: DataFrame) -> DataFrame:
-    """Sell rows under every scope of their terminal."""
-    return sell.join(scoped_terminals(terminals), "id_terminal").withColumnsRenamed({"scope": "destination_scope", "scope_id": "destination_id"})
-
-
 def _asks(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What is asked, each once with its number ``ask``, and the queries that ask it.
 
@@ -395,39 +390,59 @@ def routes_for_query(latest: DataFrame, terminals: DataFrame, queries: DataFrame
 def scope_summary(latest: DataFrame, terminals: DataFrame, queries: DataFrame) -> DataFrame:
     """Per query with routes: n, n_origins and best_roi of ``routes_for_query``, without making a route.
 
-    Sums are made once per origin, wanted commodity and destination scope that any query asks
-    for, however many queries ask; queries then add up their origins.
+    What is asked is summed up once, however many queries ask it, and per origin: a query is met
+    by its sums last, so nothing grows with queries times origins. For destinations, each
+    commodity has its sums by asked destination in one row, which buy rows look up; they are
+    dealt by commodity and as sums by origin, and steps are written so that their shuffles go.
     """
-    start = _starts(terminals, queries)
-    ask = ["id_origin", "want_commodity", "destination_scope", "destination_id"]
-    asked = start.select(*ask).distinct()
-    buy, sell = sides(latest)
-    price = F.col("price")
-    free = pair_sums(buy, sell).select(
-        F.col("id_terminal").alias("id_origin"), "id_commodity", "n_routes", roi_percent(price, F.col("best_price")).alias("roi")
-    )
-    whole = free.groupBy("id_origin").agg(F.sum("n_routes").alias("n"), F.max("roi").alias("roi"))
-    one = free.select("id_origin", F.col("id_commodity").alias("want_commodity"), F.col("n_routes").alias("n"), "roi")
-    open_ended = asked.filter("destination_scope is null")
+    asked, askers = _asks(queries)
+    to = _scope_number("destination_scope", "destination_id")
+    start = _starts(terminals, asked).select("ask", "id_origin", "want_commodity", "destination_scope", to.alias("to"))
+    buy, sell = sides(settle(latest.filter("price > 0").select("id_terminal", "id_commodity", "side", "price"), "scope-prices"))
+    want = F.col("want_commodity").cast(buy.schema["id_commodity"].dataType)
+    price, keys = F.col("price"), ["id_terminal", "id_commodity"]
+
+    def summed(routes: DataFrame, *keys: str) -> DataFrame:
+        roi = F.max(roi_percent(price, F.col("best_price"))).alias("roi")
+        return routes.groupBy(F.col("id_terminal").alias("id_origin"), *keys).agg(F.sum("n_routes").alias("n"), roi)
+
+    open_ended, ends = start.filter("destination_scope is null"), start.filter("to is not null")
+    opened, bound = open_ended.filter("want_commodity is null"), ends.filter("want_commodity is null")
+    wanted = settle(start.filter("want_commodity is not null").withColumn("id_commodity", want), "scope-wanted")
+    of_wanted = lambda rows: rows.join(wanted.select("id_commodity").distinct(), "id_commodity", "left_semi")
+    whole = settle(summed(pair_sums(buy, sell)), "scope-whole")
+    one = settle(summed(pair_sums(of_wanted(buy), of_wanted(sell)), "id_commodity"), "scope-one")
+    places = scoped_terminals(terminals).select("id_terminal", _scope_number("scope", "scope_id").alias("to"))
+    places = settle(places.join(asked.select(to.alias("to")).distinct(), "to", "left_semi").distinct(), "scope-places")
+    there = sell.join(places, "id_terminal")
+    # the few buy rows that are wanted at a destination meet its sell rows themselves
+    picked = wanted.filter("to is not null").withColumnRenamed("id_origin", "id_terminal").select(*keys, "to").distinct()
+    both = pair_sums(buy.join(picked, keys), of_wanted(there), keys=("id_commodity", "to"))
     parts = [
-        open_ended.filter("want_commodity is null").join(whole, "id_origin").select(*ask, "n", "roi"),
-        open_ended.join(one, ["id_origin", "want_commodity"]).select(*ask, "n", "roi"),
+        opened.join(whole, "id_origin"), wanted.filter("destination_scope is null").join(one, ["id_origin", "id_commodity"]),
+        wanted.join(summed(both, "id_commodity", "to"), ["id_origin", "id_commodity", "to"]),
+        bound.join(settle(summed(_bound_sums(buy, sell, there, places), "to"), "scope-bound"), ["id_origin", "to"]),
     ]
-    ends = asked.filter("destination_scope is not null").withColumnRenamed("id_origin", "id_terminal")
-    wanted = ends.filter("want_commodity is not null").withColumn("id_commodity", F.col("want_commodity").cast(buy.schema["id_commodity"].dataType))
-    rows = buy.join(ends.filter("want_commodity is null"), "id_terminal").unionByName(buy.join(wanted, ["id_terminal", "id_commodity"]))
-    scope = ("id_commodity", "destination_scope", "destination_id")
-    bound = pair_sums(rows, _scoped_sell(sell, terminals).select(*scope, "id_terminal", "price"), keys=scope)
-    parts.append(
-        bound.withColumnRenamed("id_terminal", "id_origin").groupBy(*ask).agg(
-            F.sum("n_routes").alias("n"), F.max(roi_percent(price, F.col("best_price"))).alias("roi")
-        )
-    )
-    found = reduce(DataFrame.unionByName, parts).withColumnsRenamed({c: f"{c}_" for c in ask})
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ask])
-    return start.join(found, same).groupBy("query_id").agg(
-        F.sum("n").alias("n"), F.count_distinct("id_origin").alias("n_origins"), F.max("roi").alias("best_roi")
-    )
+    found = reduce(DataFrame.unionByName, [x.select("ask", "id_origin", "n", "roi") for x in parts])
+    per_ask = found.groupBy("ask").agg(F.sum("n").alias("n"), F.count_distinct("id_origin").alias("n_origins"), F.max("roi").alias("best_roi"))
+    return askers.select("query_id", "ask").join(settle(per_ask, "scope-asks"), "ask").drop("ask")
+
+
+def _bound_sums(buy: DataFrame, sell: DataFrame, there: DataFrame, places: DataFrame) -> DataFrame:
+    """Like ``pair_sums`` by (id_commodity, to), for buy rows with every asked destination; a commodity's are in one row.
+
+    ``there`` are sell rows under the destinations of their terminal, ``places`` are those of all terminals.
+    """
+    keys = ["id_commodity", "to"]
+    per_key = there.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).join(_two_best(there, keys, True, "best"), keys)
+    ends = F.collect_list(F.struct("to", "n", "best_price", "best_at", "best_else")).alias("ends")
+    ends = settle(per_key.groupBy("id_commodity").agg(ends), "scope-ends")
+    own = sell.join(places.groupBy("id_terminal").agg(F.collect_list("to").alias("own")), "id_terminal").select("id_terminal", "id_commodity", "own")
+    mine = buy.join(own, ["id_terminal", "id_commodity"], "left")
+    met = mine.join(ends, "id_commodity").select("id_terminal", "id_commodity", "price", "own", F.inline("ends"))
+    n = F.col("n") - F.coalesce(F.array_contains("own", F.col("to")), F.lit(False)).cast("long")
+    best = F.when(F.col("best_at") == F.col("id_terminal"), F.col("best_else")).otherwise(F.col("best_price"))
+    return met.select("id_terminal", "id_commodity", "to", "price", n.alias("n_routes"), best.alias("best_price")).filter("n_routes > 0")
 
 
 def rank_routes(routes: DataFrame, column: str = "score", ascending: bool = False) -> DataFrame:
