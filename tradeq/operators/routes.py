@@ -423,9 +423,13 @@ def scope_summary(latest: DataFrame, terminals: DataFrame, queries: DataFrame) -
         wanted.join(summed(both, "id_commodity", "to"), ["id_origin", "id_commodity", "to"]),
         bound.join(settle(summed(_bound_sums(buy, sell, there, places), "to"), "scope-bound"), ["id_origin", "to"]),
     ]
-    found = reduce(DataFrame.unionByName, [x.select("ask", "id_origin", "n", "roi") for x in parts])
-    per_ask = found.groupBy("ask").agg(F.sum("n").alias("n"), F.count_distinct("id_origin").alias("n_origins"), F.max("roi").alias("best_roi"))
-    return askers.select("query_id", "ask").join(settle(per_ask, "scope-asks"), "ask").drop("ask")
+    found = settle(reduce(DataFrame.unionByName, [x.select("ask", "id_origin", "n", "roi") for x in parts]), "scope-found")
+    sums = [F.sum("n").alias("n"), F.count_distinct("id_origin").alias("n_origins"), F.max("roi").alias("best_roi")]
+    per_ask = settle(found.groupBy("ask").agg(*sums), "scope-asks")
+    # a query id given several times may ask several things: its origins are told apart over all of them
+    repeated = askers.groupBy("query_id").count().filter("count > 1").select("query_id")
+    once, several = (askers.select("query_id", "ask").join(repeated, "query_id", how) for how in ("left_anti", "left_semi"))
+    return once.join(per_ask, "ask").drop("ask").unionByName(several.join(found, "ask").groupBy("query_id").agg(*sums))
 
 
 def _bound_sums(buy: DataFrame, sell: DataFrame, there: DataFrame, places: DataFrame) -> DataFrame:
